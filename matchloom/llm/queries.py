@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, packing, secret_scan, simhash_dedup, token_files, tokens, toxicity, url_filter
+from . import decontamination, exact_dedup, license_scan, packing, secret_scan, simhash_dedup, token_files, tokens, toxicity, url_filter
 from .common import read_table
 from .oracle import oracle_sql as oracle_sql
 
@@ -20,6 +20,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, files).select(
