@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, license_scan, packing, secret_scan, simhash_dedup, token_files, tokens, toxicity, url_filter
+from . import decontamination, exact_dedup, license_scan, packing, pii, secret_scan, simhash_dedup, token_files, tokens, toxicity, url_filter
 from .common import read_table
 from .oracle import oracle_sql as oracle_sql
 
 
+def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private_data(read_table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
