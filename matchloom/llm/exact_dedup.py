@@ -21,21 +21,25 @@ table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITESPACE, id_and_text
 
 SALTS = 64
 #: A group's best row as one number: length * SPAN - doc_id; the largest wins.
-SPAN = F.lit(str(2**65)).cast("decimal(20,0)")
-NO_ID = F.lit(str(2**63)).cast("decimal(20,0)")
+SPAN, NO_ID = 2**65, 2**63
+
+
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
 
 
 def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     if not 1 <= salts <= 64:
         raise ValueError("salts must lie between 1 and 64, the bits of a long")
+    span, no_id = _number(SPAN), _number(NO_ID)
     rows = (
         id_and_text(docs)
         .withColumn("norm", F.regexp_replace("text", WHITESPACE + "+", ""))
@@ -47,7 +51,7 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
             F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
         )
     )
-    score = F.col("chars").cast("decimal(10,0)") * SPAN - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), NO_ID)
+    score = F.col("chars").cast("decimal(10,0)") * span - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id)
     salted = (
         rows.select("sha", "norm", "salt", score.cast("decimal(38,0)").alias("score"))
         .groupBy("sha", "norm", "salt")
@@ -70,13 +74,13 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
             F.max("mask").alias("mask"),
         )
     )
-    chars = F.floor((F.col("score") + NO_ID) / SPAN).cast("decimal(10,0)")
-    keep = (chars * SPAN - F.col("score")).cast("decimal(38,0)")
+    chars = F.expr(f"cast((score + cast('{NO_ID}' as decimal(20,0))) div cast('{SPAN}' as decimal(20,0)) as decimal(10,0))")
+    keep = (chars * span - F.col("score")).cast("decimal(38,0)")
     winners = combined.select(
         F.when(F.col("contents") > 1, F.raise_error(F.lit("two different texts share one SHA-256")))
         .otherwise(F.col("sha"))
         .alias("sha"),
-        F.when(keep == NO_ID, F.lit(None)).otherwise(keep).cast("long").alias("keep_id"),
+        F.when(keep == no_id, F.lit(None)).otherwise(keep).cast("long").alias("keep_id"),
         "group_size",
         F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(mask, s) & 1L) = 1L)")).alias("salt"),
     )
