@@ -19,7 +19,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-MEMORY = 600_000
+MEMORY = 900_000
 SHORT = 7
 #: Letters, then ASCII punctuation without the apostrophe: two pre-tokens of either vocabulary.
 WORD = re.compile(r"^([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)$")
@@ -39,6 +39,25 @@ def ids_bytes(ids: Iterable[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+class Memory(dict):
+    """Chunk -> ids; what is missing is learned when it is asked for."""
+
+    def __init__(self, learn, blank: bool):
+        super().__init__()
+        self.learn, self.blank = learn, blank
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self[chunk] = self.learn(self, chunk)
+        return ids
+
+    def make_room(self) -> None:
+        if len(self) > MEMORY:
+            short = {c: v for c, v in self.items() if len(c) <= SHORT}
+            self.clear()
+            if len(short) < MEMORY // 2:
+                self.update(short)
+
+
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts, special strings of the vocabulary as the library reads them."""
 
@@ -49,8 +68,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: The byte-level vocabulary keeps white space in its tokens, the other one drops it.
         self.keeps_blanks = len(self._plain("a \n")) > len(self._plain("a"))
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.first = Memory(self._learn, False)
+        self.later = Memory(self._learn, self.keeps_blanks)
         self.tails: dict[str, bytes] = {}
         if self.keeps_blanks:
             self.line_end = ids_bytes(self._plain("\n"))
@@ -76,83 +95,47 @@ class ChunkEncoder:
         raw = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [t.id for t in self.tokenizer.model.tokenize("Ġ" + raw if blank else raw)]).tobytes()
 
-    def _learn(self, memory: dict, missing: Iterable[str], blank: bool) -> None:
+    def _learn(self, memory: Memory, c: str) -> bytes | None:
         """Letters with punctuation behind them word by word, all else by the whole tokenizer."""
-        before = " " if blank else ""
-        for c in missing:
-            if c in memory:
-                continue
-            found = WORD.match(c)
-            if found:
-                core, tail = found.groups()
-                key = core if self.keeps_blanks else core.lower()
-                ids = memory.get(key)
-                if ids is None and core.isalpha():
-                    ids = self._word(core, blank)
-                    if ids is not None:
-                        memory[key] = ids
+        found = WORD.match(c)
+        if found:
+            core, tail = found.groups()
+            key = core if self.keeps_blanks else core.lower()
+            ids = memory.get(key)
+            if ids is None and core.isalpha():
+                ids = self._word(core, memory.blank)
                 if ids is not None:
-                    if tail:
-                        end = self.tails.get(tail)
-                        if end is None:
-                            end = self.tails[tail] = ids_bytes(self._plain(tail))
-                        ids = ids + end
-                    memory[c] = ids
-                    continue
-            if self.keeps_blanks and any(x.isspace() for x in c):
-                memory[c] = None
-            else:
-                memory[c] = ids_bytes(self._plain(before + c))
-
-    def _room(self, memory: dict) -> None:
-        if len(memory) > MEMORY:
-            short = {c: v for c, v in memory.items() if len(c) <= SHORT}
-            memory.clear()
-            if len(short) < MEMORY // 2:
-                memory.update(short)
+                    memory[key] = ids
+            if ids is not None:
+                if not tail:
+                    return ids
+                end = self.tails.get(tail)
+                if end is None:
+                    end = self.tails[tail] = ids_bytes(self._plain(tail))
+                return ids + end
+        if self.keeps_blanks and any(x.isspace() for x in c):
+            return None
+        return ids_bytes(self._plain(" " + c if memory.blank else c))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
+        self.first.make_room()
+        self.later.make_room()
         return self._with_blanks(texts) if self.keeps_blanks else self._without_blanks(texts)
 
     def _without_blanks(self, texts: Sequence[str]) -> list[bytes]:
-        self._room(self.later)
         memory = self.later
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        wanted.difference_update(memory.keys())
-        wanted.discard("")
         memory[""] = b""
-        self._learn(memory, wanted, False)
         get = memory.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
     def _with_blanks(self, texts: Sequence[str]) -> list[bytes]:
-        self._room(self.first)
-        self._room(self.later)
-        first, later = self.first, self.later
-        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        regular = []
-        for of in lines:
-            ok = not any("" in p for p in of)
-            regular.append(ok)
-            if ok:
-                for p in of:
-                    heads.add(p[0])
-                    tails.update(p[1:])
-        heads.difference_update(first.keys())
-        tails.difference_update(later.keys())
-        self._learn(first, heads, False)
-        self._learn(later, tails, True)
-        get, line_end = later.__getitem__, self.line_end
+        first, get, line_end = self.first, self.later.__getitem__, self.line_end
         out = []
-        for text, of, ok in zip(texts, lines, regular, strict=True):
-            if ok:
+        for text in texts:
+            lines = [x.split(" ") for x in text.split("\n")]
+            if not any("" in p for p in lines):
                 try:
-                    out.append(line_end.join([first[p[0]] + b"".join(map(get, p[1:])) for p in of]))
+                    out.append(line_end.join([first[p[0]] + b"".join(map(get, p[1:])) for p in lines]))
                     continue
                 except TypeError:  # a chunk with other white space in it
                     pass
