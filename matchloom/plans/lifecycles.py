@@ -14,6 +14,7 @@ from ..functions.text import content_id, match_line, render_catalog
 from ..functions.tokens import PatternCounter, TokenCounter
 from ..operators import catalog, embed, match, quality, select_catalog, select_person, stats
 from ..schemas import BUDGET, CODE, DESCRIPTION, MODEL_LIMIT, TITLE
+from ..session import checkpointed
 from ..sources import files
 
 
@@ -52,7 +53,7 @@ def prepare_catalog(spark: SparkSession, occupations: str, skills: str, tasks: s
         files.read_csv(spark, skills, [CODE, "Element Name", "Scale ID", "Data Value"]),
         files.read_csv(spark, tasks, [CODE, "Task"]),
     )
-    done = no_errors(catalog_profiles(lists, top_skills, counter).persist(), "code").orderBy("code").drop("code")
+    done = no_errors(checkpointed(catalog_profiles(lists, top_skills, counter)), "code").orderBy("code").drop("code")
     if output:
         files.write_csv(done, output)
     return done
@@ -80,7 +81,7 @@ def prepare_people(spark: SparkSession, source: str, output: str | None = None,
     raw = files.read_csv(spark, source, ["Resume_str", "Generated_Interests"], tidy=False)
     people = identified(raw.select(F.col("Resume_str").alias("resume"), F.col("Generated_Interests").alias("interests"), "pos"))
     quality.require(quality.nonempty(people, "people"))
-    done = no_errors(person_profiles(people, counter).persist(), "source_row").drop("title")
+    done = no_errors(checkpointed(person_profiles(people, counter)), "source_row").drop("title")
     recount = PatternCounter.column(F.col("profile_text")) if counter is None else F.col("token_count")
     quality.require(quality.violations(quality.unique_key(done, "user_id", "user ID"), quality.token_recount(done, recount, "user_id", BUDGET, MODEL_LIMIT)))
     done = done.orderBy("source_row")
@@ -96,7 +97,7 @@ def encode_profiles(profiles: DataFrame, key: str, encoder: embed.Encoder, count
     over = profiles.where(tokens > MODEL_LIMIT).select(F.lit("over the token limit").alias("rule"), F.col(f"`{key}`").alias("key"), tokens.cast("string").alias("detail"))
     rules = [over] + ([quality.row_count(profiles, expected, "users")] if expected else [])
     quality.require(quality.violations(*rules))
-    return embed.checked(embed.encode(profiles, encoder, "profile_text", batch_size).persist(), key, encoder.width)
+    return embed.checked(checkpointed(embed.encode(profiles, encoder, "profile_text", batch_size)), key, encoder.width)
 
 
 @dataclass
@@ -115,7 +116,7 @@ def match_profiles(users: DataFrame, careers: DataFrame, k: int = 5, width: int
     if user_stats is not None and career_stats is not None:
         rules.append(quality.same_run(user_stats, career_stats))
     quality.require(quality.violations(*rules))
-    best = match.topk(users, careers, k).persist()
+    best = checkpointed(match.topk(users, careers, k))
     quality.require(quality.valid_matches(best, k))
     titled = match.with_titles(best, careers.select("code", "title")).join(users.select("user_id", "pos"), "user_id").orderBy("pos", "rank")
     matches = titled.select("user_id", "rank", F.col("code").alias("career_code"), F.col("title").alias("career_title"), F.col("score").alias("cosine_similarity"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -17,3 +17,24 @@ def make_visible(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none (tests, a laptop) a folder under the warehouse is used.
+    """
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_dir:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        set_dir = f"{warehouse.rstrip('/')}/.shared"
+    return set_dir.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage with a reliable checkpoint; executors may be lost afterwards."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
