@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed as checkpointed
+from ..session import shared_dir
+
 WHITESPACE = r"[\x20\x09-\x0D]"
 
 
@@ -20,27 +23,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session names none (tests, a laptop) a folder under the warehouse is used.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        set_dir = f"{warehouse.rstrip('/')}/.shared"
-    return set_dir.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; executors may be lost afterwards."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
