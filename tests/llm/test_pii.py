@@ -1,0 +1,63 @@
+import hashlib
+import random
+import re
+
+from matchloom.llm import pii
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(len(p) < 4000 and int(p) <= 255 for p in s.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 12 <= len(re.sub("[ -]", "", s)) <= 19 and luhn(re.sub("[ -]", "", s))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+]
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def brute(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m[0]))
+
+
+def test_seeds_by_brute_force():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("aB1239 .-+()@_%\n+4é") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == brute(text), text
+    for text in ("4111 1111 1111 1111", "a@b.com@c.de x.y@z-1.org.", "1.2.3.4.5.6.7.8 999.1.1.1", "9" * 5000 + ".1.1.1", "+" + " " * 5000, "@" * 5000, "a" * 5000 + "@" + "b" * 50):
+        assert pii.base_spans(text) == brute(text)
+
+
+def test_whole_table(table, odd):
+    rows = odd + [(20, "é mail a.b@c.org or +49 30 5551234, 10.0.0.1; card 4111-1111-1111-1111"), (21, "x " * 30_000 + "a@b.co")]
+    got = pii.find_private_data(table(rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        written = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in brute(text))
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest() and r.spans == written
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == j for _, k, _ in brute(text)) for j in range(4))
+
+
+def test_contexts_find_unseen_identifiers(table):
+    seeds = [(k, f"Some text here. Reach me on extension line +49 30 {5551000 + k} please thanks") for k in range(40)]
+    unseen = [(100 + k, f"Reach me on extension line x-{7000 + k} please") for k in range(8)]
+    clean = [(200 + k, f"In the year {1900 + k} they walked 4000 miles on end") for k in range(60)]
+    got = {r.doc_id: r for r in pii.find_private_data(table(seeds + unseen + clean)).collect()}
+    for i, text in unseen:
+        a = text.index("x-")
+        assert got[i].spans == f"phone:{a}:{a + 6}" and got[i].n_context == 1 and got[i].n_phone == 0
+    assert all(got[i].spans == "" for i, _ in clean)
+    assert all(got[i].n_phone == 1 and got[i].spans.count(":") == 2 for i, _ in seeds)
+
+
+def test_bounds_make_no_difference(table, monkeypatch):
+    rows = [(k, f"call the line +49 30 {5551000 + k} now") for k in range(20)] + [(50, "call the line 44-4444 now")]
+    one = sorted(map(tuple, pii.find_private_data(table(rows)).collect()))
+    monkeypatch.setattr(pii, "SMALL", 0)
+    assert sorted(map(tuple, pii.find_private_data(table(rows)).collect())) == one and one[-1][-1] == 1
+
+
+def test_empty(table):
+    assert pii.find_private_data(table([])).collect() == []
