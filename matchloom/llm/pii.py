@@ -3,13 +3,15 @@
 1. Seeds: e-mail addresses, IP addresses, card and phone numbers found by fixed rules. These
    base spans always stay.
 2. Patterns: a mention is a seed, or a word with four digits or an @ in it that no seed
-   covers. The words around it, within REACH characters, give up to four lexical patterns:
-   two words before, one before, one behind, one on either side.
+   covers. Its form says which kinds it may be (``possible_kinds``). The words around it,
+   within REACH characters, give up to four lexical patterns: two words before, one before,
+   one behind, one on either side.
 3. Graph: patterns and instances (the distinct values of mentions) are scored in turn for
-   each kind. A pattern's confidence is the mean score of its instances, all those not known
-   counting as 0; an instance's score is the noisy-or of its patterns, seeds stay at 1.
+   each kind. A pattern's confidence is the mean score of its instances. A seed's score is 1 for
+   its kind and 0 for the others; another instance's is the damped mean of its patterns'
+   confidence, 0 at first and for kinds that its form rules out.
 4. Patterns of CONFIDENCE or more, with SEEDS distinct seeds of the kind, mark the mentions that
-   no seed covers; they are added to the spans under the kind's name.
+   no seed covers and that may be of the kind; they are added to the spans under its name.
 
 The graph never leaves Spark. It holds a row a distinct (pattern, instance), found by
 map-side combining, so a hot pattern or value is one row a task. Patterns with too few
@@ -115,6 +117,19 @@ def other_mentions(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tup
             yield a, b
 
 
+def possible_kinds(word: str) -> int:
+    """A bit a kind: @ for mail; two separators and hex digits for addresses; twelve digits for
+    cards and four for phones, without letters but a leading x, ext or tel and masking x.
+    """
+    digits, letters = sum(c in "0123456789" for c in word), "".join(c for c in word.lower() if c.isalpha())
+    mail = "@" in word
+    address = not mail and len(re.findall("[.:]", word)) >= 2 and set(letters) <= set("abcdef")
+    few = letters in ("", "x", "ext", "tel")
+    card = not mail and not address and len(re.findall("[0-9xX*]", word)) >= 12 and set(letters) <= {"x"}
+    phone = not mail and not address and few and 4 <= digits <= 15
+    return mail | address << 1 | card << 2 | phone << 3
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     clean = lambda w: re.sub(r"[0-9]", "0", w.lower().strip(_EDGE))
     before = [w for w in map(clean, text[max(0, start - REACH) : start].split()) if w][-2:]
@@ -132,8 +147,8 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rank", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
-SCAN = "doc_id long, base array<struct<start:int,rank:int,end:int>>, mentions array<struct<start:int,end:int,rank:int,value:string,patterns:array<string>>>"
+_MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rank", pa.int32()), ("may", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+SCAN = "doc_id long, base array<struct<start:int,rank:int,end:int>>, mentions array<struct<start:int,end:int,rank:int,may:int,value:string,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -148,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 spots = [(s, e, r) for s, r, e in base]
                 if base or _SPECIAL.search(text):
                     spots += [(s, e, -1) for s, e in other_mentions(text, base)]
-                mentions.append([{"start": s, "end": e, "rank": r, "value": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, e, r in spots])
+                mentions.append([{"start": s, "end": e, "rank": r, "may": 1 << r if r >= 0 else possible_kinds(text[s:e]), "value": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, e, r in spots])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(mentions, pa.list_(_MENTION))], names=["doc_id", "base", "mentions"])
 
     return id_and_text(docs).mapInArrow(look, SCAN)
@@ -157,9 +172,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def trusted_patterns(scanned: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """pattern (hash), rank, confidence of the patterns that may mark mentions."""
     kinds = range(len(KINDS))
-    spread = scanned.select(F.inline("mentions")).select(F.xxhash64("value").alias("instance"), "rank", F.explode("patterns").alias("p"))
+    spread = scanned.select(F.inline("mentions")).select(F.xxhash64("value").alias("instance"), "rank", "may", F.explode("patterns").alias("p"))
     graph = checkpointed(
-        spread.groupBy(F.xxhash64("p").alias("pattern"), "instance").agg(*[F.max((F.col("rank") == k).cast("double")).alias(f"seed{k}") for k in kinds])
+        spread.groupBy(F.xxhash64("p").alias("pattern"), "instance").agg(
+            *[F.max((F.col("rank") == k).cast("double")).alias(f"seed{k}") for k in kinds], F.max("rank").alias("rank"), F.min("may").alias("may")
+        )
     )
     seeded = graph.groupBy("pattern").agg(*[F.sum(f"seed{k}").alias(f"n{k}") for k in kinds]).where(F.greatest(*[F.col(f"n{k}") for k in kinds]) >= seeds)
     graph = checkpointed(graph.join(seeded, "pattern"))
@@ -168,8 +185,11 @@ def trusted_patterns(scanned: DataFrame, seeds: int = SEEDS, confidence: float =
         beliefs = graph.join(scores, "instance").groupBy("pattern").agg(*[F.avg(f"s{k}").alias(f"c{k}") for k in kinds], *[F.max(f"n{k}").alias(f"n{k}") for k in kinds])
         beliefs = checkpointed(beliefs)
         if turn + 1 < ROUNDS:
-            missing = [F.greatest(F.max(f"seed{k}"), 1 - F.exp(F.sum(F.log(1 - DAMPING * F.col(f"c{k}"))))).alias(f"s{k}") for k in kinds]
-            scores = checkpointed(graph.join(beliefs.drop(*[f"n{k}" for k in kinds]), "pattern").groupBy("instance").agg(*missing))
+            seed = F.max("rank") >= 0
+            score = [
+                F.when(seed, F.max(f"seed{k}")).when(F.min("may").bitwiseAND(1 << k) != 0, DAMPING * F.avg(f"c{k}")).otherwise(0.0).alias(f"s{k}") for k in kinds
+            ]
+            scores = checkpointed(graph.join(beliefs.drop(*[f"n{k}" for k in kinds]), "pattern").groupBy("instance").agg(*score))
     best = F.array_max(F.array(*[F.struct(F.when(F.col(f"n{k}") >= seeds, F.col(f"c{k}")).otherwise(0.0).alias("confidence"), F.lit(-k).alias("k")) for k in kinds]))
     return beliefs.select("pattern", best.alias("best")).where(F.col("best.confidence") >= confidence).select("pattern", (-F.col("best.k")).alias("rank"), F.col("best.confidence").alias("confidence"))
 
@@ -187,9 +207,10 @@ def find_private_data(docs: DataFrame, seeds: int = SEEDS, confidence: float = C
         known = F.broadcast(trusted) if some <= SMALL else trusted
         open_ = rows.select("row", F.inline(F.filter("mentions", lambda m: m["rank"] < 0))).drop("rank")
         added = (
-            open_.select("row", "start", "end", F.explode("patterns").alias("p"))
-            .select("row", "start", "end", F.xxhash64("p").alias("pattern"))
+            open_.select("row", "start", "end", "may", F.explode("patterns").alias("p"))
+            .select("row", "start", "end", "may", F.xxhash64("p").alias("pattern"))
             .join(known, "pattern")
+            .where("(shiftright(may, rank) & 1) = 1")
             .groupBy("row", "start", "end")
             .agg(F.max_by("rank", F.struct("confidence", -F.col("rank"))).alias("rank"))
             .groupBy("row")
