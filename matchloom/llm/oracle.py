@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import secret_scan
 from .license_scan import ANCHORS, RULES, SENTENCES
 from .url_filter import LISTED
 from .url_filter import RULES as URL_RULES
@@ -76,5 +77,42 @@ FROM g
 """
 
 
+def _spans_sql(pattern: str, rank: int) -> str:
+    """All matches with their places: lengths of the gaps and the matches before add up."""
+    p = _q(pattern)
+    before = "coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+    start = f"CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + {before} AS BIGINT)"
+    return (
+        f"(SELECT list_transform(range(1, len(hits) + 1), lambda i: {{'s': {start}, 'r': {rank}, 'e': {start} + length(hits[i]), 'v': hits[i], 'b': right(gaps[i], 20)}}) "
+        f"FROM (SELECT string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits))"
+    )
+
+
+def secret_sql() -> str:
+    kinds = "[" + ", ".join(map(_q, secret_scan.KINDS)) + "]"
+    write = f"array_to_string(list_transform(list_sort(list_transform({{}}, lambda x: {{{{'s': x.s, 'r': x.r, 'e': x.e}}}})), lambda x: {kinds}[x.r + 1] || ':' || x.s || ':' || x.e), ',')"
+    allowed = _q("|".join(f"(?:{p})" for p in secret_scan.ALLOWED))
+    w, limits = secret_scan.WINDOW, secret_scan.LIMITS
+    entropy = f"list_max(list_transform(range(0, greatest(1, length(c.v) - {w - 1})), lambda k: list_entropy(string_split(substr(c.v, k + 1, {w}), ''))))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, list_filter({_spans_sql(secret_scan.ASSIGN, 0)}, lambda x: length(regexp_replace(x.v, {_q(secret_scan.VALUE)}, '')) >= 8) AS assign,
+         {_spans_sql(secret_scan.ACCESS, 1)} AS access, {_spans_sql(secret_scan.HEX, 2)} AS hex,
+         list_filter({_spans_sql(secret_scan.CANDIDATE, 3)}, lambda x: regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]')) AS runs
+  FROM d),
+b AS (SELECT *, list_concat(list_concat(assign, access), hex) AS base FROM m),
+a AS (
+  SELECT *, list_filter(runs, lambda c: (regexp_matches(c.v, '^[0-9a-f]+$') OR (regexp_matches(c.v, '[a-z]') AND regexp_matches(c.v, '[A-Z]')))
+      AND NOT regexp_matches(c.v, {allowed}) AND NOT regexp_matches(c.b, {_q(secret_scan.ALLOWED_BEFORE)})
+      AND len(list_filter(base, lambda x: x.s < c.e AND c.s < x.e)) = 0
+      AND {entropy} >= CASE WHEN regexp_matches(c.v, '^[0-9a-f]+$') THEN {limits["hex"]} ELSE {limits["base64"]} END) AS added
+  FROM b)
+SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
+       sha256({write.format("base")}) AS base_sha256, {write.format("list_concat(base, added)")} AS spans, CAST(len(added) AS BIGINT) AS n_entropy
+FROM a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": license_sql(), "op7_urls": url_sql(), "op9_exact_dedup": EXACT_DEDUP}
+    return {"op2_licenses": license_sql(), "op3_secrets": secret_sql(), "op7_urls": url_sql(), "op9_exact_dedup": EXACT_DEDUP}
