@@ -36,7 +36,7 @@ def five_numbers(rows: DataFrame, group: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        rows.join(F.broadcast(quartiles), group)  # a row a group of a categorical column
+        rows.join(quartiles, group)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(value).alias("minimum"), F.max(value).alias("maximum"),
