@@ -18,12 +18,12 @@ USERS, K = 20, 5
 INTERESTS = "I enjoy the analysis of data and helping the team with reports."
 #: Synthetic resumes.
 RESUMES = [
-    ("ANALYST Summary Experienced analyst. Experience Designed reports to support budget decisions. Analyzed records to identify errors. Analyzed records to identify errors. "
-     "Education Bachelor of Science : Accounting Example University Skills Python, SQL, Excel, budget analysis", "I enjoy investigating discrepancies and improving financial reporting."),
-    ("TEACHER Jane Doe Education M.Ed : Secondary Education 2007 St. Martin's University B.S : Biology 1998 Example University Skills Teaching, biology", "I like explaining nature to children."),
-    ("ANALYST Education 5/1998 Emory University Health education and Behavioral Research Masters of Public Health 5/1995 Harvard University Special Student Program Skills Research", "Health research."),
+    ("BOOKKEEPER Summary Careful with numbers. Experience Prepared monthly ledgers for a mill. Reviewed invoices and found gaps. Reviewed invoices and found gaps. "
+     "Education Bachelor of Arts : Economics Riverside College Skills Excel, SQL, payroll, double entry", "I like to find out why figures disagree."),
+    ("LIBRARIAN Kim Poe Education M.Ed : Library Studies 2011 St. Olga's College B.S : Chemistry 2003 Hilltop University Skills Cataloguing, chemistry", "I like to explain how things react."),
+    ("NURSE Education 6/2001 Lakeside University Public education and Care Masters of Nursing 6/1997 Northern College Evening Program Skills Triage", "Care for older people."),
     ("Wrote letters and kept the archive of a small office for ten years. Answered the phone.", "Quiet work with papers."),
-    ("ANALYST Experience Analyzed data.", ""),
+    ("WELDER Experience Built frames.", ""),
 ]
 
 

@@ -218,7 +218,7 @@ def test_catalog_lifecycle(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "out"), [CODE]).count() == 2
     with pytest.raises(quality.QualityError):
         lifecycles.prepare_catalog(spark, *paths, top_skills=-1)
-    (tmp_path / "o.csv").write_text(f"{CODE},Title,Description\n1,A,{'A complete sentence. ' * 100}\n")
+    (tmp_path / "o.csv").write_text(f"{CODE},Title,Description\n1,A,{'One more plain line. ' * 100}\n")
     with pytest.raises(quality.QualityError, match="description exceed"):
         lifecycles.prepare_catalog(spark, *paths)
 
