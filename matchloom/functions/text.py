@@ -20,7 +20,8 @@ SCRUBS = [
     (r"_{2,}", " "),
 ]
 OUTER = " ,;-－–—"
-REPEAT = r"\b(\S+(?:\s+\S+){1,15})\s+\1(?=\s|$)"
+#: A phrase of 2 to 16 words that follows itself. Words are possessive: giving letters back can't lead to a match.
+REPEAT = r"\b(\S++(?:\s++\S++){1,15})\s++\1(?=\s|$)"
 STOP = (
     "a an the and or of to in for with on as at by from my i me our their that this is are was were have has had it its be being been "
     "work working worked skills experience ability strong excellent professional company city state"

@@ -130,7 +130,7 @@ def oracle_sql() -> dict[str, str]:
         "unit_scores": f"""WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM conversations),
             u AS (SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, {_collapse("raw")} AS unit FROM l), t AS (SELECT *, {_content("unit")} AS terms FROM u)
             SELECT conv_id, turn, pos, CAST(CASE WHEN unit = '' THEN 0 ELSE len(string_split(unit, ' ')) END AS INTEGER) AS words,
-              round(3.0 * len(list_intersect(terms, {_content(f"'{INTERESTS}'")})) + CASE WHEN regexp_matches(unit, '\\b{ACTION}\\b') THEN 3.0 ELSE 0.0 END
+              round(3.0::DOUBLE * len(list_intersect(terms, {_content(f"'{INTERESTS}'")})) + CASE WHEN regexp_matches(unit, '\\b{ACTION}\\b') THEN 3.0 ELSE 0.0 END
                 + CASE WHEN len(terms) > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN regexp_matches(unit, '[0-9]') THEN 0.8 ELSE 0.0 END, 6) AS score FROM t""",
         "token_stats": r"""WITH n AS (SELECT len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^\sA-Za-z0-9\x{0b}]')) + 2 AS n FROM documents)
             SELECT count(*) AS profiles, round(avg(n), 6) AS average_tokens, round(median(n), 6) AS median_tokens, round(100.0 * count(*) FILTER (WHERE n > 256) / count(*), 6) AS percentage_over_limit,
