@@ -10,9 +10,11 @@ Two fingerprints link if they differ in at most RADIUS (4) bits. To find all suc
 2. each point is embedded as the vector of its 32 popcounts over 2-bit segments. The
    Manhattan distance of two vectors is a lower bound of the Hamming distance, so only
    pairs within Manhattan distance 4 matter;
-3. grid range join: the 32 coordinates fall into GROUPS (6) groups. Within distance 4 at most
-   four groups differ at all, so two of them agree: points meet in the 15 grid cells
-   (two groups, their coordinates);
+3. grid range join: the 32 coordinates fall into g groups. Within distance 4 at most four
+   groups differ at all, so g - 4 of them agree: points meet in C(g, 4) grid cells (the
+   agreeing groups and their coordinates). More groups make more cells a point and fewer
+   points a cell; ``groups_for`` weighs both by the number of points, so work
+   stays near proportional from thousands of points (g = 5) to billions (g = 10). Any g is exact;
 4. inside a cell the pairs pass the Manhattan bound, then the exact Hamming distance.
 
 Pairs are never listed. A cell hands on only a spanning forest of its links, at most one
@@ -31,6 +33,8 @@ repeated rows each give their row; an empty table gives none; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,10 @@ from .common import checkpointed, id_and_text
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-SEGMENT_BITS, GROUPS = 2, 6
+SEGMENT_BITS = 2
 CELL = 2048
+#: Bits that the popcount of a random 2-bit segment tells apart pairs by; comparisons that cost as much as a row.
+TELLING, ROW_COST = 1.415, 200
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -81,7 +87,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long")
 
 
-def group_masks(groups: int = GROUPS) -> list[int]:
+def groups_for(points: int) -> int:
+    """The number of groups with the least work for so many points."""
+
+    def work(g: int) -> float:
+        a_cell = points / 2 ** (TELLING * 64 / SEGMENT_BITS * (g - RADIUS) / g)
+        return comb(g, RADIUS) * (1 + a_cell / 2 / ROW_COST)
+
+    return min(range(RADIUS + 1, RADIUS + 7), key=work)
+
+
+def group_masks(groups: int) -> list[int]:
     """Bits of each group of whole segments."""
     cuts = [round(64 // SEGMENT_BITS * k / groups) * SEGMENT_BITS for k in range(groups + 1)]
     return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -94,20 +110,15 @@ def popcounts(fp: np.ndarray) -> np.ndarray:
     return ((fp | other) & odd) | (((fp & other) & odd) << np.uint64(1))
 
 
-def _cells(points: DataFrame) -> DataFrame:
+def _cells(points: DataFrame, groups: int) -> DataFrame:
     """fp in each of its grid cells: (grid, cell), computed by DataFrame functions."""
     odd = 0x5555555555555555
     packed = F.expr(
         f"((fp | shiftrightunsigned(fp, 1)) & {odd}L) | shiftleft(fp & shiftrightunsigned(fp, 1) & {odd}L, 1)"
     )
-    masks = [m - (1 << 64) if m >> 63 else m for m in group_masks()]
-    grids = [(i, j) for i in range(len(masks)) for j in range(i)]
-    cells = F.array(
-        *[
-            F.struct(F.lit(k).alias("grid"), F.col("packed").bitwiseAND(F.lit(masks[i] | masks[j])).alias("cell"))
-            for k, (i, j) in enumerate(grids)
-        ]
-    )
+    masks = [sum(agreeing) for agreeing in combinations(group_masks(groups), groups - RADIUS)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    cells = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("packed").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(signed)])
     return points.withColumn("packed", packed).select("fp", F.inline(cells))
 
 
@@ -164,9 +175,9 @@ def links_in_cells(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius:
     return np.concatenate(heads), np.concatenate(tails)
 
 
-def link_edges(points: DataFrame, cell: int = CELL) -> DataFrame:
+def link_edges(points: DataFrame, cell: int = CELL, groups: int | None = None) -> DataFrame:
     """a, b: edges between distinct fingerprints (column fp) whose components are those of all links."""
-    cells = _cells(points)
+    cells = _cells(points, groups or groups_for(points.count()))
     sizes = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"))
     crowded = checkpointed(sizes.where(F.col("n") > cell).withColumn("blocks", F.ceil(F.col("n") / cell).cast("int")).select("grid", "cell", "blocks"))
     plain = cells

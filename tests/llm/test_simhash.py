@@ -68,21 +68,21 @@ def test_brute_force(table, odd):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
 
 
-@pytest.mark.parametrize("cell", [3, 2048])
-def test_links_of_dense_and_crowded_cells(spark, cell):
+@pytest.mark.parametrize(("cell", "groups"), [(3, 5), (2048, 6), (2048, 8)])
+def test_links_of_dense_and_crowded_cells(spark, cell, groups):
     """Clouds of fingerprints around a few centres; small cells are dealt into blocks."""
     rng = random.Random(cell)
     points = {0, (1 << 64) - 1}
-    for _ in range(12):
+    for _ in range(10):
         centre = rng.getrandbits(64)
         for _ in range(25):
             points.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    edges = s.link_edges(spark.createDataFrame([(p,) for p in signed], "fp long"), cell)
+    edges = s.link_edges(spark.createDataFrame([(p,) for p in signed], "fp long"), cell, groups)
     found = {r.node: r.component for r in connected_components(edges).collect()}
     want = classes([(p, q) for p, q in zip(signed, points, strict=True)])
     assert [found.get(p, p) for p in signed] == want
-    assert edges.count() < 16 * len(points)
+    assert edges.count() < 71 * len(points)
 
 
 def test_distance_bounds():
@@ -92,8 +92,9 @@ def test_distance_bounds():
     assert (lower <= np.bitwise_count(a ^ b)).all()
     counts = lambda x: np.array([[(int(v) >> k & 1) + (int(v) >> k + 1 & 1) for k in range(0, 64, 2)] for v in x])
     assert (lower == np.abs(counts(a) - counts(b)).sum(axis=1)).all()
-    masks = s.group_masks()
-    assert sum(masks) == (1 << 64) - 1 and len(masks) == 6
+    for g in range(5, 11):
+        assert sum(s.group_masks(g)) == (1 << 64) - 1 and len(s.group_masks(g)) == g
+    assert [s.groups_for(n) for n in (0, 10**5, 10**7, 10**10)] == [5, 5, 6, 9]
 
 
 def test_components_of_chains_and_stars(spark):
