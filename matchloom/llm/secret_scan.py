@@ -56,8 +56,8 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 def _spans(pattern: str, gate: Column, kind: str, keep, before: bool = False) -> Column:
     """All matches as an array of (start, rank, end, kind, value, before); gate false: none."""
-    found = F.struct(F.lit(0).alias("start"), F.lit(0).alias("rank"), F.lit(0).alias("end"), F.lit("").alias("kind"), F.lit("").alias("value"), F.lit("").alias("before"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("filter(array(%s), x -> false)" % "named_struct('start', 0, 'rank', 0, 'end', 0, 'kind', '', 'value', '', 'before', '')").alias("got"))
+    nothing = F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'end', 0, 'kind', '', 'value', '', 'before', '')), x -> false)")
+    zero = F.struct(F.lit(0).alias("at"), nothing.alias("got"))
     pairs = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"))
 
     def step(state: Column, pair: Column) -> Column:
@@ -69,8 +69,7 @@ def _spans(pattern: str, gate: Column, kind: str, keep, before: bool = False) ->
         )
         return F.struct(F.coalesce(end, start).alias("at"), F.when(pair["hit"].isNotNull() & keep(pair["hit"]), F.concat(state["got"], F.array(one))).otherwise(state["got"]).alias("got"))
 
-    del found
-    return F.when(gate, F.aggregate(pairs, zero, step, lambda s: s["got"])).otherwise(F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'end', 0, 'kind', '', 'value', '', 'before', '')), x -> false)"))
+    return F.when(gate, F.aggregate(pairs, zero, step, lambda s: s["got"])).otherwise(nothing)
 
 
 def largest_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -80,10 +79,8 @@ def largest_entropy(value: Column, window: int = WINDOW) -> Column:
     """
     nlog = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
     table = "array(" + ", ".join(f"{x!r}D" for x in nlog) + ")"
-    n = "element_at({t}, {c} + 1)"
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     pairs = F.transform(codes, lambda c, i: F.struct(c.alias("i"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1)).alias("o"), i.alias("k")))
-    del n
     weights = F.expr(table)
 
     def step(a: Column, p: Column) -> Column:
@@ -102,10 +99,9 @@ def largest_entropy(value: Column, window: int = WINDOW) -> Column:
 
     zero = F.struct(F.array_repeat(F.lit(0), 128).alias("c"), F.lit(0.0).alias("s"), F.lit(1e18).alias("m"))
     size = F.greatest(F.char_length(value), F.lit(1))
-    short = F.log2(size) - F.lit(0.0)
     return F.aggregate(
         pairs, zero, step,
-        lambda a: F.when(size < window, short - a["s"] / size).otherwise(F.lit(math.log2(window)) - a["m"] / F.lit(float(window))),
+        lambda a: F.when(size < window, F.log2(size) - a["s"] / size).otherwise(F.lit(math.log2(window)) - a["m"] / F.lit(float(window))),
     )
 
 
