@@ -9,7 +9,7 @@ so that pairs of terms, such as an insult and the group it is aimed at, have a w
 their own. The pair sum costs one pass: half of (sum of v)^2 - sum of v^2.
 
 Fitting: at most LABELLED labelled documents, those with the smallest hash of their doc_id, and only
-such whose crc32(doc_id as text) mod 5 is not 0. Counts of terms by label are a Spark aggregation
+such whose crc32(doc_id as text) mod 5 is not 0. Their texts are read once and checkpointed. Counts of terms by label are a Spark aggregation
 over these; the ACTIVE terms with the largest log-likelihood ratio, in MIN_TEXTS texts or
 more, get weights. Their occurrences in the bounded sample go to the driver, which fits the machine
 by full-batch Adam. All documents are scored whole, in a map without a shuffle. doc_id, lang,
@@ -133,9 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
         .where(~held_out(F.col("doc_id")))
     )
     texts = id_and_text(docs)
-    chosen = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    chosen = checkpointed(chosen)  # at most LABELLED rows of two numbers, which bounds what is broadcast
-    sample = texts.join(F.broadcast(chosen), "doc_id")
+    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
+    present = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = checkpointed(present.orderBy(*by_hash).limit(LABELLED))  # two numbers a row, which bounds what is broadcast
+    sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
