@@ -19,7 +19,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-MEMORY = 900_000
+MEMORY = 450_000
 SHORT = 7
 #: Letters, then ASCII punctuation without the apostrophe: two pre-tokens of either vocabulary.
 WORD = re.compile(r"^([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)$")
