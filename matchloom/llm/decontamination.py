@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates.
 
 A text becomes a sequence of words in which numbers, names and units of measure are typed
-placeholders: a number is a word that begins with a digit, a name a capitalised word that doesn't
-open a sentence, a unit a word of UNITS behind a number. Windows of WINDOW (5) words are
-hashed. A window with fewer than LEXICAL (3) other words says too little as a template; such
+placeholders: a number is a word that begins with a digit, a name a capitalised word, a unit a word of UNITS behind a number. Windows of WINDOW (5) words are
+hashed. A capitalised word that opens a sentence may be a name or not: a window is hashed in both
+readings of each such word, and any reading may meet any; it stays one window. A window with fewer than LEXICAL (3) other words says too little as a template; such
 windows are left out of an item, unless it has no others: then they are compared literally.
 
 The windows of the documents are hash-joined with those of the benchmark. A document holds an
@@ -51,8 +51,8 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F123BB5, 0x2E6D9C71, 0x3A5B7F0D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LITERAL = np.uint64(0x5851F42D4C957F2D)
 
-WINDOWS = "id long, pos int, window long, types int, slots array<long>"
-_SHAPE = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
+WINDOWS = "id long, pos int, base long, window long, types int, slots array<long>"
+_SHAPE = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("base", pa.int64()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
 
 
 def _unit_hashes() -> np.ndarray:
@@ -60,13 +60,12 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(wordhash.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hash)
 
 
-def _combined(h: np.ndarray, size: int) -> np.ndarray:
-    """Order-dependent hash of each run of `size` entries."""
-    n = len(h) - size + 1
-    out = np.full(n, np.uint64(size))
+def _combined(rows: np.ndarray) -> np.ndarray:
+    """Order-dependent hash of each row's entries."""
+    out = np.full(len(rows), np.uint64(rows.shape[1]))
     with np.errstate(over="ignore"):
-        for k in range(size):
-            out = (out ^ h[k : k + n]) * STEP
+        for k in range(rows.shape[1]):
+            out = (out ^ rows[:, k]) * STEP
             out ^= out >> np.uint64(32)
     return out
 
@@ -75,14 +74,16 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, w
     """Windows of a slice's texts, with id as the row's number; wanted: a bitmap by the hash's upper bits, or all.
 
     types has two bits a word of the window: 1 number, 2 name, 3 unit, 0 none; it is -1 for a literal window.
-    slots are the hashes of the window's words.
+    slots are the hashes of the window's words. base is the hash of the reading in which no word that opens a
+    sentence is a name; the window's other readings have rows of their own with the same base.
     """
     w = wordhash.words_of(data, offsets)
     number = w.number
     behind = np.zeros(len(number), bool)
     behind[1:] = number[:-1] & ~w.opens[1:]
     unit = behind & ~number & np.isin(w.hash, units)
-    name = w.capital & ~w.opens & ~number & ~unit
+    capital = w.capital & ~number & ~unit
+    name, open_ = capital & ~w.opens, capital & w.opens
     kind = number.astype(np.int32) + 2 * name + 3 * unit
     template = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, w.hash)))
     counts = np.bincount(w.doc, minlength=len(offsets) - 1)
@@ -97,23 +98,34 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, w
             at = firsts[counts == size]
         if not len(at):
             continue
-        plain = np.concatenate(([0], np.cumsum(kind == 0)))
-        lexical = plain[size:] - plain[:-size]
+        windows_of = lambda x, size=size: np.lib.stride_tricks.sliding_window_view(x, size)
+        lexical = (windows_of(kind)[at] == 0).sum(axis=1)
         spoken = lexical >= min(LEXICAL, size)
-        h = np.where(spoken, _combined(template, size), _combined(w.hash, size) ^ LITERAL)[at]
-        if wanted is not None:
-            ok = wanted[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
-            at, h = at[ok], h[ok]
-        columns = at[:, None] + np.arange(size)
-        types = np.where(spoken[at], (kind[columns] << (2 * np.arange(size, dtype=np.int32))).sum(axis=1), -1).astype(np.int32)
-        slots = np.zeros((len(at), WINDOW), np.int64)
-        slots[:, :size] = w.hash[columns].view(np.int64)
-        parts.append((w.doc[at], at.astype(np.int64) - (np.cumsum(counts) - counts)[w.doc[at]], h, types, slots))
+        base = np.where(spoken, _combined(windows_of(template)[at]), _combined(windows_of(w.hash)[at]) ^ LITERAL)
+        either = windows_of(open_)[at] @ (1 << np.arange(size))
+        for named in range(1 << size):
+            as_name = (named >> np.arange(size) & 1).astype(bool)
+            which = np.flatnonzero(either & named == named) if named else np.arange(len(at))
+            if named:
+                which = which[lexical[which] - as_name.sum() >= min(LEXICAL, size)]
+            h = _combined(np.where(as_name, NAME, windows_of(template)[at[which]])) if named else base
+            if wanted is not None:
+                ok = wanted[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                which, h = which[ok], h[ok]
+            if not len(which):
+                continue
+            here = at[which]
+            kinds = np.where(as_name, 2, windows_of(kind)[here])
+            types = np.where(spoken[which], (kinds << (2 * np.arange(size, dtype=np.int32))).sum(axis=1), -1).astype(np.int32)
+            slots = np.zeros((len(here), WINDOW), np.int64)
+            slots[:, :size] = windows_of(w.hash)[here].view(np.int64)
+            pos = here.astype(np.int64) - (np.cumsum(counts) - counts)[w.doc[here]]
+            parts.append((w.doc[here], pos, base[which], h, types, slots))
     if not parts:
         return pa.RecordBatch.from_pylist([], schema=_SHAPE)
-    doc, pos, h, types, slots = (np.concatenate(c) for c in zip(*parts, strict=True))
+    doc, pos, base, h, types, slots = (np.concatenate(c) for c in zip(*parts, strict=True))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * WINDOW), pa.array(slots.reshape(-1)))
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(types), lists], schema=_SHAPE)
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(base.view(np.int64)), pa.array(h.view(np.int64)), pa.array(types), lists], schema=_SHAPE)
 
 
 def windows(texts: DataFrame, bitmap=None) -> DataFrame:
@@ -139,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     spark = docs.sparkSession
     every = checkpointed(
         windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).select(
-            F.col("id").alias("item_id"), "window", F.col("types").alias("item_types"), F.col("slots").alias("item_slots")
+            F.col("id").alias("item_id"), F.col("base").alias("item_window"), "window", F.col("types").alias("item_types"), F.col("slots").alias("item_slots")
         )
     )
     speaking = every.where("item_types >= 0").select("item_id").distinct()
@@ -151,14 +163,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for row in bits.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toLocalIterator():
         words[row.word] = row.bits
     bitmap = spark.sparkContext.broadcast(words)
-    totals = items.groupBy("item_id").agg(F.countDistinct("window").alias("windows"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("item_window").alias("windows"))
     if items.limit(SMALL + 1).count() <= SMALL:
         items, totals = F.broadcast(items), F.broadcast(totals)
-    asked = windows(id_and_text(docs).select(F.col("doc_id").alias("id"), "text"), bitmap)
+    asked = windows(id_and_text(docs).select(F.col("doc_id").alias("id"), "text"), bitmap).drop("base")
     joined = asked.withColumnRenamed("id", "doc_id").join(items, "window").where("types = item_types")
-    pairs = joined.groupBy("doc_id", "item_id", "window").agg(
-        F.first("types").alias("types"), F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots")
-    )
+    pairs = joined.groupBy("doc_id", "item_id", "item_window").agg(
+        F.min(F.struct(F.bit_count("types").alias("filled"), "types", "slots", "item_slots")).alias("best")
+    ).select("doc_id", "item_id", "best.*")
     covered = pairs.groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("found"),
         F.collect_list(F.when(F.col("types") > 0, F.struct("types", "slots", "item_slots"))).alias("slotted"),

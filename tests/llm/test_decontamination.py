@@ -70,3 +70,11 @@ def test_filter(spark, table, odd):
 def test_empty_sides(spark, table, odd):
     assert d.contaminated(table([]), bench(spark, [(1, ITEM)])).collect() == []
     assert d.contaminated(table(odd), bench(spark, [])).collect() == []
+
+
+def test_names_that_open_sentences_are_slots(spark, table):
+    item = "On Monday Tom has 5 apples and walks to the market near the river. Anna buys half of these apples from him. Tom eats two apples and carries the others home again."
+    new = item.replace("Tom", "Otto").replace("Anna", "Mia").replace("5", "8")
+    got = {(r.doc_id, r.item_id): r for r in d.contaminated(table([(1, f"Some noise. {new} And noise."), (2, item), (3, "Anna eats. " * 9)]), bench(spark, [(1, item)])).collect()}
+    assert {(1, 1), (2, 1)} <= set(got) and (3, 1) not in got
+    assert got[1, 1].coverage == got[1, 1].consistency == got[2, 1].coverage == 1.0
