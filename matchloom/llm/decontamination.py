@@ -13,11 +13,16 @@ the document (the item's "3" always "7", its "Anna" always "Otto"); the share of
 fillings that do so must reach SIMILARITY too. So a question with new numbers is caught and a
 text that merely shares stock phrases isn't.
 
+A window may occur in a document several times, as when it holds an item twice with other values. So slots are judged by
+alignment (a row and the distance between the document's and the item's positions): of each window the
+occurrence nearest to the alignment counts, over all the windows or over those nearby alone, if
+these are enough. The document holds the item if any alignment passes; the best one is reported.
+
 Scale: only windows that pass a bitmap of the benchmark's window hashes leave a document
 task. The bitmap has a fixed size (2^24 bits, 2 MB), is built by a group-by and serves any
 benchmark; the join behind it is exact. The benchmark side is broadcast only if it has at most
 SMALL windows, else Spark joins by shuffle. Nothing is gathered a document beyond the windows
-that a benchmark item shares with it.
+that a benchmark item shares with it, equal fillings once with the places where they occur.
 
 Defined results: null texts count as empty and hold nothing; an item of fewer than five words is one window
 of its own length, which only a document of just these words holds; items
@@ -28,10 +33,12 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +58,10 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F123BB5, 0x2E6D9C71, 0x3A5B7F0D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LITERAL = np.uint64(0x5851F42D4C957F2D)
 
-WINDOWS = "id long, pos int, base long, window long, types int, slots array<long>"
-_SHAPE = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("base", pa.int64()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
+WINDOWS = "id long, row long, pos int, base long, window long, types int, slots array<long>"
+_SHAPE = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("base", pa.int64()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
+HELD = "doc_id long, item_id long, windows long, found long, coverage double, consistency double"
+_HELD = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int64()), ("found", pa.int64()), ("coverage", pa.float64()), ("consistency", pa.float64())])
 
 
 def _unit_hashes() -> np.ndarray:
@@ -71,7 +80,7 @@ def _combined(rows: np.ndarray) -> np.ndarray:
 
 
 def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, wanted: np.ndarray | None) -> pa.RecordBatch:
-    """Windows of a slice's texts, with id as the row's number; wanted: a bitmap by the hash's upper bits, or all.
+    """Windows of a slice's texts, with id and row as the row's number; wanted: a bitmap by the hash's upper bits, or all.
 
     types has two bits a word of the window: 1 number, 2 name, 3 unit, 0 none; it is -1 for a literal window.
     slots are the hashes of the window's words. base is the hash of the reading in which no word that opens a
@@ -125,14 +134,15 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, w
         return pa.RecordBatch.from_pylist([], schema=_SHAPE)
     doc, pos, base, h, types, slots = (np.concatenate(c) for c in zip(*parts, strict=True))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * WINDOW), pa.array(slots.reshape(-1)))
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(base.view(np.int64)), pa.array(h.view(np.int64)), pa.array(types), lists], schema=_SHAPE)
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(base.view(np.int64)), pa.array(h.view(np.int64)), pa.array(types), lists], schema=_SHAPE)
 
 
 def windows(texts: DataFrame, bitmap=None) -> DataFrame:
-    """WINDOWS of a table (id, text); bitmap: a broadcast array of 64-bit words, or None."""
+    """WINDOWS of a table (id, text), row tells rows of one id apart; bitmap: a broadcast array of 64-bit words, or None."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _unit_hashes()
+        before = TaskContext.get().partitionId() << 40
         wanted = None
         if bitmap is not None:
             wanted = np.unpackbits(np.array(bitmap.value, dtype="<i8").view(np.uint8), bitorder="little").astype(bool)
@@ -140,18 +150,58 @@ def windows(texts: DataFrame, bitmap=None) -> DataFrame:
             for a, data, offsets in wordhash.text_slices(batch.column(1)):
                 found = template_windows(data, offsets, units, wanted)
                 if found.num_rows:
-                    ids = batch.column(0).take(pa.array(found.column(0).to_numpy() + a))
-                    yield pa.RecordBatch.from_arrays([ids, *found.columns[1:]], schema=_SHAPE)
+                    rows = found.column(0).to_numpy() + a
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(rows + before), *found.columns[2:]], schema=_SHAPE)
+            before += batch.num_rows
 
     return texts.select("id", "text").mapInArrow(compute, WINDOWS)
 
 
+def consistency(fillings: list[dict]) -> float:
+    """Share of the slot fillings with the document's most frequent value for the item's."""
+    values: dict[int, Counter] = defaultdict(Counter)
+    for f in fillings:
+        for k in range(WINDOW):
+            if f["types"] >> 2 * k & 3:
+                values[f["item_slots"][k]][f["slots"][k]] += 1
+    total = sum(c.total() for c in values.values())
+    return sum(max(c.values()) for c in values.values()) / total if total else 1.0
+
+
+def best_alignment(fillings: list[dict], windows: int, found: int, similarity: float) -> tuple[int, float] | None:
+    """(windows found, consistency) of the alignment with the largest consistency, or None if none passes."""
+    if not any(f["types"] for f in fillings):
+        return found, 1.0
+    fillings = sorted(fillings, key=lambda f: (f["types"].bit_count(), f["types"], f["slots"] or [], f["item_slots"] or []))
+    number = np.repeat(np.arange(len(fillings)), [len(f["shifts"]) for f in fillings])
+    shift = np.concatenate([f["shifts"] for f in fillings]).astype(np.int64)
+    window = np.unique([f["window"] for f in fillings], return_inverse=True)[1][number]
+    text = np.unique([(f["row"], f["item_row"]) for f in fillings], axis=0, return_inverse=True)[1].reshape(-1)[number]
+    distinct = np.unique(np.stack((text, shift, window)), axis=1)
+    alignments, support = np.unique(distinct[:2], axis=1, return_counts=True)
+    best, seen = None, set()
+    for k in np.argsort(-support, kind="stable"):
+        far = np.where(text == alignments[0, k], np.abs(shift - alignments[1, k]), np.iinfo(np.int64).max)
+        order = np.lexsort((number, far, window))
+        nearest = order[np.unique(window[order], return_index=True)[1]]
+        for chosen in (nearest, nearest[far[nearest] <= windows // 2]):
+            if len(chosen) / windows < similarity or (key := tuple(sorted(number[chosen]))) in seen:
+                continue
+            seen.add(key)
+            share = consistency([fillings[i] for i in key])
+            if share >= similarity and (best is None or (share, len(chosen)) > (best[1], best[0])):
+                best = len(chosen), share
+        if best == (found, 1.0):
+            break
+    return best
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, windows (of the item), found, coverage, consistency of each item that a document holds."""
     spark = docs.sparkSession
     every = checkpointed(
         windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).select(
-            F.col("id").alias("item_id"), F.col("base").alias("item_window"), "window", F.col("types").alias("item_types"), F.col("slots").alias("item_slots")
+            F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("pos").alias("item_pos"), F.col("base").alias("item_window"), "window", F.col("types").alias("item_types"), F.col("slots").alias("item_slots")
         )
     )
     speaking = every.where("item_types >= 0").select("item_id").distinct()
@@ -168,26 +218,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         items, totals = F.broadcast(items), F.broadcast(totals)
     asked = windows(id_and_text(docs).select(F.col("doc_id").alias("id"), "text"), bitmap).drop("base")
     joined = asked.withColumnRenamed("id", "doc_id").join(items, "window").where("types = item_types")
-    pairs = joined.groupBy("doc_id", "item_id", "item_window").agg(
-        F.min(F.struct(F.bit_count("types").alias("filled"), "types", "slots", "item_slots")).alias("best")
-    ).select("doc_id", "item_id", "best.*")
-    covered = pairs.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("found"),
-        F.collect_list(F.when(F.col("types") > 0, F.struct("types", "slots", "item_slots"))).alias("slotted"),
+    slotted = F.col("types") > 0
+    met = joined.select(
+        "doc_id", "item_id", F.col("item_window").alias("window"), F.when(slotted, F.col("types")).otherwise(0).alias("types"), F.when(slotted, F.col("slots")).alias("slots"),
+        F.when(slotted, F.col("item_slots")).alias("item_slots"), "row", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"),
+    )
+    fillings = met.groupBy("doc_id", "item_id", "window", "types", "slots", "item_slots", "row", "item_row").agg(F.collect_set("shift").alias("shifts"))
+    covered = fillings.groupBy("doc_id", "item_id").agg(
+        F.countDistinct("window").cast("long").alias("found"), F.collect_list(F.struct("window", "types", "slots", "item_slots", "row", "item_row", "shifts")).alias("fillings")
     )
     likely = covered.join(totals.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
-    likely = likely.withColumn("coverage", F.col("found") / F.col("windows")).where(F.col("coverage") >= similarity)
-    filled = "flatten(transform(slotted, w -> filter(transform(sequence(0, 4), k -> struct(shiftright(w.types, 2 * k) & 3 AS kind, w.item_slots[k] AS said, w.slots[k] AS here)), x -> x.kind <> 0)))"
-    checked = (
-        likely.withColumn("filled", F.expr(filled))
-        .withColumn("said", F.expr("array_distinct(transform(filled, x -> x.said))"))
-        .withColumn(
-            "agree",
-            F.expr(
-                "aggregate(said, 0, (n, s) -> n + array_max(transform(array_distinct(transform(filter(filled, x -> x.said = s), x -> x.here)),"
-                " h -> size(filter(filled, x -> x.said = s AND x.here = h)))))"
-            ),
-        )
-        .withColumn("consistency", F.when(F.size("filled") > 0, F.col("agree") / F.size("filled")).otherwise(F.lit(1.0)))
-    )
-    return checked.where(F.col("consistency") >= similarity).select("doc_id", "item_id", "windows", "found", "coverage", "consistency")
+    likely = likely.where(F.col("found") / F.col("windows") >= similarity).select("doc_id", "item_id", "windows", "found", "fillings")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc, item, windows, found, gathered = (c[k].as_py() for c in batch.columns)
+                verdict = best_alignment(gathered, windows, found, similarity)
+                if verdict:
+                    yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, (doc, item, windows, verdict[0], verdict[0] / windows, verdict[1]), strict=True))], schema=_HELD)
+
+    return likely.mapInArrow(judge, HELD)

@@ -78,3 +78,24 @@ def test_names_that_open_sentences_are_slots(spark, table):
     got = {(r.doc_id, r.item_id): r for r in d.contaminated(table([(1, f"Some noise. {new} And noise."), (2, item), (3, "Anna eats. " * 9)]), bench(spark, [(1, item)])).collect()}
     assert {(1, 1), (2, 1)} <= set(got) and (3, 1) not in got
     assert got[1, 1].coverage == got[1, 1].consistency == got[2, 1].coverage == 1.0
+
+
+def test_slots_are_judged_by_occurrence(spark, table):
+    parts = ["today we {}", "and old {}", "met young {}", "near tall {}", "by wide {}", "beside shy {}"]
+    item = " ".join(parts).format("Anna", "Bob", "Cleo", "Dora", "Emil", "Finn")
+    rng = random.Random(5)
+    names = [f"{a}{b}" for a in "KLMNPRST" for b in ("al", "en", "ir", "od", "us")]
+    docs = [(k, f"{item}. Then this: {' '.join(parts).format(*rng.sample(names, 6))}. End") for k in range(12)]
+    again = [(100 + k // 2, item if k % 2 else " ".join(parts).format(*rng.sample(names, 6))) for k in range(24)]
+    inserted = [(200, item.replace("near", "near very") + ". " + " ".join(parts).format(*names[:6]))]
+    got = {(r.doc_id, r.item_id): r for r in d.contaminated(table(docs + again + inserted), bench(spark, [(1, item)])).collect()}
+    for i in [*range(12), *range(100, 112), 200]:
+        assert got[i, 1].coverage == got[i, 1].consistency == 1.0, i
+
+
+def test_inconsistent_slots_stay_out(spark, table):
+    item = "when Anna met him Anna gave him flowers but Anna kept one rose because Anna liked red roses"
+    other = item
+    for name in ("Kim", "Lea", "Mia", "Noa"):
+        other = other.replace("Anna", name, 1)
+    assert {r.doc_id for r in d.contaminated(table([(1, other), (2, item.replace("Anna", "Kim"))]), bench(spark, [(1, item)])).collect()} == {2}
