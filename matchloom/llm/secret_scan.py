@@ -5,13 +5,17 @@ Three fixed patterns (assign, access, hex) give the base spans. The method adds
 Each belongs to the first class that covers it:
 
     hex       0-9 a-f        windows of 20, 3.0 bits or more
+    HEX       0-9 A-F        windows of 20, 3.0 bits or more
+    lower     no upper case  windows of 20, 3.7 bits or more
+    upper     no lower case  windows of 20, 3.6 bits or more
+    letters   no digit       windows of 20, 3.9 bits or more
     base64    all the rest   windows of 20, 3.9 bits or more
 
 A window slides over the candidate one character at a time. The count of each character in
 the window is kept in an array and moves by one up for the entering and one down for the
 leaving character; with them moves sum(n * log2 n), from which the entropy follows. The
-largest entropy of any window counts. Candidates need a letter and a digit (base64: also an
-upper- and a lower-case letter) and are suppressed when an allow-list pattern fits them or
+largest entropy of any window counts. Candidates need two of digits, upper- and
+lower-case letters, so that words of one case aren't scored, and are suppressed when an allow-list pattern fits them or
 the characters before them (check sums, uuids, paths, sample keys), or when a base span
 already covers a part of them.
 
@@ -41,7 +45,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
-LIMITS = {"hex": 3.0, "base64": 3.9}
+LIMITS = {"hex": 3.0, "HEX": 3.0, "lower": 3.7, "upper": 3.6, "letters": 3.9, "base64": 3.9}
 #: Patterns of strings that are no secrets.
 ALLOWED = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -114,16 +118,15 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         .withColumn("access", _spans(ACCESS, F.contains(F.col("text"), F.lit("AKIA")), "access", always))
         .withColumn("hex", _spans(HEX, F.col("text").rlike(HEX), "hex", always))
         .withColumn("base", F.concat("assign", "access", "hex"))
-        .withColumn("runs", _spans(CANDIDATE, F.col("text").rlike(CANDIDATE), "entropy", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), before=True))
+        .withColumn("runs", _spans(CANDIDATE, F.col("text").rlike(CANDIDATE), "entropy", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") | m.rlike("[a-z]") & m.rlike("[A-Z]"), before=True))
     )
     value = lambda c: c["value"]
-    is_hex = lambda c: value(c).rlike("^[0-9a-f]+$")
-    mixed = lambda c: value(c).rlike("[a-z]") & value(c).rlike("[A-Z]")
     allowed = lambda c: value(c).rlike("|".join(f"(?:{p})" for p in ALLOWED)) | c["before"].rlike(ALLOWED_BEFORE)
     covered = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    limit = lambda c: F.when(is_hex(c), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["base64"]))
+    classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
+    limit = lambda c: F.coalesce(*[F.when(value(c).rlike(p), F.lit(LIMITS[k])) for k, p in classes.items()], F.lit(LIMITS["base64"]))
     added = F.filter(
-        F.filter("runs", lambda c: (is_hex(c) | mixed(c)) & ~allowed(c) & ~covered(c)),
+        F.filter("runs", lambda c: ~allowed(c) & ~covered(c)),
         lambda c: largest_entropy(value(c)) >= limit(c),
     )
     rows = rows.withColumn("added", F.when(F.size("runs") > 0, added).otherwise(F.col("runs")))

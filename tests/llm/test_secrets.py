@@ -66,3 +66,14 @@ def test_brute_force(table, odd):
 
 def test_empty(table):
     assert s.scan_secrets(table([])).collect() == []
+
+
+def test_keys_of_every_class_are_scored(table):
+    rng = random.Random(7)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"HEX": digits + upper[:6], "base32": upper + "234567", "base36": lower + digits, "letters": upper + lower}
+    rows = [(k, f"key {''.join(rng.choice(a) for _ in range(40))} here") for k, a in enumerate(alphabets.values())]
+    plain = ["a-rather-long-name-of-a-page-2024", "CHAPTER_TWELVE_OF_THE_BOOK_2024", "aLongNameOfSomeKindInsideSomeCode", "justsomelowercaselettersinarow", "sha256: " + "AB12" * 16]
+    got = {r.doc_id: r for r in s.scan_secrets(table(rows + [(100 + k, t) for k, t in enumerate(plain)])).collect()}
+    assert all(got[k].spans == "entropy:4:44" for k, _ in rows)
+    assert all(got[100 + k].n_entropy == 0 for k in range(len(plain)))
