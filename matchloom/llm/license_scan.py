@@ -8,8 +8,9 @@ sequence in its order, other identifiers between them allowed. A rule that names
 licence hides the rules that it contains (``hides``).
 
 Wrapped licence texts are read a second way, with single line ends taken as blanks, so that
-a sentence over several lines is known too; the identifiers of both readings count, the
-second only where the first has none of the same kind.
+a sentence over several lines is known too; a line of comment marks alone is a blank one. The rules see the
+identifiers of both readings in the order of their places (characters other than white space before them), once a place;
+n_sentences and sentence_ids have those of the second reading only where the first has none of the same kind.
 
 Only texts that hold one of ANCHORS go through this: every known sentence contains one of
 these words unbroken, so no licence can be missed. No row leaves its task: there is no shuffle.
@@ -62,6 +63,8 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-ref",
     "licensed under the mozilla public license version 2 0": "mpl-ref",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd3-names",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd3-names",
     "spdx license identifier mit": "mit-ref",
     "spdx license identifier apache 2 0": "apache-ref",
     "spdx license identifier gpl 3 0 only": "gpl3-ref",
@@ -87,33 +90,47 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-ref"], []),
     ("CC-BY-SA-4.0", ["cc-by-sa-ref"], []),
     ("BSD-3-Clause", ["bsd3-ref"], ["BSD-2-Clause"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd3-names"], ["BSD-2-Clause"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], []),
     ("MPL-2.0", ["mpl-ref"], []),
     ("ISC", ["isc-grant"], []),
     ("Proprietary", ["all-rights"], []),
 ]
 CUT = r"([.!?;])[ \t\r\n]+"
+MARKS = r"(?m)^[ \t]*[/*#;%!<>\"'-]+[ \t\r]*$"
+#: Whoever is named counts as the copyright holder.
+HOLDER = r"^neither the name of .+ nor the names of (?:its|the|their) contributors", "neither the name of the copyright holder nor the names of its contributors"
 
 
 def _identifiers(text: Column, separators: str) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """(place, identifier) of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     pieces = F.split(F.regexp_replace(F.lower(text), CUT, "$1\n"), separators)
-    normal = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    normal = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), *map(F.lit, HOLDER))
+    nothing = F.expr("cast(array() as array<struct<at:int,id:string>>)")
+
+    def step(state: Column, piece: Column) -> Column:
+        one = F.struct(state["at"].alias("at"), F.try_element_at(known, normal(piece)).alias("id"))
+        got = F.when(one["id"].isNotNull(), F.concat(state["got"], F.array(one))).otherwise(state["got"])
+        return F.struct((state["at"] + F.char_length(F.regexp_replace(piece, r"\s+", ""))).alias("at"), got.alias("got"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("got")), step, lambda s: s["got"])
 
 
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses, comma-joined."""
     anchored = F.col("text").rlike("(?i)" + "|".join(ANCHORS))
     nothing = F.array().cast("array<string>")
-    unwrapped = F.regexp_replace("text", r"([^\n])\n([^\n])", "$1 $2")
+    unmarked = F.regexp_replace("text", MARKS, "")
+    unwrapped = F.regexp_replace(unmarked, r"([^\n])\n([^\n])", "$1 $2")
+    placed = lambda x: F.coalesce(F.transform(F.array_sort(F.array_distinct(x)), lambda y: y["id"]), nothing)
+    known = lambda x: F.exists("lines", lambda y: y["id"] == x["id"])
     rows = (
         id_and_text(docs)
-        .withColumn("lines", F.when(anchored, _identifiers(F.col("text"), "\n")).otherwise(nothing))
-        .withColumn("wrapped", F.when(anchored, _identifiers(unwrapped, "\n")).otherwise(nothing))
-        .select("doc_id", F.concat("lines", F.filter("wrapped", lambda x: ~F.array_contains(F.col("lines"), x))).alias("ids"))
-        .withColumn("sequence", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")))
+        .withColumn("lines", F.when(anchored, _identifiers(unmarked, "\n")))
+        .withColumn("wrapped", F.when(anchored, _identifiers(unwrapped, "\n")))
+        .select("doc_id", placed(F.concat("lines", "wrapped")).alias("every"), placed(F.concat("lines", F.filter("wrapped", lambda x: ~known(x)))).alias("ids"))
+        .withColumn("sequence", F.concat(F.lit(" "), F.array_join("every", "  "), F.lit(" ")))
     )
     fits = F.array_distinct(
         F.filter(

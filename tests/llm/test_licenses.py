@@ -39,3 +39,42 @@ def test_tables_agree():
 
 def test_empty(table):
     assert scan_licenses(table([])).collect() == []
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_whole_texts(table):
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    grant, _, rest = MIT.split("\n\n")
+    one_line = f"{grant}\n\n{notice}\n\n{rest}"
+    marked = ["\n".join((mark + line).rstrip() for line in APACHE.split("\n")) for mark in ("// ", " * ", "# ", "")]
+    rows = [(0, one_line), (1, MIT + "\n\n" + notice), (2, BSD), *[(10 + k, t) for k, t in enumerate(marked)]]
+    rows += [(20 + k, BSD + NAMES.format(who)) for k, who in enumerate(("the copyright holder", "Foo Inc.", "the University of Bar"))]
+    got = {r.doc_id: r.licenses for r in scan_licenses(table(rows)).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "BSD-2-Clause", **{10 + k: "Apache-2.0" for k in range(4)}, **{20 + k: "BSD-3-Clause" for k in range(3)}}
