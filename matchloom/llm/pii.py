@@ -3,13 +3,14 @@
 1. Seeds: e-mail addresses, IP addresses, card and phone numbers found by fixed rules. These
    base spans always stay.
 2. Patterns: a mention is a seed, or a word with four digits or an @ in it that no seed
-   covers. Its form says which kinds it may be (``possible_kinds``). The words around it,
+   covers, or such words between blanks that together are one number in groups (``_RUN``). Its form says which kinds it may be (``possible_kinds``). The words around it,
    within REACH characters, give up to four lexical patterns: two words before, one before,
    one behind, one on either side.
 3. Graph: patterns and instances (the distinct values of mentions) are scored in turn for
    each kind. A pattern's confidence is the mean score of its instances. A seed's score is 1 for
    its kind and 0 for the others; another instance's is the damped mean of its patterns'
-   confidence, 0 at first and for kinds that its form rules out.
+   confidence, 0 at first and for kinds that its form rules out. Turns go on until no confidence
+   moves by TOLERANCE; more than TURNS of them, which damping rules out, are an error.
 4. Patterns of CONFIDENCE or more, with SEEDS distinct seeds of the kind, mark the mentions that
    no seed covers and that may be of the kind; they are added to the spans under its name.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_and_text, spans_text
 
 KINDS = ["email", "ip", "card", "phone"]
-REACH, SEEDS, CONFIDENCE, ROUNDS, DAMPING = 64, 5, 0.8, 3, 0.9
+REACH, SEEDS, CONFIDENCE, TOLERANCE, TURNS, DAMPING = 64, 5, 0.8, 1e-4, 300, 0.9
 SMALL = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +47,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _SPECIAL = re.compile(r"[0-9]+|@")
+#: Groups of up to six digits or masking characters with single blanks, at most LONGEST_RUN characters without the marks.
+_GROUP = r"[0-9xX*]{1,6}"
+_WORD = rf"(?:\({_GROUP}\)|{_GROUP})(?:[-./]{_GROUP})*"
+_RUN = re.compile(rf"(?<![^\s\"'\[<]){_WORD}(?:[ \t\u00a0]{_WORD})+(?=[\"'\])>,.;:!?]*(?:\s|$))")
+SHORTEST_RUN, LONGEST_RUN = 7, 19
 _EDGE = "\"'()[]{}<>,;:!?.*#&%$|"
 
 
@@ -93,9 +99,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def number_runs(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Numbers in groups between blanks that no span touches."""
+    k = 0
+    for m in _RUN.finditer(text):
+        signs = len(re.findall(r"[0-9xX*]", m[0]))
+        if not SHORTEST_RUN <= signs <= LONGEST_RUN or sum(c in "0123456789" for c in m[0]) < 4 or not possible_kinds(m[0]):
+            continue
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k == len(spans) or spans[k][0] >= m.end():
+            yield m.span()
+
+
 def other_mentions(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with four digits or an @ that no seed touches."""
+    """Words with four digits or an @, and numbers in groups, that no seed touches."""
     spans = sorted((s, e) for s, _, e in taken)
+    runs = list(number_runs(text, spans))
+    yield from runs
+    spans = sorted(spans + runs)
     k = done = 0
     for m in _SPECIAL.finditer(text):
         if m.start() < done:
@@ -181,15 +203,21 @@ def trusted_patterns(scanned: DataFrame, seeds: int = SEEDS, confidence: float =
     seeded = graph.groupBy("pattern").agg(*[F.sum(f"seed{k}").alias(f"n{k}") for k in kinds]).where(F.greatest(*[F.col(f"n{k}") for k in kinds]) >= seeds)
     graph = checkpointed(graph.join(seeded, "pattern"))
     scores = graph.groupBy("instance").agg(*[F.max(f"seed{k}").alias(f"s{k}") for k in kinds])
-    for turn in range(ROUNDS):
+    before = None
+    for turn in range(TURNS):
         beliefs = graph.join(scores, "instance").groupBy("pattern").agg(*[F.avg(f"s{k}").alias(f"c{k}") for k in kinds], *[F.max(f"n{k}").alias(f"n{k}") for k in kinds])
         beliefs = checkpointed(beliefs)
-        if turn + 1 < ROUNDS:
-            seed = F.max("rank") >= 0
-            score = [
-                F.when(seed, F.max(f"seed{k}")).when(F.min("may").bitwiseAND(1 << k) != 0, DAMPING * F.avg(f"c{k}")).otherwise(0.0).alias(f"s{k}") for k in kinds
-            ]
-            scores = checkpointed(graph.join(beliefs.drop(*[f"n{k}" for k in kinds]), "pattern").groupBy("instance").agg(*score))
+        if turn % 4 == 3:
+            now = beliefs.join(before.select(F.col("pattern"), *[F.col(f"c{k}").alias(f"b{k}") for k in kinds]), "pattern")
+            moved = now.agg(F.max(F.greatest(*[F.abs(F.col(f"c{k}") - F.col(f"b{k}")) for k in kinds]))).first()[0]
+            if moved is None or moved < TOLERANCE:
+                break
+        before = beliefs
+        seed = F.max("rank") >= 0
+        score = [F.when(seed, F.max(f"seed{k}")).when(F.min("may").bitwiseAND(1 << k) != 0, DAMPING * F.avg(f"c{k}")).otherwise(0.0).alias(f"s{k}") for k in kinds]
+        scores = graph.join(beliefs.drop(*[f"n{k}" for k in kinds]), "pattern").groupBy("instance").agg(*score)
+    else:
+        raise RuntimeError(f"confidences still move after {TURNS} turns")
     best = F.array_max(F.array(*[F.struct(F.when(F.col(f"n{k}") >= seeds, F.col(f"c{k}")).otherwise(0.0).alias("confidence"), F.lit(-k).alias("k")) for k in kinds]))
     return beliefs.select("pattern", best.alias("best")).where(F.col("best.confidence") >= confidence).select("pattern", (-F.col("best.k")).alias("rank"), F.col("best.confidence").alias("confidence"))
 

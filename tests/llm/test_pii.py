@@ -68,3 +68,22 @@ def test_bounds_make_no_difference(table, monkeypatch):
 
 def test_empty(table):
     assert pii.find_private_data(table([])).collect() == []
+
+
+def test_contexts_with_mostly_unseen_identifiers(table):
+    rows = [(k, f"word{'abcdefghij'[k % 10]} your caller line {'+49 30 ' + str(5551000 + k) if k < 12 else 'x-' + str(7000 + k)} thanks") for k in range(30)]
+    got = {r.doc_id: r for r in pii.find_private_data(table(rows)).collect()}
+    assert all(got[k].n_context == (k >= 12) for k in range(30))
+
+
+def test_numbers_in_groups(table):
+    groups = ["555 123 4567", "(555) 123-4567", "555 123-4567", "5551 2345"]
+    rows = [(k, f"caller line +49 30 {5551000 + k} thanks") for k in range(30)] + [(50 + k, f"caller line {g}, thanks") for k, g in enumerate(groups)]
+    rows += [(100 + k, f"my card no. {c} expires") for k, c in enumerate(CARDS)] + [(200, "my card no. XXXX XXXX XXXX 1234 expires")]
+    got = {r.doc_id: r for r in pii.find_private_data(table(rows)).collect()}
+    assert [got[50 + k].spans for k in range(4)] == [f"phone:12:{12 + len(g)}" for g in groups]
+    assert got[200].spans == "card:12:31"
+    assert list(pii.other_mentions("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 of 2024", [])) == [(42, 46)]
+
+
+CARDS = [str(n) for n in range(4111111111111000, 4111111111111400) if luhn(str(n))][:30]
