@@ -17,8 +17,9 @@ A reader can fetch any id range: the chunk index gives the planes' places.
 A task writes its shard under a name of its own and then renames it, so that a repeated or
 speculative task leaves one whole shard. Memory: one block and one batch of texts a task.
 
-Defined results: null and empty texts have the end id alone; rows that repeat a doc_id stand
-side by side, ordered by text; an empty table gives an empty data set; other columns are not looked at.
+Defined results: null and empty texts have the end id alone; rows that repeat a doc_id, or have none,
+stand side by side, ordered by the first 64 characters of the text, and may fill several shards; a very
+long text has as many blocks as it needs; an empty table gives an empty data set; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -137,15 +138,17 @@ class ShardReader:
         return join_planes([self.unzip.decompress(raw[e - s : e]) for s, e in zip(sizes, ends, strict=True)], n, self.index["planes"])
 
     def documents(self) -> Iterator[tuple[int | None, bytes]]:
-        held, have, k = [], 0, 0
+        """Each document's ids are copied once, out of the blocks that hold them."""
+        block, at, k = memoryview(b""), 0, 0
         for doc_id, count in zip(self.doc_ids, self.counts.tolist(), strict=True):
-            while have < count:
-                held.append(self.block(k).tobytes())
-                have += len(held[-1]) // 4
-                k += 1
-            rest = b"".join(held) if len(held) != 1 else held[0]
-            yield doc_id, rest[: 4 * count]
-            held, have = [rest[4 * count :]], have - count
+            parts, need = [], 4 * count
+            while need:
+                if at == len(block):
+                    block, at, k = memoryview(self.block(k).view(np.uint8)), 0, k + 1
+                parts.append(block[at : at + need])
+                at += len(parts[-1])
+                need -= len(parts[-1])
+            yield doc_id, b"".join(parts)
 
 
 @dataclass(frozen=True)
@@ -188,7 +191,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
             yield pa.RecordBatch.from_pydict({"part": [part], "shard": [name], "n_docs": [len(writer.counts)], "n_ids": [writer.n_ids]}, schema=shape)
 
     shape = pa.schema([("part", pa.int64()), ("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, or of none, may fill many shards: of these the text's beginning and then the row decides.
+    ranges = ("doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id())
+    ordered = id_and_text(docs).repartitionByRange(*ranges).sortWithinPartitions("doc_id", "text")
     written = ordered.select("doc_id", "text", F.char_length("text").alias("chars")).mapInArrow(write, "part long, shard string, n_docs long, n_ids long")
     shards, start = [], 0
     for row in checkpointed(written).orderBy("part").collect():

@@ -83,30 +83,33 @@ class ChunkEncoder:
         ends = re.compile(r"(?:[.!?][\"')\]]*|Ċ)(?:</w>)?$")
         return np.array([bool(ends.search(self.tokenizer.id_to_token(i) or "")) for i in range(size)])
 
-    def _word(self, core: str, blank: bool) -> bytes | None:
+    def _key(self, core: str) -> str | None:
+        """What a run of letters is remembered and asked by; None where the library may lower-case it in another way than Python."""
+        if self.keeps_blanks:
+            return core
+        if not core.isascii() and ("Σ" in core or not unicodedata.is_normalized("NFC", core)):
+            return None
+        return core.lower()
+
+    def _word(self, key: str, blank: bool) -> bytes | None:
         """Ids of one run of letters by the library's model, which the pre-tokenizer would hand it alone."""
-        if not self.keeps_blanks:
-            if not core.isascii():
-                if "Σ" in core or not unicodedata.is_normalized("NFC", core):
-                    return None
-            core = core.lower()
-            if not core.isalpha():
-                return None
-        raw = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if not key.isalpha():
+            return None
+        raw = key if key.isascii() else key.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [t.id for t in self.tokenizer.model.tokenize("Ġ" + raw if blank else raw)]).tobytes()
 
     def _learn(self, memory: Memory, c: str) -> bytes | None:
         """Letters with punctuation behind them word by word, all else by the whole tokenizer."""
         found = WORD.match(c)
-        if found:
-            core, tail = found.groups()
-            key = core if self.keeps_blanks else core.lower()
+        key = self._key(found[1]) if found else None
+        if key is not None:
             ids = memory.get(key)
-            if ids is None and core.isalpha():
-                ids = self._word(core, memory.blank)
+            if ids is None:
+                ids = self._word(key, memory.blank)
                 if ids is not None:
                     memory[key] = ids
             if ids is not None:
+                tail = found[2]
                 if not tail:
                     return ids
                 end = self.tails.get(tail)

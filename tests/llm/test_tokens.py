@@ -26,6 +26,36 @@ def test_ids_are_the_librarys(path, monkeypatch):
         assert known.encode(part) == [tokens.ids_bytes(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("memory", [10, 450_000])
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_do_not_depend_on_what_came_before(path, memory, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", memory)
+    rng = random.Random(8)
+    letters = "aAbBzZéÉëßẞſıİIiΣσςΛλοΟГгґЯяЙйﬁǅǆКKÅÅ日本한글ئآاُ"
+    stems = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    chunks = [f(w) + rng.choice(["", "", ",", "!)", "'s", "1"]) for w in [*stems, "λογος", "ΛΟΓΟΣ", "λογοσ"] for f in (str, str.upper, str.lower, str.title)]
+    library = Tokenizer.from_file(path)
+    for seed in range(2):
+        rng.shuffle(chunks)
+        known = tokens.ChunkEncoder(path)
+        for some in (chunks, chunks[::-1], [" ".join(chunks[k : k + 9]) for k in range(0, len(chunks), 9)]):
+            for k in range(0, len(some), 50):
+                part = some[k : k + 50]
+                assert known.encode(part) == [tokens.ids_bytes(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_rows_without_id_fill_many_shards(spark, table):
+    rows = [(None, "same words here")] * 900 + [(5, "same words here")] * 300 + [(k, f"other {k}") for k in range(100)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = token_files.write_token_files(table(rows), WORD, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files.shards) > 2 and max(n for _, _, n, _ in files.shards) < 900
+    got = sorted(token_files.read_token_files(spark, files).collect(), key=lambda r: r.start)
+    assert len(got) == 1300 and [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_planes_round_trip(planes):
     rng = np.random.default_rng(0)
