@@ -23,6 +23,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """doc_id, text and digest, the MD5 of the text: together they tell rows apart that repeat a doc_id or have none."""
+    return id_and_text(docs).withColumn("digest", F.unhex(F.md5("text")))
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -1,10 +1,13 @@
 """Benchmark decontamination by templates.
 
 A text becomes a sequence of words in which numbers, names and units of measure are typed
-placeholders: a number is a word that begins with a digit, a name a capitalised word, a unit a word of UNITS behind a number. Windows of WINDOW (5) words are
-hashed. A capitalised word that opens a sentence may be a name or not: a window is hashed in both
-readings of each such word, and any reading may meet any; it stays one window. A window with fewer than LEXICAL (3) other words says too little as a template; such
-windows are left out of an item, unless it has no others: then they are compared literally.
+placeholders: a number is a word that begins with a digit, a name a capitalised word, a unit a
+word of UNITS behind a number. Windows of WINDOW (5) words are hashed. A capitalised word that
+opens a sentence may be a name or not: a window is hashed in both readings of each such word.
+It is hashed in one more reading, in which no word is a name, so that a copy in other case is
+found. Any reading may meet any; it stays one window. A window with fewer than LEXICAL (3) other
+words says too little as a template; such windows are left out of an item, unless it has no
+others: then they are compared literally.
 
 The windows of the documents are hash-joined with those of the benchmark. A document holds an
 item if it has at least SIMILARITY (0.8) of the item's distinct windows, and if its slots are
@@ -20,15 +23,20 @@ these are enough. The document holds the item if any alignment passes; the best
 
 Scale: only windows that pass a bitmap of the benchmark's window hashes leave a document
 task. The bitmap has a fixed size (2^24 bits, 2 MB), is built by a group-by and serves any
-benchmark; the join behind it is exact. The benchmark side is broadcast only if it has at most
-SMALL windows, else Spark joins by shuffle. Nothing is gathered a document beyond the windows
-that a benchmark item shares with it, equal fillings once with the places where they occur.
-
-Defined results: null texts count as empty and hold nothing; an item of fewer than five words is one window
-of its own length, which only a document of just these words holds; items
-without any word are never held; rows that repeat a doc_id are taken together; null ids are
-ids like others; of equal items each is reported; an empty table on either side gives an empty
-result; other columns are not looked at.
+benchmark; the join behind it is exact. A document that holds an item lacks at most a fifth of
+its windows, so it has at least one of any set of more windows than that: documents and
+items first meet in the item's rarest such windows alone (``rarest``), which stock phrases shared by
+many items are not among, and only these pairs are joined by all their windows. The benchmark side is
+broadcast only if it has at most SMALL windows, else Spark joins by shuffle. Nothing is gathered a
+document beyond the windows that a benchmark item shares with it, equal fillings once with the places
+where they occur. Copies of a row, and of an item, go through once.
+
+Defined results: null texts count as empty and hold nothing; very long texts are read whole; an item of
+fewer than five words is one window of its own length, which only a document of just these words
+holds; items without any word are never held; every row is judged by its own text, and a doc_id (null
+like others) that rows repeat is reported once an item, with the best of them; so is an item_id;
+of equal items each is reported; an empty table on either side gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -38,12 +46,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import checkpointed, id_and_text
+from .common import checkpointed, keyed_text
 
 WINDOW, LEXICAL, SIMILARITY = 5, 3, 0.8
 MAP_BITS = 24
@@ -58,10 +65,10 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F123BB5, 0x2E6D9C71, 0x3A5B7F0D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LITERAL = np.uint64(0x5851F42D4C957F2D)
 
-WINDOWS = "id long, row long, pos int, base long, window long, types int, slots array<long>"
-_SHAPE = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("base", pa.int64()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
-HELD = "doc_id long, item_id long, windows long, found long, coverage double, consistency double"
-_HELD = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int64()), ("found", pa.int64()), ("coverage", pa.float64()), ("consistency", pa.float64())])
+WINDOWS = "doc_id long, digest binary, pos int, base long, window long, types int, slots array<long>"
+_SHAPE = pa.schema([("pos", pa.int32()), ("base", pa.int64()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
+HELD = "doc_id long, digest binary, item binary, windows long, found long, coverage double, consistency double"
+_HELD = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("item", pa.binary()), ("windows", pa.int64()), ("found", pa.int64()), ("coverage", pa.float64()), ("consistency", pa.float64())])
 
 
 def _unit_hashes() -> np.ndarray:
@@ -79,8 +86,8 @@ def _combined(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, wanted: np.ndarray | None) -> pa.RecordBatch:
-    """Windows of a slice's texts, with id and row as the row's number; wanted: a bitmap by the hash's upper bits, or all.
+def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Rows (counted from the slice's first) and windows of a slice's texts; wanted: a bitmap by the hash's upper bits, or all.
 
     types has two bits a word of the window: 1 number, 2 name, 3 unit, 0 none; it is -1 for a literal window.
     slots are the hashes of the window's words. base is the hash of the reading in which no word that opens a
@@ -93,9 +100,11 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, w
     unit = behind & ~number & np.isin(w.hash, units)
     capital = w.capital & ~number & ~unit
     name, open_ = capital & ~w.opens, capital & w.opens
-    kind = number.astype(np.int32) + 2 * name + 3 * unit
-    template = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, w.hash)))
+    fixed = number.astype(np.int32) + 3 * unit
+    unnamed = np.where(number, NUMBER, np.where(unit, UNIT, w.hash))
+    kind, template = fixed + 2 * name, np.where(name, NAME, unnamed)
     counts = np.bincount(w.doc, minlength=len(offsets) - 1)
+    firsts = np.cumsum(counts) - counts
     parts: list[tuple[np.ndarray, ...]] = []
     for size in range(1, WINDOW + 1):
         if len(w.hash) < size:
@@ -103,58 +112,65 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, units: np.ndarray, w
         if size == WINDOW:
             at = np.flatnonzero(w.doc[: len(w.doc) - size + 1] == w.doc[size - 1 :])
         else:  # texts of just so many words
-            firsts = np.cumsum(counts) - counts
             at = firsts[counts == size]
         if not len(at):
             continue
         windows_of = lambda x, size=size: np.lib.stride_tricks.sliding_window_view(x, size)
+        enough = min(LEXICAL, size)
         lexical = (windows_of(kind)[at] == 0).sum(axis=1)
-        spoken = lexical >= min(LEXICAL, size)
+        spoken = lexical >= enough
         base = np.where(spoken, _combined(windows_of(template)[at]), _combined(windows_of(w.hash)[at]) ^ LITERAL)
         either = windows_of(open_)[at] @ (1 << np.arange(size))
-        for named in range(1 << size):
-            as_name = (named >> np.arange(size) & 1).astype(bool)
-            which = np.flatnonzero(either & named == named) if named else np.arange(len(at))
-            if named:
-                which = which[lexical[which] - as_name.sum() >= min(LEXICAL, size)]
-            h = _combined(np.where(as_name, NAME, windows_of(template)[at[which]])) if named else base
+
+        def take(which: np.ndarray, h: np.ndarray, kinds: np.ndarray, types: np.ndarray | None = None, size=size, at=at, base=base, windows_of=windows_of) -> None:
             if wanted is not None:
                 ok = wanted[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
-                which, h = which[ok], h[ok]
-            if not len(which):
-                continue
-            here = at[which]
-            kinds = np.where(as_name, 2, windows_of(kind)[here])
-            types = np.where(spoken[which], (kinds << (2 * np.arange(size, dtype=np.int32))).sum(axis=1), -1).astype(np.int32)
-            slots = np.zeros((len(here), WINDOW), np.int64)
-            slots[:, :size] = windows_of(w.hash)[here].view(np.int64)
-            pos = here.astype(np.int64) - (np.cumsum(counts) - counts)[w.doc[here]]
-            parts.append((w.doc[here], pos, base[which], h, types, slots))
+                which, h, kinds = which[ok], h[ok], kinds[ok]
+                types = types[ok] if types is not None else None
+            if len(which):
+                here = at[which]
+                shape = (kinds << (2 * np.arange(size, dtype=np.int32))).sum(axis=1).astype(np.int32)
+                slots = np.zeros((len(here), WINDOW), np.int64)
+                slots[:, :size] = windows_of(w.hash)[here].view(np.int64)
+                parts.append((w.doc[here], here - firsts[w.doc[here]], base[which], h, shape if types is None else np.where(types, shape, -1), slots))
+
+        take(np.arange(len(at)), base, windows_of(kind)[at], spoken)
+        for named in range(1, 1 << size):
+            as_name = (named >> np.arange(size) & 1).astype(bool)
+            which = np.flatnonzero(either & named == named)
+            which = which[lexical[which] - as_name.sum() >= enough]
+            if len(which):
+                take(which, _combined(np.where(as_name, NAME, windows_of(template)[at[which]])), np.where(as_name, 2, windows_of(kind)[at[which]]))
+        plain = windows_of(name)[at].any(axis=1) & ((windows_of(fixed)[at] == 0).sum(axis=1) >= enough)
+        if wanted is None:
+            plain &= spoken  # a window that is left out of an item is so in all readings
+        which = np.flatnonzero(plain)
+        if len(which):
+            take(which, _combined(windows_of(unnamed)[at[which]]), windows_of(fixed)[at[which]])
     if not parts:
-        return pa.RecordBatch.from_pylist([], schema=_SHAPE)
+        return np.zeros(0, np.int64), pa.RecordBatch.from_pylist([], schema=_SHAPE)
     doc, pos, base, h, types, slots = (np.concatenate(c) for c in zip(*parts, strict=True))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * WINDOW), pa.array(slots.reshape(-1)))
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(base.view(np.int64)), pa.array(h.view(np.int64)), pa.array(types), lists], schema=_SHAPE)
+    return doc, pa.RecordBatch.from_arrays([pa.array(pos.astype(np.int32)), pa.array(base.view(np.int64)), pa.array(h.view(np.int64)), pa.array(types), lists], schema=_SHAPE)
 
 
 def windows(texts: DataFrame, bitmap=None) -> DataFrame:
-    """WINDOWS of a table (id, text), row tells rows of one id apart; bitmap: a broadcast array of 64-bit words, or None."""
+    """WINDOWS of a table (doc_id, digest, text); bitmap: a broadcast array of 64-bit words, or None."""
+    names = ["doc_id", "digest", *_SHAPE.names]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _unit_hashes()
-        before = TaskContext.get().partitionId() << 40
         wanted = None
         if bitmap is not None:
             wanted = np.unpackbits(np.array(bitmap.value, dtype="<i8").view(np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            for a, data, offsets in wordhash.text_slices(batch.column(1)):
-                found = template_windows(data, offsets, units, wanted)
-                if found.num_rows:
-                    rows = found.column(0).to_numpy() + a
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(rows + before), *found.columns[2:]], schema=_SHAPE)
-            before += batch.num_rows
+            for a, data, offsets in wordhash.text_slices(batch.column(2)):
+                rows, found = template_windows(data, offsets, units, wanted)
+                if len(rows):
+                    at = pa.array(rows + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *found.columns], names=names)
 
-    return texts.select("id", "text").mapInArrow(compute, WINDOWS)
+    return texts.select("doc_id", "digest", "text").mapInArrow(compute, WINDOWS)
 
 
 def consistency(fillings: list[dict]) -> float:
@@ -176,12 +192,10 @@ def best_alignment(fillings: list[dict], windows: int, found: int, similarity: f
     number = np.repeat(np.arange(len(fillings)), [len(f["shifts"]) for f in fillings])
     shift = np.concatenate([f["shifts"] for f in fillings]).astype(np.int64)
     window = np.unique([f["window"] for f in fillings], return_inverse=True)[1][number]
-    text = np.unique([(f["row"], f["item_row"]) for f in fillings], axis=0, return_inverse=True)[1].reshape(-1)[number]
-    distinct = np.unique(np.stack((text, shift, window)), axis=1)
-    alignments, support = np.unique(distinct[:2], axis=1, return_counts=True)
+    alignments, support = np.unique(np.unique(np.stack((shift, window)), axis=1)[0], return_counts=True)
     best, seen = None, set()
     for k in np.argsort(-support, kind="stable"):
-        far = np.where(text == alignments[0, k], np.abs(shift - alignments[1, k]), np.iinfo(np.int64).max)
+        far = np.abs(shift - alignments[k])
         order = np.lexsort((number, far, window))
         nearest = order[np.unique(window[order], return_index=True)[1]]
         for chosen in (nearest, nearest[far[nearest] <= windows // 2]):
@@ -196,46 +210,64 @@ def best_alignment(fillings: list[dict], windows: int, found: int, similarity: f
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, windows (of the item), found, coverage, consistency of each item that a document holds."""
+def rarest(items: DataFrame, totals: DataFrame, similarity: float) -> DataFrame:
+    """item, item_window: of each item its windows in the fewest items, one more than a document that holds it may lack."""
+    spread = items.select("item", "item_window").distinct()
+    shared = spread.groupBy("item_window").agg(F.count(F.lit(1)).alias("shared"))
+    order = Window.partitionBy("item").orderBy("shared", "item_window")
+    nth = spread.join(shared, "item_window").withColumn("nth", F.row_number().over(order)).join(totals, "item")
+    return nth.where(F.col("nth") <= F.col("windows") - F.ceil(similarity * F.col("windows") - 1e-9) + 1).select("item", "item_window")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """HELD: doc_id and digest of a row's text, item (digest of its text), windows (of the item), found, coverage, consistency."""
     spark = docs.sparkSession
+    texts = keyed_text(benchmark.select(F.col("item_id").alias("doc_id"), "text")).dropDuplicates(["digest"])
     every = checkpointed(
-        windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).select(
-            F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("pos").alias("item_pos"), F.col("base").alias("item_window"), "window", F.col("types").alias("item_types"), F.col("slots").alias("item_slots")
-        )
-    )
-    speaking = every.where("item_types >= 0").select("item_id").distinct()
-    items = checkpointed(
-        every.where("item_types >= 0").unionByName(every.join(speaking.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of")), "left_anti"))
+        windows(texts).select(F.col("digest").alias("item"), F.col("pos").alias("item_pos"), F.col("base").alias("item_window"), "window", F.col("types").alias("item_types"), F.col("slots").alias("item_slots"))
     )
+    speaking = every.where("item_types >= 0").select("item").distinct()
+    items = checkpointed(every.where("item_types >= 0").unionByName(every.join(speaking, "item", "left_anti")))
     bits = items.select(F.expr(f"shiftrightunsigned(window, {64 - MAP_BITS})").alias("bit")).distinct()
     words = [0] * (1 << (MAP_BITS - 6))
     for row in bits.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toLocalIterator():
         words[row.word] = row.bits
     bitmap = spark.sparkContext.broadcast(words)
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_window").alias("windows"))
+    totals = items.groupBy("item").agg(F.countDistinct("item_window").alias("windows"))
+    first = checkpointed(items.join(rarest(items, totals, similarity), ["item", "item_window"]).select("item", "window", "item_types").distinct())
     if items.limit(SMALL + 1).count() <= SMALL:
-        items, totals = F.broadcast(items), F.broadcast(totals)
-    asked = windows(id_and_text(docs).select(F.col("doc_id").alias("id"), "text"), bitmap).drop("base")
-    joined = asked.withColumnRenamed("id", "doc_id").join(items, "window").where("types = item_types")
+        items, totals, first = F.broadcast(items), F.broadcast(totals), F.broadcast(first)
+    asked = checkpointed(windows(keyed_text(docs), bitmap).drop("base").distinct())
+    pairs = asked.join(first, "window").where("types = item_types").select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of"), "item").distinct()
+    of_pairs = asked.join(pairs, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of"))).drop("of_id", "of")
+    joined = of_pairs.join(items, ["item", "window"]).where("types = item_types")
     slotted = F.col("types") > 0
     met = joined.select(
-        "doc_id", "item_id", F.col("item_window").alias("window"), F.when(slotted, F.col("types")).otherwise(0).alias("types"), F.when(slotted, F.col("slots")).alias("slots"),
-        F.when(slotted, F.col("item_slots")).alias("item_slots"), "row", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        "doc_id", "digest", "item", F.col("item_window").alias("window"), F.when(slotted, F.col("types")).otherwise(0).alias("types"), F.when(slotted, F.col("slots")).alias("slots"),
+        F.when(slotted, F.col("item_slots")).alias("item_slots"), (F.col("pos") - F.col("item_pos")).alias("shift"),
     )
-    fillings = met.groupBy("doc_id", "item_id", "window", "types", "slots", "item_slots", "row", "item_row").agg(F.collect_set("shift").alias("shifts"))
-    covered = fillings.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("window").cast("long").alias("found"), F.collect_list(F.struct("window", "types", "slots", "item_slots", "row", "item_row", "shifts")).alias("fillings")
+    fillings = met.groupBy("doc_id", "digest", "item", "window", "types", "slots", "item_slots").agg(F.collect_set("shift").alias("shifts"))
+    covered = fillings.groupBy("doc_id", "digest", "item").agg(
+        F.countDistinct("window").cast("long").alias("found"), F.collect_list(F.struct("window", "types", "slots", "item_slots", "shifts")).alias("fillings")
     )
-    likely = covered.join(totals.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
-    likely = likely.where(F.col("found") / F.col("windows") >= similarity).select("doc_id", "item_id", "windows", "found", "fillings")
+    likely = covered.join(totals, "item").where(F.col("found") / F.col("windows") >= similarity).select("doc_id", "digest", "item", "windows", "found", "fillings")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc, item, windows, found, gathered = (c[k].as_py() for c in batch.columns)
+                doc, digest, item, windows, found, gathered = (c[k].as_py() for c in batch.columns)
                 verdict = best_alignment(gathered, windows, found, similarity)
                 if verdict:
-                    yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, (doc, item, windows, verdict[0], verdict[0] / windows, verdict[1]), strict=True))], schema=_HELD)
+                    yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, (doc, digest, item, windows, verdict[0], verdict[0] / windows, verdict[1]), strict=True))], schema=_HELD)
 
     return likely.mapInArrow(judge, HELD)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, windows (of the item), found, coverage, consistency of each item that a document holds."""
+    held = contaminated_rows(docs, benchmark, similarity)
+    named = keyed_text(benchmark.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), F.col("digest").alias("item")).distinct()
+    best = F.max(F.struct("consistency", "coverage", "found", "windows"))
+    return (
+        held.join(named, "item").groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.windows", "best.found", "best.coverage", "best.consistency")
+    )

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text
+from .common import checkpointed, id_and_text, keyed_text
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -75,16 +75,18 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every document."""
-    shape = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """The other columns of a table with text and fp, the fingerprint as a signed long."""
+    others = texts.drop("text")
+    width = len(others.columns)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=shape)
+            fps = np.fromiter((fingerprint(t) for t in batch.column(width).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:width], "fp"])
 
-    return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others.schema)
+    return texts.select(*others.columns, "text").mapInArrow(compute, f"{schema}, fp long")
 
 
 def groups_for(points: int) -> int:
@@ -212,14 +214,29 @@ def link_edges(points: DataFrame, cell: int = CELL, groups: int | None = None) -
     return work.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id."""
-    prints = checkpointed(fingerprints(docs))
+def classes(prints: DataFrame) -> DataFrame:
+    """fp, class (its smallest fingerprint) and component_id of every distinct fingerprint of a table (doc_id, fp)."""
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = connected_components(link_edges(points.select("fp")))
-    named = points.join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
+    named = points.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_least"))
-    classes = named.join(least, "component", "left").select("fp", F.coalesce("component_least", "least").alias("component_id"))
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return named.join(least, "component", "left").select("fp", "class", F.coalesce("component_least", "least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id."""
+    prints = checkpointed(fingerprints(id_and_text(docs)))
+    return prints.join(classes(prints).drop("class"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, stays, n: which distinct rows (doc_id and text's digest) are their class's first, and how often they occur.
+
+    The first of a class has its smallest doc_id (a null one comes last), of rows with that the smallest digest.
+    """
+    prints = checkpointed(fingerprints(keyed_text(docs)))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    rows = prints.groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("n")).join(classes(prints).drop("component_id"), "fp")
+    rows = checkpointed(rows.withColumn("row", row).select("row", "class", "n"))
+    first = rows.groupBy("class").agg(F.min("row").alias("first"))
+    return rows.join(first, "class").select("row.doc_id", "row.digest", (F.col("row") == F.col("first")).alias("stays"), "n")

@@ -17,7 +17,7 @@ import pyarrow as pa
 SLICE = 1 << 20
 #: Multipliers of the hash.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-LONGEST = 1 << 12
+LOW_BITS = 12
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -28,7 +28,18 @@ _LOWER[65:91] += 32
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(LONGEST - 1, BASE))), dtype=np.uint64)
+    _POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full((1 << LOW_BITS) - 1, BASE))), dtype=np.uint64)
+    _STRIDE = _POWERS[-1] * BASE
+
+
+def powers(k: np.ndarray) -> np.ndarray:
+    """BASE to each of the exponents, for words of any length."""
+    most = int(k.max(initial=0))
+    if most < 1 << LOW_BITS:
+        return _POWERS[k]
+    with np.errstate(over="ignore"):
+        high = np.cumprod(np.concatenate(([np.uint64(1)], np.full(most >> LOW_BITS, _STRIDE))), dtype=np.uint64)
+        return _POWERS[k & ((1 << LOW_BITS) - 1)] * high[k >> LOW_BITS]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -104,9 +115,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     wstarts = places[starts] - 1
     lengths = np.diff(np.concatenate((wstarts, [len(kept)])))
     k = np.arange(len(kept)) - np.repeat(wstarts, lengths)
-    np.minimum(k, LONGEST - 1, out=k)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * _POWERS[k], wstarts)
+        h = np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * powers(k), wstarts)
         h = mix(h)
     lead = data[starts]
     capital = (lead >= 65) & (lead <= 90)

@@ -99,3 +99,27 @@ def test_inconsistent_slots_stay_out(spark, table):
     for name in ("Kim", "Lea", "Mia", "Noa"):
         other = other.replace("Anna", name, 1)
     assert {r.doc_id for r in d.contaminated(table([(1, other), (2, item.replace("Anna", "Kim"))]), bench(spark, [(1, item)])).collect()} == {2}
+
+
+def test_copies_in_other_case_are_found(spark, table):
+    item = "Once Anna Bell met Carl on the road to Ulm and sold Carl 3 hens for 12 dollars, and Anna spent it all on bread and milk."
+    docs = [(1, item.lower()), (2, item.upper()), (3, f"some words. {item.title()}"), (4, item.replace("Anna", "Mia").lower()), (5, item.replace("Carl", "Otto"))]
+    got = {r.doc_id: r for r in d.contaminated(table(docs), bench(spark, [(1, item)])).collect()}
+    assert set(got) >= {1, 2, 3, 5} and got[1].coverage == got[2].coverage == 1.0
+
+
+def test_a_template_that_most_rows_and_items_share(spark, table):
+    rng = random.Random(11)
+    stock = "as we have said in the last part of this long report on the state of the land"
+    items = [(k, f"{stock} {words(rng, 30)}") for k in range(60)]
+    docs = [(k, f"{stock} {words(rng, 10)}") for k in range(180)] + [(500 + k, items[k][1]) for k in range(20)] + [(None, items[0][1])] * 50
+    first = d.rarest(spark.createDataFrame([(b"a", 1), (b"a", 2), (b"a", 3), (b"a", 4), (b"b", 1), (b"b", 2), (b"b", 5)], "item binary, item_window long"), spark.createDataFrame([(b"a", 4), (b"b", 3)], "item binary, windows long"), 0.8)
+    assert sorted((bytes(r.item), r.item_window) for r in first.collect()) == [(b"a", 3), (b"b", 5)]
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(table(docs), bench(spark, items)).collect()}
+    assert got == brute([x for x in docs if x[0] is not None], items) | {(None, 0)}
+
+
+def test_long_words_differ_at_their_ends(spark, table):
+    item = " ".join(["x" * 5000 + c for c in "abcdefgh"])
+    docs = [(1, item), (2, " ".join(["x" * 5000 + c for c in "bacdefhg"])), (3, " ".join([c + "x" * 5000 for c in "abcdefgh"])), (4, " ".join(["x" * 4999 + c + "x" for c in "abcdefgh"]))]
+    assert {r.doc_id for r in d.contaminated(table(docs), bench(spark, [(1, item)])).collect()} == {1}
