@@ -44,6 +44,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scanned(items: Column, state: Column, move, emit, kind: str, block: int = 256) -> Column:
+    """What emit(state, item), of type kind, gives for the items in turn, without nulls; state goes on by move(state, item).
+
+    The results are gathered in blocks, so that a growing array is copied once a block and not once an item.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    shape = lambda s, got: F.struct(s.alias("state"), got.alias("got"))
+    step = lambda s, x: shape(move(s["state"], x), F.concat(s["got"], F.array(emit(s["state"], x))))
+    starts = lambda p: F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = bound(items, lambda p: F.transform(starts(p), lambda k: F.slice(p, k, F.lit(block))))
+    part = lambda s, b: F.aggregate(b, shape(s["state"], none), step, lambda r: shape(r["state"], F.concat(s["got"], F.array(r["got"]))))
+    return F.aggregate(blocks, shape(state, F.array().cast(f"array<array<{kind}>>")), part, lambda s: F.filter(F.flatten(s["got"]), lambda x: x.isNotNull()))
+
+
 def spans_text(spans: Column) -> Column:
     """kind:start:end, comma-joined, of an array of (start, rank, end, kind)."""
     return F.array_join(

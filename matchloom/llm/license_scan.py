@@ -8,16 +8,17 @@ sequence in its order, other identifiers between them allowed. A rule that names
 licence hides the rules that it contains (``hides``).
 
 Wrapped licence texts are read a second way, with single line ends taken as blanks, so that
-a sentence over several lines is known too; a line of comment marks alone is a blank one. The rules see the
-identifiers of both readings in the order of their places (characters other than white space before them), once a place;
-n_sentences and sentence_ids have those of the second reading only where the first has none of the same kind.
+a sentence over several lines is known too; a line of comment marks alone is a blank one. The
+identifiers of both readings form one sequence in the order of their places (the number of characters
+other than white space before them), an identifier once a place.
 
-Only texts that hold one of ANCHORS go through this: every known sentence contains one of
-these words unbroken, so no licence can be missed. No row leaves its task: there is no shuffle.
+Only texts that hold one of ANCHORS go through this. An anchor has no blank in it and stands in one word
+of each known sentence, so it stands unbroken in every text that has the sentence, however that is
+spaced or wrapped: the gate only saves work. No row leaves its task: there is no shuffle.
 
-Defined results: null and empty texts have no sentence and no licence; copies, ties and
-repeated rows each give their own row; an empty table gives none; other columns are not
-looked at.
+Defined results: null and empty texts have no sentence and no licence; very long texts are read whole;
+a null doc_id, copies, ties and repeated rows each give their own row; an empty table gives none;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import bound, id_and_text, scanned
 
 #: Identifiers of known licence sentences, in normalised form.
 SENTENCES = {
@@ -70,12 +71,33 @@ SENTENCES = {
     "spdx license identifier gpl 3 0 only": "gpl3-ref",
     "spdx license identifier bsd 3 clause": "bsd3-ref",
     "all rights reserved": "all-rights",
+    "apache license": "apache-title",
+    "version 2 0 january 2004": "apache-date",
 }
-#: Words of which every known sentence holds at least one, "june" for the dates.
-ANCHORS = ("licens", "permi", "copyright", "redistribution", "warranty", "rights reserved", "june")
+#: The GNU licences, whose notices differ by name and version alone.
+GNU = {"gnu general public license": "gpl", "gnu lesser general public license": "lgpl", "gnu library general public license": "lgpl", "gnu affero general public license": "agpl"}
+
+
+def gnu_sentences() -> dict[str, str]:
+    """The notices "you can redistribute it ...", with and without what stands before them, by name and version."""
+    found = {}
+    for name, short in GNU.items():
+        terms = f"you can redistribute it and or modify it under the terms of the {name}"
+        for version in ("2", "2 1", "3"):
+            either = f"{terms} as published by the free software foundation either version {version} of the license or at your option any later version"
+            only = f"{terms} version {version} as published by the free software foundation"
+            for subject in ("", "this program is free software ", "this library is free software "):
+                found |= {f"{subject}{notice}": f"{short}{version[0]}-ref" for notice in (either, only)}
+    return found
+
+
+SENTENCES |= gnu_sentences()
+#: Parts of words, of which every known sentence holds at least one.
+ANCHORS = ("licens", "permi", "copyright", "redistribution", "warranty", "reserved", "june", "january")
 #: Fixed values: (licence, identifiers in order, licences that it hides).
 RULES = [
     ("Apache-2.0", ["apache-ref", "apache-file", "apache-copy", "apache-basis", "apache-limits"], ["Apache-2.0-reference"]),
+    ("Apache-2.0", ["apache-title", "apache-date"], ["Apache-2.0-reference"]),
     ("Apache-2.0-reference", ["apache-ref"], []),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"], ["MIT-reference"]),
     ("MIT-reference", ["mit-ref"], []),
@@ -84,8 +106,10 @@ RULES = [
     ("GPL-3.0-reference", ["gpl3-ref"], []),
     ("GPL-2.0", ["gpl-title", "gpl2-date"], ["GPL-2.0-reference"]),
     ("GPL-2.0-reference", ["gpl2-ref"], []),
+    ("LGPL-2.1-reference", ["lgpl2-ref"], []),
     ("LGPL-3.0-reference", ["lgpl3-ref"], []),
     ("AGPL-3.0-reference", ["agpl3-ref"], []),
+    ("AGPL-2.0-reference", ["agpl2-ref"], []),
     ("CC-BY-NC-4.0", ["cc-by-nc-ref"], []),
     ("CC-BY-4.0", ["cc-by-ref"], []),
     ("CC-BY-SA-4.0", ["cc-by-sa-ref"], []),
@@ -97,24 +121,22 @@ RULES = [
     ("Proprietary", ["all-rights"], []),
 ]
 CUT = r"([.!?;])[ \t\r\n]+"
-MARKS = r"(?m)^[ \t]*[/*#;%!<>\"'-]+[ \t\r]*$"
+MARKS = r"(?md)^[ \t]*[/*#;%!<>\"'-]+[ \t\r]*$"
 #: Whoever is named counts as the copyright holder.
 HOLDER = r"^neither the name of .+ nor the names of (?:its|the|their) contributors", "neither the name of the copyright holder nor the names of its contributors"
 
 
-def _identifiers(text: Column, separators: str) -> Column:
+FOUND = "struct<at:int,id:string>"
+
+
+def _identifiers(text: Column) -> Column:
     """(place, identifier) of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    pieces = F.split(F.regexp_replace(F.lower(text), CUT, "$1\n"), separators)
+    pieces = F.split(F.regexp_replace(F.lower(text), CUT, "$1\n"), "\n")
     normal = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), *map(F.lit, HOLDER))
-    nothing = F.expr("cast(array() as array<struct<at:int,id:string>>)")
-
-    def step(state: Column, piece: Column) -> Column:
-        one = F.struct(state["at"].alias("at"), F.try_element_at(known, normal(piece)).alias("id"))
-        got = F.when(one["id"].isNotNull(), F.concat(state["got"], F.array(one))).otherwise(state["got"])
-        return F.struct((state["at"] + F.char_length(F.regexp_replace(piece, r"\s+", ""))).alias("at"), got.alias("got"))
-
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("got")), step, lambda s: s["got"])
+    move = lambda at, piece: at + F.char_length(F.regexp_replace(piece, r"\s+", ""))
+    one = lambda at, piece: bound(F.try_element_at(known, normal(piece)), lambda i: F.when(i.isNotNull(), F.struct(at.alias("at"), i.alias("id"))))
+    return scanned(pieces, F.lit(0), move, one, FOUND)
 
 
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -123,14 +145,11 @@ def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     nothing = F.array().cast("array<string>")
     unmarked = F.regexp_replace("text", MARKS, "")
     unwrapped = F.regexp_replace(unmarked, r"([^\n])\n([^\n])", "$1 $2")
-    placed = lambda x: F.coalesce(F.transform(F.array_sort(F.array_distinct(x)), lambda y: y["id"]), nothing)
-    known = lambda x: F.exists("lines", lambda y: y["id"] == x["id"])
+    both = F.array_sort(F.array_distinct(F.concat(_identifiers(unmarked), _identifiers(unwrapped))))
     rows = (
         id_and_text(docs)
-        .withColumn("lines", F.when(anchored, _identifiers(unmarked, "\n")))
-        .withColumn("wrapped", F.when(anchored, _identifiers(unwrapped, "\n")))
-        .select("doc_id", placed(F.concat("lines", "wrapped")).alias("every"), placed(F.concat("lines", F.filter("wrapped", lambda x: ~known(x)))).alias("ids"))
-        .withColumn("sequence", F.concat(F.lit(" "), F.array_join("every", "  "), F.lit(" ")))
+        .select("doc_id", F.when(anchored, F.transform(both, lambda x: x["id"])).otherwise(nothing).alias("ids"))
+        .withColumn("sequence", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")))
     )
     fits = F.array_distinct(
         F.filter(

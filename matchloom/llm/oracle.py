@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import secret_scan
-from .license_scan import ANCHORS, RULES, SENTENCES
+from .license_scan import HOLDER, MARKS, RULES, SENTENCES
 from .url_filter import LISTED
 from .url_filter import RULES as URL_RULES
 
@@ -46,13 +46,19 @@ FROM f WHERE nth = 1
 
 
 def license_sql() -> str:
+    """No gate: every text is cut and looked up."""
     keys = "[" + ", ".join(map(_q, SENTENCES)) + "]"
     values = "[" + ", ".join(map(_q, SENTENCES.values())) + "]"
-    ids = (
-        f"list_filter(list_transform(string_split(regexp_replace(lower(TEXT), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), "
-        f"lambda s: {values}[list_position({keys}, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))]), lambda x: x IS NOT NULL)"
+    holder, named = map(_q, HOLDER)
+    normal = f"regexp_replace(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), {holder}, {named})"
+    cut = "string_split(regexp_replace(lower({}), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))"
+    place = "CAST(coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT)"
+    found = (
+        f"(SELECT list_transform(list_filter(range(1, len(ids) + 1), lambda i: ids[i] IS NOT NULL), lambda i: {{{{'at': {place}, 'id': ids[i]}}}}) FROM "
+        f"(SELECT list_transform(pieces, lambda x: {values}[list_position({keys}, {normal})]) AS ids, "
+        "list_transform(pieces, lambda x: length(regexp_replace(x, '\\s+', '', 'g'))) AS sizes FROM (SELECT {} AS pieces)))"
     )
-    unwrapped = "regexp_replace(text, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')"
+    lines, wrapped = found.format(cut.format("text")), found.format(cut.format("regexp_replace(text, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')"))
     fits = ", ".join(
         f"CASE WHEN regexp_matches(seq, {_q('.*'.join(f' {i} ' for i in r))}) THEN {_q(name)} END" for name, r, _ in RULES
     )
@@ -61,13 +67,8 @@ def license_sql() -> str:
     )
     names = "[" + ", ".join(_q(n) for n in dict.fromkeys(name for name, _, _ in RULES)) + "]"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-a AS (
-  SELECT doc_id, regexp_matches(text, '(?i){"|".join(ANCHORS)}') AS anchored, {ids.replace("TEXT", "text")} AS lines,
-         {ids.replace("TEXT", unwrapped)} AS wrapped
-  FROM d),
-b AS (
-  SELECT doc_id, CASE WHEN anchored THEN list_concat(lines, list_filter(wrapped, lambda x: NOT list_contains(lines, x))) ELSE [] END AS ids FROM a),
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_q(MARKS.replace("(?md)", "(?m)"))}, '', 'g') AS text FROM documents),
+b AS (SELECT doc_id, list_transform(list_sort(list_distinct(list_concat({lines}, {wrapped}))), lambda x: x.id) AS ids FROM d),
 c AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS seq FROM b),
 e AS (SELECT doc_id, ids, [{fits}] AS fits FROM c),
 g AS (SELECT doc_id, ids, fits, flatten([{hidden}]) AS hidden FROM e)
@@ -93,20 +94,20 @@ def secret_sql() -> str:
     write = f"array_to_string(list_transform(list_sort(list_transform({{}}, lambda x: {{{{'s': x.s, 'r': x.r, 'e': x.e}}}})), lambda x: {kinds}[x.r + 1] || ':' || x.s || ':' || x.e), ',')"
     allowed = _q("|".join(f"(?:{p})" for p in secret_scan.ALLOWED))
     w, limits = secret_scan.WINDOW, secret_scan.LIMITS
+    classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
+    limit = "CASE " + " ".join(f"WHEN regexp_matches(c.v, {_q(p)}) THEN {limits[k]}" for k, p in classes.items()) + f" ELSE {limits['base64']} END"
     entropy = f"list_max(list_transform(range(0, greatest(1, length(c.v) - {w - 1})), lambda k: list_entropy(string_split(substr(c.v, k + 1, {w}), ''))))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (
   SELECT doc_id, list_filter({_spans_sql(secret_scan.ASSIGN, 0)}, lambda x: length(regexp_replace(x.v, {_q(secret_scan.VALUE)}, '')) >= 8) AS assign,
          {_spans_sql(secret_scan.ACCESS, 1)} AS access, {_spans_sql(secret_scan.HEX, 2)} AS hex,
-         list_filter({_spans_sql(secret_scan.CANDIDATE, 3)}, lambda x: regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]')) AS runs
+         list_filter({_spans_sql(secret_scan.CANDIDATE, 3)}, lambda x: (regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]')) OR (regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]'))) AS runs
   FROM d),
 b AS (SELECT *, list_concat(list_concat(assign, access), hex) AS base FROM m),
 a AS (
-  SELECT *, list_filter(runs, lambda c: (regexp_matches(c.v, '^[0-9a-f]+$') OR (regexp_matches(c.v, '[a-z]') AND regexp_matches(c.v, '[A-Z]')))
-      AND NOT regexp_matches(c.v, {allowed}) AND NOT regexp_matches(c.b, {_q(secret_scan.ALLOWED_BEFORE)})
-      AND len(list_filter(base, lambda x: x.s < c.e AND c.s < x.e)) = 0
-      AND {entropy} >= CASE WHEN regexp_matches(c.v, '^[0-9a-f]+$') THEN {limits["hex"]} ELSE {limits["base64"]} END) AS added
+  SELECT *, list_filter(runs, lambda c: NOT regexp_matches(c.v, {allowed}) AND NOT regexp_matches(c.b, {_q(secret_scan.ALLOWED_BEFORE)})
+      AND len(list_filter(base, lambda x: x.s < c.e AND c.s < x.e)) = 0 AND {entropy} >= {limit} - {secret_scan.SLACK}) AS added
   FROM b)
 SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
        sha256({write.format("base")}) AS base_sha256, {write.format("list_concat(base, added)")} AS spans, CAST(len(added) AS BIGINT) AS n_entropy

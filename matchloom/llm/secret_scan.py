@@ -12,19 +12,21 @@ Each belongs to the first class that covers it:
     base64    all the rest   windows of 20, 3.9 bits or more
 
 A window slides over the candidate one character at a time. The count of each character in
-the window is kept in an array and moves by one up for the entering and one down for the
-leaving character; with them moves sum(n * log2 n), from which the entropy follows. The
-largest entropy of any window counts. Candidates need two of digits, upper- and
-lower-case letters, so that words of one case aren't scored, and are suppressed when an allow-list pattern fits them or
+the window is kept in a string, a character a count, and moves by one up for the entering and one
+down for the leaving character; with them moves sum(n * log2 n), from which the entropy follows. The
+largest entropy of any window counts. Candidates need two of digits, upper- and lower-case letters, so
+that words of one case aren't scored, and are suppressed when an allow-list pattern fits them or
 the characters before them (check sums, uuids, paths, sample keys), or when a base span
 already covers a part of them.
 
 Positions are code points, end exclusive; they are found without Python: ``split`` gives the
 text between the matches and ``regexp_extract_all`` the matches, and lengths add up.
-Every text is read whole. No row leaves its task: there is no shuffle.
+Every text is read whole, and the time grows in proportion to its length and its matches (``scanned``). No
+row leaves its task: there is no shuffle.
 
-Defined results: null and empty texts have no span; repeated rows each give their own row;
-an empty table gives none; other columns are not looked at.
+Defined results: null and empty texts have no span; very long texts and candidates are scanned to their
+end; a null doc_id and repeated rows each give their own row; spans that begin at one place come in the
+order of KINDS; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, spans_text
+from .common import bound, id_and_text, scanned, spans_text
 
 #: Fixed values.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,6 +47,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
+#: Sums move by rounding errors; an entropy this little under a limit counts as at it.
+SLACK = 1e-9
 LIMITS = {"hex": 3.0, "HEX": 3.0, "lower": 3.7, "upper": 3.6, "letters": 3.9, "base64": 3.9}
 #: Patterns of strings that are no secrets.
 ALLOWED = [
@@ -58,22 +62,23 @@ ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|crc32|checksum|integrity|di
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,before:string>"
+
+
 def _spans(pattern: str, gate: Column, kind: str, keep, before: bool = False) -> Column:
     """All matches as an array of (start, rank, end, kind, value, before); gate false: none."""
-    nothing = F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'end', 0, 'kind', '', 'value', '', 'before', '')), x -> false)")
-    zero = F.struct(F.lit(0).alias("at"), nothing.alias("got"))
     pairs = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["hit"])
-        one = F.struct(
-            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("value"),
+    def one(at: Column, pair: Column) -> Column:
+        start = at + F.char_length(pair["gap"])
+        span = F.struct(
+            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.char_length(pair["hit"])).alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("value"),
             (F.right(pair["gap"], F.lit(20)) if before else F.lit("")).alias("before"),
-        )
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(pair["hit"].isNotNull() & keep(pair["hit"]), F.concat(state["got"], F.array(one))).otherwise(state["got"]).alias("got"))
+        )
+        return F.when(pair["hit"].isNotNull() & keep(pair["hit"]), span)
 
-    return F.when(gate, F.aggregate(pairs, zero, step, lambda s: s["got"])).otherwise(nothing)
+    move = lambda at, pair: at + F.char_length(pair["gap"]) + F.coalesce(F.char_length(pair["hit"]), F.lit(0))
+    return F.when(gate, scanned(pairs, F.lit(0), move, one, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def largest_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -81,32 +86,30 @@ def largest_entropy(value: Column, window: int = WINDOW) -> Column:
 
     Strings shorter than the window count as one window of their own length.
     """
-    nlog = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
-    table = "array(" + ", ".join(f"{x!r}D" for x in nlog) + ")"
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("i"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1)).alias("o"), i.alias("k")))
-    weights = F.expr(table)
+    nlog = [0.0] + [n * math.log2(n) for n in range(1, window + 1)] + [0.0]
+    weights = F.expr("array(" + ", ".join(f"{x!r}D" for x in nlog) + ")")
+    base = 65  # a count n is written as the character with this code and n
+    places = F.transform(F.split(value, ""), lambda c: F.ascii(c) + 1)
+    #: Each character with the one that leaves as it enters: 0, none, for the first window.
+    moves = bound(places, lambda p: F.arrays_zip(p.alias("i"), F.slice(F.concat(F.array_repeat(F.lit(0), window), p), F.lit(1), F.size(p)).alias("o")))
+    count = lambda counts, place: F.ascii(counts.substr(place, F.lit(1))) - base
+    put = lambda counts, place, n: F.overlay(counts, F.char(n + base), place, F.lit(1))
 
     def step(a: Column, p: Column) -> Column:
         entering, leaving = p["i"], p["o"]
-        ci = F.get(a["c"], entering)
-        co = F.when(leaving >= 0, F.get(a["c"], leaving)).otherwise(F.lit(1))
-        moved = (
-            a["s"] + F.get(weights, ci + 1) - F.get(weights, ci) + F.get(weights, co - 1) - F.get(weights, co)
-        )
-        s = F.when(entering == leaving, a["s"]).otherwise(moved)
-        counts = F.when(entering == leaving, a["c"]).otherwise(
-            F.transform(a["c"], lambda x, k: x + F.when(k == entering, 1).otherwise(0) - F.when(k == leaving, 1).otherwise(0))
-        )
-        full = p["k"] >= window - 1
-        return F.struct(counts.alias("c"), s.alias("s"), F.when(full, F.least(a["m"], s)).otherwise(a["m"]).alias("m"))
-
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("c"), F.lit(0.0).alias("s"), F.lit(1e18).alias("m"))
-    size = F.greatest(F.char_length(value), F.lit(1))
-    return F.aggregate(
-        pairs, zero, step,
-        lambda a: F.when(size < window, F.log2(size) - a["s"] / size).otherwise(F.lit(math.log2(window)) - a["m"] / F.lit(float(window))),
-    )
+        ci, co = count(a["c"], entering), count(a["c"], leaving)
+        up = F.get(weights, ci + 1) - F.get(weights, ci)
+        down = F.when(leaving > 0, F.get(weights, co - 1) - F.get(weights, co)).otherwise(0.0)
+        entered = put(a["c"], entering, ci + 1)
+        same = entering == leaving
+        counts = F.when(same, a["c"]).when(leaving > 0, put(entered, leaving, co - 1)).otherwise(entered)
+        s = F.when(same, a["s"]).otherwise(a["s"] + up + down)
+        n = a["n"] + 1
+        return F.struct(counts.alias("c"), s.alias("s"), n.alias("n"), F.when(n >= window, F.least(a["m"], s)).otherwise(a["m"]).alias("m"))
+
+    zero = F.struct(F.lit(chr(base) * 128).alias("c"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(1e18).alias("m"))
+    whole = lambda a: F.log2(F.greatest(a["n"], F.lit(1)).cast("double")) - a["s"] / F.greatest(a["n"], F.lit(1))
+    return F.aggregate(moves, zero, step, lambda a: F.when(a["n"] < window, whole(a)).otherwise(F.lit(math.log2(window)) - a["m"] / F.lit(float(window))))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -122,13 +125,16 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
     value = lambda c: c["value"]
     allowed = lambda c: value(c).rlike("|".join(f"(?:{p})" for p in ALLOWED)) | c["before"].rlike(ALLOWED_BEFORE)
-    covered = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
     limit = lambda c: F.coalesce(*[F.when(value(c).rlike(p), F.lit(LIMITS[k])) for k, p in classes.items()], F.lit(LIMITS["base64"]))
-    added = F.filter(
-        F.filter("runs", lambda c: ~allowed(c) & ~covered(c)),
-        lambda c: largest_entropy(value(c)) >= limit(c),
-    )
+    #: All spans by start, each with the next: a run is covered if a base span before it reaches into it, or the next span is one that begins in it.
+    sorted_spans = F.array_sort(F.concat("base", "runs"))
+    in_turn = bound(sorted_spans, lambda e: F.arrays_zip(e.alias("s"), F.slice(e, F.lit(2), F.size(e)).alias("next")))
+    is_run = lambda c: c["rank"] == KINDS.index("entropy")
+    reach = lambda r, p: F.when(is_run(p["s"]), r).otherwise(F.greatest(r, p["s"]["end"]))
+    begins_in = lambda p: F.coalesce(~is_run(p["next"]) & (p["next"]["start"] < p["s"]["end"]), F.lit(False))
+    free = scanned(in_turn, F.lit(0), reach, lambda r, p: F.when(is_run(p["s"]) & (r <= p["s"]["start"]) & ~begins_in(p), p["s"]), SPAN)
+    added = F.filter(F.filter(free, lambda c: ~allowed(c)), lambda c: largest_entropy(value(c)) >= limit(c) - SLACK)
     rows = rows.withColumn("added", F.when(F.size("runs") > 0, added).otherwise(F.col("runs")))
     return rows.select(
         "doc_id",

@@ -1,4 +1,9 @@
+import random
+
+import duckdb
+
 from matchloom.llm.license_scan import ANCHORS, RULES, SENTENCES, scan_licenses
+from matchloom.llm.oracle import license_sql
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -32,7 +37,7 @@ def test_sentences_and_rules(table, odd):
 
 
 def test_tables_agree():
-    assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
+    assert all(any(a in word for a in ANCHORS for word in s.split()) for s in SENTENCES)
     assert {i for _, ids, _ in RULES for i in ids} <= set(SENTENCES.values())
     assert {h for _, _, hides in RULES for h in hides} <= {name for name, _, _ in RULES}
 
@@ -78,3 +83,31 @@ def test_whole_texts(table):
     rows += [(20 + k, BSD + NAMES.format(who)) for k, who in enumerate(("the copyright holder", "Foo Inc.", "the University of Bar"))]
     got = {r.doc_id: r.licenses for r in scan_licenses(table(rows)).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "BSD-2-Clause", **{10 + k: "Apache-2.0" for k in range(4)}, **{20 + k: "BSD-3-Clause" for k in range(3)}}
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_spacing_hides_no_sentence(table):
+    rows = [(0, "All rights reserved."), (1, "All rights\nreserved."), (2, "x. All rights  reserved. y"), (3, "ALL\tRIGHTS -- RESERVED"), (4, GPL), (5, GPL.replace("3", "2").replace("software:", "software;"))]
+    rows += [(6, "Apache License\n   Version 2.0, January 2004\n http://www.apache.org/licenses/"), (7, GPL.replace("General", "Lesser General").replace("3", "2.1")), (8, "# " + GPL.replace("\n", "\n# "))]
+    got = {r.doc_id: r.licenses for r in scan_licenses(table(rows)).collect()}
+    assert got == {**dict.fromkeys(range(4), "Proprietary"), 4: "GPL-3.0-reference", 5: "GPL-2.0-reference", 6: "Apache-2.0", 7: "LGPL-2.1-reference", 8: "GPL-3.0-reference"}
+
+
+def test_partly_wrapped_and_mixed_texts_agree_with_sql(table, odd):
+    """The SQL has no gate and finds places in a way of its own."""
+    rng = random.Random(3)
+    known = [k for k in SENTENCES] + [MIT, APACHE, BSD, NAMES.format("Foo Inc."), GPL]
+    rows = odd + [(20, MIT.replace("copy\nof", "copy of").replace("the\nrights", "the rights"))]
+    for k in range(200):
+        parts = [rng.choice(known) for _ in range(rng.randint(1, 5))]
+        rows.append((100 + k, rng.choice(["\n", "\n\n", ". ", "\n//\n", "; "]).join(rng.choice([p, p.upper(), p.replace(" ", "\n", 2), p + ".", "x " + p]) for p in parts)))
+    docs = table(rows)
+    documents = docs.toPandas()
+    got = sorted(map(tuple, scan_licenses(docs).collect()), key=repr)
+    want = duckdb.sql(license_sql()).fetchall()
+    assert got == sorted(want, key=repr) and sum(bool(r[3]) for r in got) > 100 and len(documents) == len(rows)
