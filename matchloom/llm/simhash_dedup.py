@@ -19,12 +19,13 @@ Two fingerprints link if they differ in at most RADIUS (4) bits. To find all suc
 
 Pairs are never listed. A cell hands on only a spanning forest of its links, at most one
 edge fewer than its points. Cells come sorted by Spark and go through a task in small
-pieces. A cell with more than CELL points is split: its points are dealt into blocks and each
-pair of blocks is a piece of work of its own, at most 2 * CELL points, so a cell of any size
-is compared in full with bounded memory in many tasks. Connected components of the forests
-then give the classes.
+pieces. A cell with more than DEEP points, as around a template, is divided again: what its points don't
+agree in yet falls into FINER groups, and they meet where FINER - 4 of these agree. A cell that still has
+more than CELL points is split: its points are dealt into blocks and each pair of blocks is a piece
+of work of its own, at most 2 * CELL points, so a cell of any size is compared in full with bounded
+memory in many tasks. Connected components of the forests then give the classes.
 
-Defined results: null text counts as empty; texts without words have fingerprint zero and
+Defined results: null text counts as empty; very long texts are read whole; texts without words have fingerprint zero and
 link with each other and with any fingerprint near zero; a null doc_id gets its class from
 the others and is never the smallest (a class of null ids alone has a null component);
 repeated rows each give their row; an empty table gives none; other columns are not looked at.
@@ -46,7 +47,9 @@ from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENT_BITS = 2
-CELL = 2048
+CELL, FINER = 2048, 8
+#: Points of a cell from which on finer cells (each point in comb(FINER, RADIUS) of them) are fewer rows than pairs of blocks.
+DEEP = 2 * CELL * comb(FINER, RADIUS)
 #: Bits that the popcount of a random 2-bit segment tells apart pairs by; comparisons that cost as much as a row.
 TELLING, ROW_COST = 1.415, 200
 
@@ -99,10 +102,20 @@ def groups_for(points: int) -> int:
     return min(range(RADIUS + 1, RADIUS + 7), key=work)
 
 
-def group_masks(groups: int) -> list[int]:
-    """Bits of each group of whole segments."""
-    cuts = [round(64 // SEGMENT_BITS * k / groups) * SEGMENT_BITS for k in range(groups + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def group_masks(groups: int, segments: list[int] | None = None) -> list[int]:
+    """Bits of each group of whole segments, of all or of some."""
+    segments = list(range(64 // SEGMENT_BITS)) if segments is None else segments
+    cuts = [round(len(segments) * k / groups) for k in range(groups + 1)]
+    return [sum(((1 << SEGMENT_BITS) - 1) << SEGMENT_BITS * s for s in segments[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def agreeing_masks(groups: list[int]) -> list[int]:
+    """Bits that agree in each grid: all groups but RADIUS."""
+    return [sum(some) for some in combinations(groups, len(groups) - RADIUS)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -113,15 +126,32 @@ def popcounts(fp: np.ndarray) -> np.ndarray:
 
 
 def _cells(points: DataFrame, groups: int) -> DataFrame:
-    """fp in each of its grid cells: (grid, cell), computed by DataFrame functions."""
+    """fp in each of its grid cells: grid, key (of grid and cell), packed (the popcounts), computed by DataFrame functions.
+
+    Keys are hashes: two cells with one key are compared together, which finds no more than the links there are.
+    """
     odd = 0x5555555555555555
     packed = F.expr(
         f"((fp | shiftrightunsigned(fp, 1)) & {odd}L) | shiftleft(fp & shiftrightunsigned(fp, 1) & {odd}L, 1)"
     )
-    masks = [sum(agreeing) for agreeing in combinations(group_masks(groups), groups - RADIUS)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cells = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("packed").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(signed)])
-    return points.withColumn("packed", packed).select("fp", F.inline(cells))
+    masks = map(_signed, agreeing_masks(group_masks(groups)))
+    cells = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("packed").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)])
+    return points.withColumn("packed", packed).select("fp", "packed", F.inline(cells)).select("fp", "packed", "grid", F.xxhash64("grid", "cell").alias("key"))
+
+
+def _finer_cells(cells: DataFrame, groups: int) -> DataFrame:
+    """cells divided by what their points don't agree in yet; a small table, at most 210 * 70 rows, has the bits."""
+    rows = []
+    for grid, mask in enumerate(agreeing_masks(group_masks(groups))):
+        rest = [s for s in range(64 // SEGMENT_BITS) if not mask >> SEGMENT_BITS * s & 1]
+        rows += [(grid, n, _signed(m)) for n, m in enumerate(agreeing_masks(group_masks(FINER, rest)))]
+    bits = cells.sparkSession.createDataFrame(rows, "grid int, part int, bits long")
+    return cells.join(F.broadcast(bits), "grid").select("fp", "packed", "grid", F.xxhash64("key", "part", F.col("packed").bitwiseAND(F.col("bits"))).alias("key"))
+
+
+def _over(cells: DataFrame, most: int) -> DataFrame:
+    """key, n of the cells with more points than that."""
+    return checkpointed(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
 
 
 def links_in_cells(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -177,25 +207,27 @@ def links_in_cells(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius:
     return np.concatenate(heads), np.concatenate(tails)
 
 
-def link_edges(points: DataFrame, cell: int = CELL, groups: int | None = None) -> DataFrame:
+def link_edges(points: DataFrame, cell: int = CELL, groups: int | None = None, deep: int = DEEP) -> DataFrame:
     """a, b: edges between distinct fingerprints (column fp) whose components are those of all links."""
-    cells = _cells(points, groups or groups_for(points.count()))
-    sizes = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"))
-    crowded = checkpointed(sizes.where(F.col("n") > cell).withColumn("blocks", F.ceil(F.col("n") / cell).cast("int")).select("grid", "cell", "blocks"))
-    plain = cells
-    work = None
+    groups = groups or groups_for(points.count())
+    cells = _cells(points, groups)
+    crowded = _over(cells, cell)
+    large = crowded.where(F.col("n") > deep)
+    if not large.isEmpty():
+        cells = cells.join(large, "key", "left_anti").unionByName(_finer_cells(cells.join(large, "key").drop("n"), groups))
+        crowded = _over(cells, cell)
+    work = cells.select("key", F.lit(0).cast("byte").alias("side"), "fp")
     if not crowded.isEmpty():
         # Every point of a crowded cell has a block and goes to each pair of blocks with its own in it.
-        plain = cells.join(crowded, ["grid", "cell"], "left_anti")
+        blocks = crowded.select("key", F.ceil(F.col("n") / cell).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        dealt = cells.join(crowded, ["grid", "cell"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        work = dealt.select(
-            F.xxhash64("grid", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
+        dealt = cells.join(blocks, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = dealt.select(
+            F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
             F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
             "fp",
         )
-    plain = plain.select(F.xxhash64("grid", "cell").alias("key"), F.lit(0).cast("byte").alias("side"), "fp")
-    work = plain if work is None else plain.unionByName(work)
+        work = work.join(blocks, "key", "left_anti").unionByName(pairs)
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,8 +68,8 @@ def test_brute_force(table, odd):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
 
 
-@pytest.mark.parametrize(("cell", "groups"), [(3, 5), (2048, 6), (2048, 8)])
-def test_links_of_dense_and_crowded_cells(spark, cell, groups):
+@pytest.mark.parametrize(("cell", "groups", "deep"), [(3, 5, s.DEEP), (2048, 6, s.DEEP), (2048, 8, s.DEEP), (3, 5, 6), (2048, 6, 10)])
+def test_links_of_dense_and_crowded_cells(spark, cell, groups, deep):
     """Clouds of fingerprints around a few centres; small cells are dealt into blocks."""
     rng = random.Random(cell)
     points = {0, (1 << 64) - 1}
@@ -78,7 +78,7 @@ def test_links_of_dense_and_crowded_cells(spark, cell, groups):
         for _ in range(25):
             points.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    edges = s.link_edges(spark.createDataFrame([(p,) for p in signed], "fp long"), cell, groups)
+    edges = s.link_edges(spark.createDataFrame([(p,) for p in signed], "fp long"), cell, groups, deep)
     found = {r.node: r.component for r in connected_components(edges).collect()}
     want = classes([(p, q) for p, q in zip(signed, points, strict=True)])
     assert [found.get(p, p) for p in signed] == want
