@@ -36,10 +36,15 @@ p AS (
          coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS chost,
+         CASE WHEN path = '' THEN '/' ELSE path END AS cpath  -- enough for a list of whole hosts
+  FROM p),
 f AS (
-  SELECT p.*, r.rule, r.tier, r.said, row_number() OVER (PARTITION BY rid ORDER BY r.tier DESC NULLS LAST, length(r.rule) DESC) AS nth
-  FROM p LEFT JOIN rules r
-    ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
+  SELECT c.*, r.rule, r.tier, r.said, row_number() OVER (PARTITION BY rid ORDER BY r.tier DESC NULLS LAST, length(r.rule) DESC) AS nth
+  FROM c LEFT JOIN rules r
+    ON CASE r.tier WHEN 1 THEN (host = r.rhost OR ends_with(host, '.' || r.rhost)) AND starts_with(path, r.rpath)
+       ELSE (chost = r.rhost OR ends_with(chost, '.' || r.rhost)) AND starts_with(cpath, r.rpath) END)
 SELECT page_id, host, path, CASE WHEN tier = 1 THEN rule END AS rule, coalesce(said, 'allow') AS verdict
 FROM f WHERE nth = 1
 """

@@ -10,13 +10,13 @@ their own. The pair sum costs one pass: half of (sum of v)^2 - sum of v^2.
 
 Fitting: at most LABELLED labelled documents, those with the smallest hash of their doc_id, and only
 such whose crc32(doc_id as text) mod 5 is not 0. Their texts are read once and checkpointed. Counts of terms by label are a Spark aggregation
-over these; the ACTIVE terms with the largest log-likelihood ratio, in MIN_TEXTS texts or
-more, get weights. Their occurrences in the bounded sample go to the driver, which fits the machine
-by full-batch Adam. All documents are scored whole, in a map without a shuffle. doc_id, lang,
-source and labels are no inputs of a score.
+over these; every term in MIN_TEXTS texts or more whose log-likelihood ratio is SIGNIFICANT or more gets
+weights, however many these are: no more than the bounded sample has terms. Their occurrences in the sample
+go to the driver as sparse lists, which fits the machine by full-batch Adam. All documents are scored whole,
+in a map without a shuffle. doc_id, lang, source and labels are no inputs of a score.
 
 Defined results: null and empty texts get the bias alone; without any toxic or any other
-labelled text, all scores are 0; a document with several label rows counts as toxic if one
+labelled text, all scores are 0; very long texts are read whole; a document with several label rows counts as toxic if one
 of them says so; null labels and labels without a document are left out; a null doc_id
 isn't held out; repeated rows each get their row; an empty table gives none; other columns are
 not looked at.
@@ -38,7 +38,7 @@ from . import wordhash
 from .common import checkpointed, id_and_text
 
 FOLDS = 5
-LABELLED, ACTIVE, MIN_TEXTS = 12_000, 1024, 3
+LABELLED, SIGNIFICANT, MIN_TEXTS = 12_000, 3.0, 3
 PREFIXES = (5, 7)
 FACTORS, STEPS, RATE, RIDGE, SEED = 4, 240, 0.05, 2e-3, 7
 TABLE_BITS = 22
@@ -90,33 +90,26 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train_machine(keys: np.ndarray, doc: np.ndarray, k: np.ndarray, y: np.ndarray) -> FactorizationMachine:
-    """Fit on rows (doc, index of key) and labels y by full-batch Adam with ridge penalties."""
+def train_machine(keys: np.ndarray, doc: np.ndarray, k: np.ndarray, y: np.ndarray, factors: int = FACTORS) -> FactorizationMachine:
+    """Fit on occurrences (doc, index of key) and labels y by full-batch Adam with ridge penalties; work and memory go by the occurrences."""
     n, m = len(y), len(keys)
-    x = np.zeros((n, m), dtype=np.float32)
-    x[doc, k] = 1
-    rng = np.random.default_rng(SEED)
-    bias = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    w, v = np.zeros(m, np.float32), rng.normal(0, 0.01, (m, FACTORS)).astype(np.float32)
-    state = [np.zeros_like(p) for p in (w, v)] + [np.zeros_like(p) for p in (w, v)] + [0.0, 0.0]
+    summed = lambda at, x, size: np.stack([np.bincount(at, x[:, f], size) for f in range(x.shape[1])], axis=1) if x.shape[1] else np.zeros((size, 0))
+    prior = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    params = [np.array([prior]), np.zeros(m), np.random.default_rng(SEED).normal(0, 0.01, (m, factors))]
+    means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, STEPS + 1):
-        s = x @ v
-        z = bias + x @ w + 0.5 * ((s * s).sum(axis=1) - x @ (v * v).sum(axis=1))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = ((p - y) / n).astype(np.float32)
-        gw = x.T @ g + RIDGE * w / m
-        gv = x.T @ (g[:, None] * s) - v * (x.T @ g)[:, None] + RIDGE * v / m
-        gb = float(g.sum())
-        out = []
-        for i, (param, grad) in enumerate(((w, gw), (v, gv))):
-            state[i] = 0.9 * state[i] + 0.1 * grad
-            state[2 + i] = 0.999 * state[2 + i] + 0.001 * grad * grad
-            out.append(param - RATE * (state[i] / (1 - 0.9**t)) / (np.sqrt(state[2 + i] / (1 - 0.999**t)) + 1e-8))
-        w, v = out
-        state[4] = 0.9 * state[4] + 0.1 * gb
-        state[5] = 0.999 * state[5] + 0.001 * gb * gb
-        bias -= RATE * (state[4] / (1 - 0.9**t)) / (state[5] ** 0.5 / (1 - 0.999**t) ** 0.5 + 1e-8)
-    return FactorizationMachine(keys, bias, w.astype(np.float64), v.astype(np.float64))
+        bias, w, v = params
+        each = v[k]
+        s = summed(doc, each, n)
+        z = bias + np.bincount(doc, w[k], n) + 0.5 * ((s * s).sum(axis=1) - np.bincount(doc, (each * each).sum(axis=1), n))
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        by_key = np.bincount(k, g[doc], m)
+        grads = [np.array([g.sum()]), by_key + RIDGE * w / max(m, 1), summed(k, (g[:, None] * s)[doc], m) - v * by_key[:, None] + RIDGE * v / max(m, 1)]
+        for i, grad in enumerate(grads):
+            means[i] = 0.9 * means[i] + 0.1 * grad
+            squares[i] = 0.999 * squares[i] + 0.001 * grad * grad
+            params[i] = params[i] - RATE * (means[i] / (1 - 0.9**t)) / (np.sqrt(squares[i] / (1 - 0.999**t)) + 1e-8)
+    return FactorizationMachine(keys, float(params[0][0]), params[1], params[2])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     a, n = F.col("a").cast("double"), F.col("n").cast("double")
     b, rate = n - a, toxic / total
     ratio = part(a, n * rate) + part(b, n * (1 - rate)) + part(toxic - a, (total - n) * rate + 1e-9) + part(total - toxic - b, (total - n) * (1 - rate) + 1e-9)
-    best = counted.select("term", ratio.alias("ratio")).orderBy(F.desc("ratio"), "term").limit(ACTIVE).collect()
-    keys = np.sort(np.array([r.term for r in best], dtype=np.int64).view(np.uint64))
+    chosen_terms = counted.where(ratio >= SIGNIFICANT).select("term").toArrow().column("term")
+    keys = np.sort(chosen_terms.to_numpy().astype(np.int64).view(np.uint64))
     machine = FactorizationMachine(keys, 0.0, np.zeros(len(keys)), np.zeros((len(keys), FACTORS)))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(keys)

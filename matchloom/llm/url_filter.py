@@ -1,10 +1,11 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
 A list of canonical entries ``host/path`` stands for hosts (with all subdomains) and path
-prefixes. A url asks for every pair of one of its host suffixes and one of the path lengths
-that occur in the list. The keys pass a blocked Bloom filter first (one 64-bit block a key,
-four bits in it); the few possible hits go to an exact equi join with the list, which
-removes the false positives. Of several fitting entries the longest wins.
+prefixes. Rules are compared with a url's host and path as they stand; the list of blocked urls with
+canonical ones (``canonical``). A url asks for every pair of one of its host suffixes, up to as many labels as
+an entry has, and one of the path lengths that occur. The keys pass a blocked Bloom filter first (one
+64-bit block a key, four bits in it); the few possible hits go to an exact equi join with the entries,
+which removes the false positives. Of several fitting entries the longest wins.
 
 The filter is built where the list is: each key's block bits are OR-ed by ``bit_or`` in a
 group-by. Only filters of at most ``max_blocks`` 64-bit words are sent to the executors
@@ -13,16 +14,19 @@ positives on to the join, whose strategy Spark chooses by size.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and
 the verdict of an unlisted url; an empty list or table works; rows that repeat a page_id are
-each judged; other columns are not looked at.
+each judged; of rules with one entry the first verdict by name counts; very long urls are read whole; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the production query: (entry, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -39,6 +43,23 @@ def host_and_path():
     return host, path
 
 
+def canonical(host: Column, path: Column) -> tuple[Column, Column]:
+    """Host without user, port and final dots; path unescaped, without empty, ``.`` and ``..`` segments, / if empty.
+
+    A path with an escape that can't be read is left escaped.
+    """
+    plain_host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+    unescaped = F.when(F.contains(path, F.lit("%")), F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path)).otherwise(path)
+
+    def resolved(p: Column) -> Column:
+        step = lambda s, x: F.when(x.isin("", "."), s).when(x == "..", F.regexp_replace(s, r"/[^/]*$", "")).otherwise(F.concat(s, F.lit("/"), x))
+        kept = F.aggregate(F.split(p, "/"), F.lit(""), step)
+        return F.concat(kept, F.when(p.rlike(r"(^|/)\.{0,2}$"), F.lit("/")).otherwise(F.lit("")))
+
+    plain_path = bound(unescaped, lambda p: F.when(p == "", F.lit("/")).when(p.rlike(r"//|/\.|^[^/]"), resolved(p)).otherwise(p))
+    return plain_host, plain_path
+
+
 def _mask(h):
     """Four of 64 bits from a 64-bit hash."""
     return F.expr(
@@ -66,15 +87,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_block
     """
     spark = pages.sparkSession
     entries = (
-        rules.select(F.col("entry").alias("key"), F.lit(1).alias("tier"), F.col("verdict").alias("said"))
-        .unionByName(listed.select(F.col("entry").alias("key"), F.lit(0).alias("tier"), F.lit("block").alias("said")))
-        .where(F.instr("key", "/") > 1)
-        .groupBy("key", "tier")
+        rules.select(F.col("entry"), F.lit(1).alias("tier"), F.col("verdict").alias("said"))
+        .unionByName(listed.select(F.col("entry"), F.lit(0).alias("tier"), F.lit("block").alias("said")))
+        .where(F.instr("entry", "/") > 1)
+        .groupBy("entry", "tier")
         .agg(F.min("said").alias("said"))
+        .withColumn("key", F.concat_ws(" ", F.col("tier").cast("string"), "entry"))
     )
-    n, lengths = entries.agg(
-        F.count(F.lit(1)), F.sort_array(F.collect_set(F.expr("length(key) - instr(key, '/') + 1")))
-    ).first()
+    n = entries.count()
+    shapes = entries.groupBy("tier").agg(
+        F.sort_array(F.collect_set(F.expr("length(entry) - instr(entry, '/') + 1"))).alias("lengths"), F.max(F.expr("size(split(split(entry, '/')[0], '[.]'))")).alias("labels")
+    )
+    shape = {r.tier: (r.lengths, r.labels) for r in shapes.collect()}
     blocks = max(64, min(max_blocks, 1 << (n // 4).bit_length()))
     words = [0] * blocks
     for row in blocked_bloom(entries, blocks).toLocalIterator():
@@ -98,29 +122,38 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_block
         ends = np.cumsum(sizes)
         return pd.Series([[k for k, ok in zip(ks, hit[e - s : e], strict=True) if ok] for ks, s, e in zip(keys, sizes, ends, strict=True)])
 
+    def keys(tier: int, host: str, path: str) -> Column:
+        """Every pair of a host suffix and a path prefix that an entry of the tier may be."""
+        lengths, labels = shape.get(tier, ([], 1))
+        parts = bound(F.split(F.col(host), r"\."), lambda p: F.transform(F.sequence(F.greatest(F.size(p) - labels + 1, F.lit(1)), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
+        whole = F.array(*[F.lit(x) for x in lengths]).cast("array<int>")
+        prefixes = F.transform(F.filter(whole, lambda k: k <= F.length(path)), lambda k: F.substring(path, 1, k))
+        return bound(prefixes, lambda ps: F.flatten(F.transform(parts, lambda s: F.transform(ps, lambda p: F.concat(F.lit(f"{tier} "), s, p)))))
+
     host, path = host_and_path()
+    plain_host, plain_path = canonical(F.col("host"), F.col("path"))
     parsed = (
         pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("__url"))
         .select("page_id", host.alias("host"), path.alias("path"))
         .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("labels", F.split("host", r"\."))
-        .withColumn("suffixes", F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))"))
-        .withColumn("prefixes", F.expr(f"transform(filter(cast(array({', '.join(map(str, lengths))}) as array<int>), n -> n <= length(path)), n -> substring(path, 1, n))"))
-        .withColumn("keys", F.expr("flatten(transform(suffixes, s -> transform(prefixes, p -> concat(s, p))))"))
+        .withColumns({"plain_host": plain_host, "plain_path": plain_path})
+        .withColumn("keys", F.concat(keys(1, "host", "path"), keys(0, "plain_host", "plain_path")))
         .withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
         .select("row", "page_id", "host", "path", possible("keys", "hashes").alias("hits"))
     )
     #: A row without hits gets a key of its own, which no entry has: null keys would meet in one task.
     asked = parsed.select("row", "page_id", "host", "path", F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.concat(F.lit(" "), F.col("row").cast("string"))))).alias("key"))
-    found = F.when(F.col("said").isNotNull(), F.struct("tier", F.length("key").alias("n"), "key", "said"))
+    found = F.when(F.col("said").isNotNull(), F.struct("tier", F.length("entry").alias("n"), "entry", "said"))
     ruled = F.col("found.tier") == 1
     return (
         asked.join(entries, "key", "left")
         .groupBy("row", "page_id", "host", "path")
         .agg(F.max(found).alias("found"))
-        .select("page_id", "host", "path", F.when(ruled, F.col("found.key")).alias("rule"), F.coalesce("found.said", F.lit("allow")).alias("verdict"))
+        .select("page_id", "host", "path", F.when(ruled, F.col("found.entry")).alias("rule"), F.coalesce("found.said", F.lit("allow")).alias("verdict"))
     )
 
 
-def production_lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(RULES, "entry string, verdict string"), spark.createDataFrame([(x,) for x in LISTED], "entry string")
+def production_lists(spark: SparkSession, listed: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rules and listed entries; listed: a Parquet table with the column entry, instead of LISTED."""
+    rows = spark.read.parquet(listed).select("entry") if listed else spark.createDataFrame([(x,) for x in LISTED], "entry string")
+    return spark.createDataFrame(RULES, "entry string, verdict string"), rows

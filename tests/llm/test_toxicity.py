@@ -49,6 +49,30 @@ def test_pairs_are_learned():
     assert ((z > 0) == (y > 0)).all() and abs(m.factors[0] @ m.factors[1]) > 0.5
 
 
+def test_all_significant_terms_have_weights(spark, table):
+    """Many rare insults, each in a few texts: no number of terms is too large."""
+    rng = random.Random(4)
+    insults = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in ("ggr", "zzk", "xxp", "vvt", "qqs", "jjm", "hhw")]
+    rows = [(k, " ".join([*(rng.choice(CLEAN) for _ in range(20)), insults[k // 2 % len(insults)] if k % 2 else ""])) for k in range(8400)]
+    machine = toxicity.fit(table(rows), labelled(spark, [(k, k % 2, 0, "x") for k, _ in rows]))
+    assert len(machine.keys) >= len(insults)
+    ((_, data, offsets),) = wordhash.text_slices(pa.array([f"people met {x} there" for x in insults] + ["people met there"]))
+    assert (machine.scores(data, offsets) >= 0.5).tolist() == [True] * len(insults) + [False]
+
+
+def test_slow_scorer(spark, table):
+    """The score of each text by the formula, pair by pair."""
+    rows, labels = corpus(300)
+    machine = toxicity.fit(table(rows), labelled(spark, labels))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(table(rows), labelled(spark, labels)).collect()}
+    for i, t in rows[:60]:
+        ((_, data, offsets),) = wordhash.text_slices(pa.array([t]))
+        present = sorted(set(toxicity.terms(data, offsets)[1].tolist()) & set(machine.keys.tolist()))
+        at = [int(np.searchsorted(machine.keys, np.uint64(h))) for h in present]
+        z = machine.bias + sum(machine.weights[a] for a in at) + sum(machine.factors[a] @ machine.factors[b] for n, a in enumerate(at) for b in at[:n])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_labels_of_held_out_rows_change_nothing(spark, table):
     rows, labels = corpus(200)
     one = sorted(map(tuple, toxicity.score_documents(table(rows), labelled(spark, labels)).collect()))
