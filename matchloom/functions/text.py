@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import MISSING
 
 #: The 29 code points that count as white space, unlike Java's ASCII class.
-SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ODD = r"\x09-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = rf"[\x20{_ODD}]"
+#: Runs of white space that aren't one blank; most blanks are, and stay as they are.
+RUN = rf"\x20{SPACE}+|[{_ODD}]{SPACE}*"
 
 #: What scrubbing removes, in order, and what it puts there.
 SCRUBS = [
@@ -19,28 +24,53 @@ SCRUBS = [
     (r"[－–—-]?\s*\bCity\s*,\s*State\b(?:\s*,\s*(?:United States|USA|US))?", " "),
     (r"_{2,}", " "),
 ]
+#: Substrings without which the pattern at the same place can't match.
+SCRUB_SIGNS = [("\u200b", "\ufeff"), ("\u2022", "\u25cf", "\u25e6"), ("http", "www.", "@"), ("Company Name",), ("City",), ("__",)]
+#: What is stripped from both ends.
 OUTER = " ,;-－–—"
 #: A phrase of 2 to 16 words that follows itself. Words are possessive: giving letters back can't lead to a match.
-REPEAT = r"\b(\S++(?:\s++\S++){1,15})\s++\1(?=\s|$)"
+REPEAT, LONGEST_REPEAT = r"\b(\S++(?:\s++\S++){1,15})\s++\1(?=\s|$)", 16
+#: Words that say nothing about a text's content.
 STOP = (
     "a an the and or of to in for with on as at by from my i me our their that this is are was were have has had it its be being been "
     "work working worked skills experience ability strong excellent professional company city state"
 ).split()
-ACTIONS = (
-    "Analyzed Analyze Designed Design Developed Created Managed Maintained Coordinated Implemented Prepared Provided Conducted Assisted "
-    "Responsible Performed Supported Taught Trained Led Built Monitored Communicated Researched Tested Oversaw Organized Facilitated "
-    "Evaluated Improved Reviewed Utilized Collaborated Helped"
-).split()
-ACTION = "(?:" + "|".join(ACTIONS) + ")"
+#: Verbs that open a statement of what somebody did.
+ACTION = (
+    "(?:Analyzed|Analyze|Designed|Design|Developed|Created|Managed|Maintained|Coordinated|Implemented|Prepared|Provided|Conducted|Assisted|"
+    "Responsible|Performed|Supported|Taught|Trained|Led|Built|Monitored|Communicated|Researched|Tested|Oversaw|Organized|Facilitated|"
+    "Evaluated|Improved|Reviewed|Utilized|Collaborated|Helped)"
+)
+#: Names of degrees.
 DEGREE = (
     r"(?:Master(?:s|'s)?(?: of [A-Za-z]+)?|Bachelor(?:s|'s)?(?: of [A-Za-z]+)?|Associate(?: of [A-Za-z]+ [A-Za-z]+| Degree)?"
     r"|BSEE|BBA|MBA|AAS Degree|M\.Ed|B\.S|BA|BS|AA|Certificate in [A-Za-z ]+(?= :))"
 )
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Letters that fold to another form than their small letter, such as ß to ss.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0xFFFF)) if len(c.casefold()) > 1 or c.casefold() != c.lower()}
+
+
+def casefold(text: Column) -> Column:
+    """Text in a form that is equal for texts that differ in case alone; ß is ss, a dotless i stays."""
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+
+    def folded(t: Column) -> Column:
+        letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+        return F.when(t.rlike(f"[{''.join(FOLDED)}]"), F.array_join(letters, "")).otherwise(F.lower(t))
+
+    return F.translate(once(text, folded), "ς", "σ")  # which lower-casing makes of a final Σ
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one blank; none at either end."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, RUN, " "))
 
 
 def clean(text: Column) -> Column:
@@ -51,16 +81,40 @@ def clean(text: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """Remove invisible characters, bullets, addresses and placeholders; collapse; strip separators at the ends."""
-    for pattern, instead in SCRUBS:
-        text = F.regexp_replace(text, "(?U)" + pattern, instead)
+    for (pattern, instead), signs in zip(SCRUBS, SCRUB_SIGNS, strict=True):
+        text = once(text, _replaced(signs, "(?U)" + pattern, instead))
     return F.btrim(collapse(text), F.lit(OUTER))
 
 
+def _replaced(signs: tuple[str, ...], pattern: str, instead: str):
+    """A replacement that is tried only on texts with one of the signs."""
+    return lambda t: F.when(reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in signs]), F.regexp_replace(t, pattern, instead)).otherwise(t)
+
+
+def may_repeat(text: Column) -> Column:
+    """Whether a word follows another's like at a distance at which REPEAT could match; false only if it can't.
+
+    In a match with phrases of k words, the second word stands again k words on, and before that a word
+    that the first one ends in. Case is taken as the pattern's flags take it, or more widely.
+    """
+    same_case = F.lower(F.translate(F.upper(text), "İ", "I"))
+
+    def at(words: Column, k: int) -> Column:
+        places = F.when(F.size(words) > k + 1, F.sequence(F.lit(0), F.size(words) - k - 2)).otherwise(F.array().cast("array<int>"))
+        return F.exists(places, lambda i: (F.get(words, i + 1) == F.get(words, i + k + 1)) & F.endswith(F.get(words, i), F.get(words, i + k)))
+
+    return once(F.split(same_case, r"(?U)\s+"), lambda w: reduce(Column.__or__, [at(w, k) for k in range(2, LONGEST_REPEAT + 1)]))
+
+
 def collapse_repeats(text: Column, passes: int = 3) -> Column:
-    """A phrase of 2 to 16 words that follows itself stands once."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, "(?iuU)" + REPEAT, "$1")
-    return text
+    """A phrase of 2 to 16 words that follows itself stands once; later passes see only what an earlier one has changed."""
+
+    def after(t: Column, left: int) -> Column:
+        if not left:
+            return t
+        return once(F.regexp_replace(t, "(?iuU)" + REPEAT, "$1"), lambda u: F.when(u == t, t).otherwise(after(u, left - 1)))
+
+    return once(text, lambda t: F.when(may_repeat(t), after(t, passes)).otherwise(t))
 
 
 def normalize(text: Column) -> Column:
@@ -79,7 +133,16 @@ def content_words(text: Column) -> Column:
 
 
 def dedup_key(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
+    """Letters, digits and underscores without regard to case, one blank for all else."""
+    return F.trim(F.regexp_replace(casefold(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+def stable_distinct(units: Column) -> Column:
+    """The first unit of each key, in order; units without a key go. Sorted twice in the row, so nothing is shuffled."""
+    keyed = F.transform(units, lambda u, i: F.struct(dedup_key(u).alias("key"), i.alias("pos"), u.alias("unit")))
+    in_order = F.array_sort(F.filter(keyed, lambda x: x["key"] != ""))
+    first = once(in_order, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["pos"], x["unit"]))), lambda x: x["unit"])
 
 
 def word_count(text: Column) -> Column:
@@ -97,18 +160,6 @@ def render_catalog(title: Column, description: Column, skills: Column, tasks: Co
     return labelled(("Occupation", title), ("Description", description), ("Skills", F.array_join(skills, "; ")), ("Tasks", F.array_join(tasks, " ")))
 
 
-def sentences_closed(units: Column) -> Column:
-    return F.array_join(F.transform(units, lambda u: F.when(u.rlike(r"[.!?]$"), u).otherwise(F.concat(u, F.lit(".")))), " ")
-
-
-def render_person(title: Column, units: dict[str, Column], interests: Column) -> Column:
-    """A person's profile: optional background, categories in fixed order, interests always last."""
-    parts = [("Background", title)]
-    for category, of in units.items():
-        parts.append((category, F.array_join(of, "; ") if category == "Skills" else sentences_closed(of)))
-    return F.trim(F.concat_ws(" ", labelled(*parts), F.concat(F.lit("Interests: "), interests)))
-
-
 def content_id(resume: Column, interests: Column, occurrence: Column) -> Column:
     """user_, 16 hex digits of the SHA-256 of both texts with a NUL between, two-digit occurrence."""
     digest = F.substring(F.sha2(F.concat(resume, F.char(F.lit(0)), interests), 256), 1, 16)

@@ -12,6 +12,7 @@ import re
 from functools import lru_cache
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +57,13 @@ class WordPieceCounter:
 def remembered(counter: TokenCounter, most: int = 50_000):
     """The counter's count with a bounded memory."""
     return lru_cache(maxsize=most)(counter.count)
+
+
+def counted(counter: TokenCounter, text: Column) -> Column:
+    """Token counts of a column of texts by any counter."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([counter.count(t) for t in texts], dtype="int32")
+
+    return run(F.coalesce(text, F.lit("")))

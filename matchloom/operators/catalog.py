@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
-from ..functions.text import clean
+from ..functions.text import casefold, clean
+from ..session import checkpointed
 
 
 def first_nonempty(rows: DataFrame, key: str, fields: list[str], pos: str = "pos") -> DataFrame:
@@ -32,7 +33,7 @@ def best_skill(skills: DataFrame, key: str, scale: str = "IM") -> DataFrame:
         .where(F.col("score").isNotNull())
     )
     best = F.max_by(F.struct("name", "score"), F.struct("score", -F.col("pos")))
-    return rated.groupBy(key, F.lower("name").alias("same")).agg(best.alias("best")).select(key, "best.name", "best.score")
+    return rated.groupBy(key, casefold(F.col("name")).alias("same")).agg(best.alias("best")).select(key, "best.name", "best.score")
 
 
 def best_task(tasks: DataFrame, key: str) -> DataFrame:
@@ -45,7 +46,7 @@ def best_task(tasks: DataFrame, key: str) -> DataFrame:
     )
     best = F.max_by(F.struct("text", "core", "support"), F.struct("core", "support", -F.col("pos")))
     return (
-        rows.groupBy(key, F.lower("text").alias("same"))
+        rows.groupBy(key, casefold(F.col("text")).alias("same"))
         .agg(F.min("pos").alias("pos"), best.alias("best"))
         .select(key, "pos", "best.text", "best.core", "best.support")
     )
@@ -55,14 +56,14 @@ def rank_skills(skills: DataFrame, key: str, top: int = 0) -> DataFrame:
     """rank by score, then by name; only the first `top`, or all if it is 0."""
     if top < 0:
         raise ValueError("top must be nonnegative")
-    order = Window.partitionBy(key).orderBy(F.desc("score"), F.lower("name"), "name")
+    order = Window.partitionBy(key).orderBy(F.desc("score"), casefold(F.col("name")), "name")
     ranked = skills.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
 def skill_lists(skills: DataFrame, key: str) -> DataFrame:
     """key, skills: all names in rank order."""
-    in_order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.lower("name").alias("l"), F.col("name").alias("name"))))
+    in_order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), casefold(F.col("name")).alias("l"), F.col("name").alias("name"))))
     return skills.groupBy(key).agg(F.transform(in_order, lambda x: x["name"]).alias("skills"))
 
 
@@ -81,6 +82,20 @@ def with_children(parents: DataFrame, skills: DataFrame, tasks: DataFrame, key:
     )
 
 
+def previous(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """group, order and previous, the order of the row before it in its group (null for the first), for few or hot groups.
+
+    The rows are dealt by ranges of (group, order), so a group may fill many tasks; a range's first row has the
+    last one of the ranges before it, of which there are no more than tasks.
+    """
+    dealt = checkpointed(rows.select(group, order).repartitionByRange(group, order).withColumn("part", F.spark_partition_id()))
+    last = dealt.groupBy(group, "part").agg(F.max(order).alias("last"))
+    border = last.withColumn("border", F.lag("last").over(Window.partitionBy(group).orderBy("part"))).drop("last").withColumnRenamed(group, "of")
+    inside = dealt.withColumn("inside", F.lag(order).over(Window.partitionBy(group, "part").orderBy(order)))
+    joined = inside.join(border.withColumnRenamed("part", "of_part"), F.col(group).eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    return joined.select(group, order, F.coalesce("inside", "border").alias("previous"))
+
+
 def cleaned(rows: DataFrame, names: dict[str, str], optional: tuple[str, ...] = ()) -> DataFrame:
     """Source columns under new names, cleaned; optional ones that are absent are empty. Keeps pos."""
     columns = [

@@ -6,9 +6,10 @@ if its package is installed, once a Python worker.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -27,8 +28,13 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(maxsize=100_000)
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4])
+
+
 class HashingEncoder:
-    """Signed hashed words, scaled to unit length; a text without words points along the first axis."""
+    """Words hashed to a place (the upper bits of 32) and a sign (the lowest), scaled to unit length; a text without any points along the first axis."""
 
     def __init__(self, width: int = WIDTH):
         self.width = width
@@ -37,7 +43,7 @@ class HashingEncoder:
         out = np.zeros((len(texts), self.width))
         for row, text in zip(out, texts, strict=True):
             for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode())
+                h = word_hash(word)
                 row[(h >> 1) % self.width] += 1 if h & 1 else -1
             if not row.any():
                 row[0] = 1

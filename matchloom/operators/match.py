@@ -33,10 +33,14 @@ def checked_k(k: int, candidates: int) -> None:
         raise ValueError("k must be between one and the number of candidates")
 
 
-def vector_bytes(vectors: DataFrame) -> int:
-    """What the vectors of a table take, from its row count and widest vector."""
+def measured(vectors: DataFrame) -> tuple[int, int]:
+    """Rows of a table and what their vectors take, from the widest of them."""
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    return n * (4 * width + 64)
+    return n, n * (4 * width + 64)
+
+
+def vector_bytes(vectors: DataFrame) -> int:
+    return measured(vectors)[1]
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -138,8 +142,9 @@ def topk_blocks(users: DataFrame, candidates: DataFrame, k: int = 5, block_rows:
 
 def topk(users: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """The plan that fits the sizes."""
-    checked_k(k, candidates.count())
-    if vector_bytes(candidates) <= SMALL_BYTES:
+    n, size = measured(candidates)
+    checked_k(k, n)
+    if size <= SMALL_BYTES:
         return topk_arrow(users, candidates, k)
     return topk_blocks(users, candidates, k)
 

@@ -145,3 +145,19 @@ def choose(rows: DataFrame, counter: TokenCounter, key: str, budget: int = BUDGE
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, "title", "description", "skills", "tasks").mapInPandas(run, f"`{key}` {kind}, {CHOICE}")
+
+
+def priorities(rows: DataFrame, counter: TokenCounter, key: str) -> DataFrame:
+    """key, pos, core, support, priority: the order in which an entity's tasks are tried before any is chosen."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, tasks in zip(batch[key], batch["tasks"], strict=True):
+                records = [dict(t) for t in tasks]
+                order = CatalogChoice("", "", [], records, counter).open_tasks()
+                out += [(k, records[i]["pos"], records[i]["core"], records[i]["support"], n) for n, i in enumerate(order, 1)]
+            yield pd.DataFrame(out, columns=[key, "pos", "core", "support", "priority"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "tasks").mapInPandas(run, f"`{key}` {kind}, pos long, core boolean, support double, priority int")

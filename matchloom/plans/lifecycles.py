@@ -1,6 +1,6 @@
 """The three lifecycles: catalogue profiles, people's profiles, matching; and encoding between them.
 
-Plain parameters stand for the command lines. Everything is checked before anything is written.
+``commands`` has the command lines. Everything is checked before anything is written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id, match_line, render_catalog
-from ..functions.tokens import PatternCounter, TokenCounter
+from ..functions.tokens import PatternCounter, TokenCounter, counted
 from ..operators import catalog, embed, match, quality, select_catalog, select_person, stats
 from ..schemas import BUDGET, CODE, DESCRIPTION, MODEL_LIMIT, TITLE
 from ..session import checkpointed
@@ -82,7 +82,7 @@ def prepare_people(spark: SparkSession, source: str, output: str | None = None,
     people = identified(raw.select(F.col("Resume_str").alias("resume"), F.col("Generated_Interests").alias("interests"), "pos"))
     quality.require(quality.nonempty(people, "people"))
     done = no_errors(checkpointed(person_profiles(people, counter)), "source_row").drop("title")
-    recount = PatternCounter.column(F.col("profile_text")) if counter is None else F.col("token_count")
+    recount = PatternCounter.column(F.col("profile_text")) if counter is None else counted(counter, F.col("profile_text"))
     quality.require(quality.violations(quality.unique_key(done, "user_id", "user ID"), quality.token_recount(done, recount, "user_id", BUDGET, MODEL_LIMIT)))
     done = done.orderBy("source_row")
     if output:
@@ -106,15 +106,28 @@ class Matched:
     report: DataFrame
 
 
-def match_profiles(users: DataFrame, careers: DataFrame, k: int = 5, width: int | None = None, user_stats: DataFrame | None = None, career_stats: DataFrame | None = None) -> Matched:
-    """The k best careers of each user, verified. users: user_id, pos, embedding; careers: code, title, embedding."""
+def match_profiles(
+    users: DataFrame, careers: DataFrame, k: int = 5, width: int | None = None, user_stats: DataFrame | None = None, career_stats: DataFrame | None = None,
+    user_order: DataFrame | None = None, career_order: DataFrame | None = None,
+) -> Matched:
+    """The k best careers of each user, verified. users: user_id, pos, embedding; careers: code, title, embedding.
+
+    The runs' statistics must name one model; user_order (user_id, pos) and career_order (code, title, pos) are the
+    profiles that the vectors were made of, which the vectors must follow row by row.
+    """
+    quality.require(quality.violations(quality.nonempty(users, "users"), quality.nonempty(careers, "careers")))
     size = width or users.select(F.size("embedding")).first()[0]
     rules = [
-        quality.nonempty(users, "users"), quality.nonempty(careers, "careers"), quality.unique_key(users, "user_id", "user ID"), quality.unique_key(careers, "code", "code"),
-        quality.vectors(users, "user_id", size), quality.vectors(careers, "code", size),
+        quality.unique_key(users, "user_id", "user ID"), quality.unique_key(careers, "code", "code"), quality.vectors(users, "user_id", size), quality.vectors(careers, "code", size),
     ]
-    if user_stats is not None and career_stats is not None:
+    if user_stats is not None or career_stats is not None:
+        if user_stats is None or career_stats is None:
+            raise quality.QualityError("statistics of both runs are needed")
         rules.append(quality.same_run(user_stats, career_stats))
+    if user_order is not None:
+        rules.append(quality.same_order(users, user_order, ["user_id"]))
+    if career_order is not None:
+        rules.append(quality.same_order(careers, career_order, ["code", "title"]))
     quality.require(quality.violations(*rules))
     best = checkpointed(match.topk(users, careers, k))
     quality.require(quality.valid_matches(best, k))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACTION, STOP
-from .queries import INTERESTS, K, USERS
+from ..functions.text import ACTION, LONGEST_REPEAT, STOP
+from ..operators.segment import LONG_UNIT, SKILL_LEADS
+from .queries import EVERY, INTERESTS, K
 
 _SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -32,7 +33,7 @@ _BEST = f"""
 pairs AS (
   SELECT u.vec_id AS user_id, c.vec_id AS code, c.label AS label,
          greatest(-1.0, least(1.0, list_dot_product(u.embedding::DOUBLE[], c.embedding::DOUBLE[]))) AS score
-  FROM embeddings u, embeddings c WHERE u.vec_id < {USERS} AND c.vec_id >= {USERS}),
+  FROM embeddings u, embeddings c WHERE u.vec_id % {EVERY} = 0),
 best AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, code) AS INTEGER) AS rank FROM pairs
   QUALIFY rank <= {K})
@@ -59,8 +60,7 @@ kept AS (
 """
 
 
-def _scrub() -> str:
-    t = "coalesce(text, '')"
+def _scrub(t: str = "coalesce(text, '')") -> str:
     word = r"[\p{L}\p{N}_]"
     for pattern, instead in (
         (r"[\x{200b}\x{feff}]", ""),
@@ -74,6 +74,129 @@ def _scrub() -> str:
     return f"trim({_collapse(t)}, ' ,;-－–—')"
 
 
+def _one_pass(source: str, n: int) -> str:
+    """Tokens (doc_id, i, raw, w) of source without the second of two equal phrases, the leftmost first, of these the longest."""
+    order, word = "(PARTITION BY doc_id ORDER BY i)", r"[\p{L}\p{N}\p{M}_]"
+    ks = range(2, LONGEST_REPEAT + 1)
+    leads = ", ".join(f"lead(w, {k}) OVER o AS c{k}, coalesce(w = lead(w, {k}) OVER o, false) AS e{k}" for k in ks)
+    runs = ", ".join(f"c{k}, coalesce(bool_and(e{k}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {k - 1} FOLLOWING), false) AS r{k}" for k in ks)
+    found = " UNION ALL ".join(f"SELECT doc_id, i, {k} AS k, w, c{k} AS c FROM r{n} WHERE r{k} AND ends_with(w, c{k})" for k in ks)
+    return f"""
+e{n} AS (SELECT *, {leads} FROM {source} WINDOW o AS {order}),
+r{n} AS (SELECT doc_id, i, w, {runs} FROM e{n}),
+f{n} AS (SELECT *, length(w) - length(c) AS off FROM ({found})),
+b{n} AS (
+  SELECT doc_id, i, k FROM f{n}
+  WHERE CASE WHEN off = 0 THEN regexp_matches(c, '^{word}') ELSE regexp_matches(substr(w, off, 1), '{word}') <> regexp_matches(substr(w, off + 1, 1), '{word}') END
+  QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY off, k DESC) = 1),
+l{n} AS (SELECT doc_id, list({{'first': i, 'next': i + 2 * k, 'gone': [{{'a': i + k, 'b': i + 2 * k}}]}} ORDER BY i) AS all_found FROM b{n} GROUP BY doc_id),
+g{n} AS (
+  SELECT doc_id, unnest(list_reduce(all_found, lambda x, y: CASE WHEN y.first >= x.next THEN {{'first': x.first, 'next': y.next, 'gone': list_concat(x.gone, y.gone)}} ELSE x END).gone, recursive := true)
+  FROM l{n}),
+p{n} AS (
+  SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.i) AS i, t.raw, t.w
+  FROM {source} t LEFT JOIN g{n} g ON g.doc_id = t.doc_id AND t.i >= g.a AND t.i < g.b WHERE g.a IS NULL)"""
+
+
+def _collapse_repeats() -> str:
+    return f"""WITH s AS (SELECT doc_id, {_scrub()} AS t FROM documents),
+p0 AS (SELECT doc_id, unnest(string_split(t, ' ')) AS raw, lower(raw) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM s),
+{_one_pass("p0", 1)},
+{_one_pass("p1", 2)},
+{_one_pass("p2", 3)}
+SELECT doc_id, md5(string_agg(raw, ' ' ORDER BY i)) AS normalized FROM p3 GROUP BY doc_id"""
+
+
+#: Separates the pieces that replacements make; no text has it.
+_CUT = "\x1e"
+
+
+def _outside(t: str) -> str:
+    """Commas and semicolons outside parentheses become cuts; a surplus closing parenthesis counts for nothing."""
+    deeper = "CASE y.o WHEN '(' THEN x.l + 1 WHEN ')' THEN greatest(x.l - 1, 0) ELSE x.l END"
+    return (
+        f"list_reduce(list_transform(string_split({t}, ''), lambda c: {{'l': 0, 'o': c}}), lambda x, y: {{'l': {deeper}, 'o': x.o || CASE WHEN x.l = 0 AND y.o IN (',', ';') THEN '{_CUT}' ELSE y.o END}}, {{'l': 0, 'o': ''}}).o"
+    )
+
+
+def _sentence_units() -> str:
+    abbreviations = r"\b(Dr|Mr|Ms|St|Univ|M\.Ed|B\.S)\."
+    t = f"regexp_replace(coalesce(text, ''), '{abbreviations}', '\\1\u2024', 'g')"
+    t = f"regexp_replace({t}, '\\b([A-Za-z])\\.([A-Za-z])\\.', '\\1\u2024\\2\u2024', 'g')"
+    for _ in range(3):
+        t = f"regexp_replace({t}, '\u2024([A-Za-z])\\.', '\u2024\\1\u2024', 'g')"
+    for pattern in (r"([.!?])\s+([A-Z])", r"([a-z][.!?])([A-Z])"):
+        t = f"regexp_replace({t}, '{pattern}', '\\1{_CUT}\\2', 'g')"
+    sentences = f"list_transform(regexp_split_to_array({t}, '[{_CUT}\\r\\n]+'), lambda s: replace(s, '\u2024', '.'))"
+    words = f"len(string_split({_collapse('s')}, ' '))"
+    cuts = {
+        "experience": f"CASE WHEN {words} > {LONG_UNIT} THEN regexp_replace(s, '\\s+({ACTION}\\b)', '{_CUT}\\1', 'g') ELSE s END",
+        "education": f"replace(s, ';', '{_CUT}')",
+        "skills": f"regexp_replace({_outside('s')}, '\\s+((?:{SKILL_LEADS})\\b)', '{_CUT}\\1', 'g')",
+    }
+    key = f"trim(regexp_replace(lower({_scrub('u')}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+    counts = ", ".join(
+        f"CAST(len(list_filter(list_distinct(list_transform(string_split(array_to_string(list_transform(ss, lambda s: {cut}), '{_CUT}'), '{_CUT}'), lambda u: {key})), lambda k: k <> '')) AS INTEGER) AS {name}_units"
+        for name, cut in cuts.items()
+    )
+    return f"WITH s AS (SELECT conv_id, turn, {sentences} AS ss FROM conversations) SELECT conv_id, turn, {counts} FROM s"
+
+
+_CLERKS = """
+orders_of AS (SELECT o_custkey, list({'k': CAST(o_orderkey AS VARCHAR), 'p': o_orderpriority} ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey),
+clerks AS (SELECT c_custkey, c_name, c_mktsegment, n_name, orders FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders_of ON o_custkey = c_custkey)
+"""
+
+
+def _tokens(t: str) -> str:
+    return f"CAST(len(regexp_extract_all({t}, '[A-Za-z0-9]+|[^\\sA-Za-z0-9\\x{{0b}}]')) + 2 AS INTEGER)"
+
+
+def _section_extract() -> str:
+    """What the sections of the resumes are, from what these were made of."""
+    lots = " ".join(map(str, range(1, 61)))
+    return f"""WITH {_CLERKS}
+        SELECT c_custkey, c_mktsegment || ' CLERK' AS title, 'Bachelor of Arts : ' || n_name || ' College | M.Ed : Library Studies St. Olga' AS education,
+          array_to_string(list_concat(list_concat(list_transform(coalesce(orders, []), lambda o: 'Prepared order ' || o.k || ' of ' || o.p || ' with care.'), ['Problem Solving Skills were used.']),
+            CASE WHEN c_custkey % 3 = 0 THEN ['Managed lots {lots}', 'Reviewed them all.'] ELSE [] END), ' | ') AS experience,
+          'Excel (tables, charts) | SQL | ' || c_mktsegment || ' trade' AS skills, 'Careful with numbers in ' || n_name || '.' AS summary
+        FROM clerks"""
+
+
+def _budget_select_profile() -> str:
+    """All that fits and says something new, in the order in which it can only have been chosen."""
+    return f"""WITH {_CLERKS},
+        p AS (SELECT c_custkey AS user_id, c_mktsegment || ' CLERK' AS title, 'Bachelor of Arts : ' || n_name || ' College' AS education, 'Prepared ledgers for ' || n_name || ' mills in 2011.' AS experience,
+          'Careful with numbers in ' || n_name || '.' AS summary, 'I like to find out why figures disagree in ' || n_name || '.' AS interests,
+          CASE c_custkey % 50 WHEN 0 THEN 'Title and complete interests exceed the budget' WHEN 1 THEN 'Both resume and interests must be nonempty' END AS error FROM clerks),
+        t AS (SELECT *, 'Background: ' || title || ' Education: ' || education || '. Experience: ' || experience || ' Skills: Excel; SQL Summary: ' || summary || ' Interests: ' || interests AS text FROM p)
+        SELECT user_id, CASE WHEN error IS NULL THEN text END AS profile_text, CASE WHEN error IS NULL THEN {_tokens("text")} END AS token_count, CASE WHEN error IS NULL THEN title END AS title,
+          CASE WHEN error IS NULL THEN education END AS selected_education, CASE WHEN error IS NULL THEN experience END AS selected_experience, CASE WHEN error IS NULL THEN 'Excel | SQL' END AS selected_skills,
+          CASE WHEN error IS NULL THEN summary END AS selected_summary, error FROM t"""
+
+
+def _budget_select_catalog() -> str:
+    """Everything but what never fits, skills by rank and tasks in source order."""
+    return f"""WITH {_CLERKS},
+        s AS (SELECT c_custkey, 'Occupation: ' || trim(c_name) || ' Description: ' || c_mktsegment || ' in ' || n_name AS head,
+          array_to_string(list_reverse(list_sort(list_distinct(list_transform(coalesce(orders, []), lambda o: o.p)))), '; ') AS skills,
+          array_to_string(list_transform(coalesce(orders, []), lambda o: 'Order ' || o.k || '.'), ' ') AS tasks FROM clerks),
+        t AS (SELECT *, head || CASE WHEN skills <> '' THEN ' Skills: ' || skills ELSE '' END || CASE WHEN tasks <> '' THEN ' Tasks: ' || tasks ELSE '' END AS text,
+          tasks = '' AND c_custkey % 4 = 0 AS bare FROM s)
+        SELECT c_custkey AS key, CASE WHEN NOT bare THEN text END AS profile_text, CASE WHEN NOT bare THEN {_tokens("text")} END AS token_count, CASE WHEN NOT bare THEN skills END AS selected_skills,
+          CASE WHEN NOT bare THEN tasks END AS selected_tasks, CASE WHEN bare THEN split_part(split_part(head, 'Occupation: ', 2), ' Description: ', 1) || ': no complete task fits beside its title and description' END AS error FROM t"""
+
+
+_ENCODE = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS word FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w),
+v AS (SELECT doc_id, (h >> 1) % 64 AS place, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS length, coalesce(max(x) FILTER (WHERE place = 0), 0) AS x FROM v GROUP BY doc_id)
+SELECT doc_id, 64 AS width, true AS unit, round(CASE WHEN coalesce(length, 0) = 0 THEN 1.0 ELSE n.x / length END, 4) AS first
+FROM documents LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "topk_cosine": _TOPK,
@@ -92,8 +215,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'c', conv_id * 1000 + turn, {_clean("text")} FROM conversations""",
         "scrub_text": f"SELECT doc_id, md5({_scrub()}) AS scrubbed FROM documents",
         "first_nonempty_by_key": """WITH r AS (SELECT coalesce(source, '') AS source, doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS lang,
-              CASE WHEN doc_id % 7 < 5 THEN '' ELSE substr(text, 1, 40) END AS head FROM documents)
-            SELECT source, coalesce(min_by(lang, pos) FILTER (WHERE lang <> ''), '') AS lang, coalesce(min_by(head, pos) FILTER (WHERE head <> ''), '') AS head
+              CASE WHEN doc_id % 7 < 5 THEN '' ELSE text END AS text FROM documents)
+            SELECT source, coalesce(min_by(lang, pos) FILTER (WHERE lang <> ''), '') AS lang, md5(coalesce(min_by(text, pos) FILTER (WHERE text <> ''), '')) AS text
             FROM r WHERE source <> '' GROUP BY source""",
         "dedup_argmax": f"WITH {_EVENTS} SELECT * FROM top",
         "rank_skills_topn": f"""WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, lower(name)) AS rank FROM top QUALIFY rank <= 3)
@@ -121,7 +244,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(common AS INTEGER) AS common, round((na - common) / greatest(1, na), 6) AS novelty, round(jac, 6) AS jaccard, round(ov, 6) AS overlap,
                    na = common AS within, jac >= 0.65 OR (na >= 6 AND nb >= 6 AND ov >= 0.85) AS alike FROM x""",
         "stable_distinct_units": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-            u AS (SELECT doc_id, pos, {_collapse("raw")} AS unit FROM l), k AS (SELECT *, trim(regexp_replace(lower(unit), '[^a-z0-9_]+', ' ', 'g')) AS key FROM u),
+            u AS (SELECT doc_id, pos, {_collapse("raw")} AS unit FROM l), k AS (SELECT *, trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS key FROM u),
             f AS (SELECT * FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) = 1)
             SELECT doc_id, count(*) AS units, md5(string_agg(unit, '|' ORDER BY pos)) AS text FROM f GROUP BY doc_id""",
         "task_priority_first": f"""WITH {_TURNS}, {_TASKS.format(source="turns")}
@@ -145,7 +268,12 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'values must be nonempty', url, 'v' FROM pages""",
         "ordered_equality": """SELECT 'order or content differs' AS rule, CAST(coalesce(a.vec_id, b.vec_id + 1) AS VARCHAR) AS key
             FROM embeddings a FULL JOIN embeddings b ON a.vec_id = b.vec_id + 1 WHERE a.label IS DISTINCT FROM b.label OR a.vec_id IS NULL OR b.vec_id IS NULL""",
-        "numbers_parsed": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 4 THEN 1.5 ELSE 0.0 END AS support, event_id % 7 IN (0, 4) AS kept
-            FROM events WHERE event_id % 3 = 0""",
+        "numbers_parsed": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 4 THEN 1.5 ELSE 0.0 END AS support, event_id % 7 IN (0, 4) AS kept FROM events""",
+        "collapse_repeats": _collapse_repeats(),
+        "sentence_units": _sentence_units(),
+        "section_extract": _section_extract(),
+        "budget_select_profile": _budget_select_profile(),
+        "budget_select_catalog": _budget_select_catalog(),
+        "encode_hashing": _ENCODE,
     }
     return found

@@ -13,18 +13,9 @@ from ..functions.tokens import PatternCounter
 from ..operators import catalog, embed, match, quality, segment, select_catalog, select_person, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Fixed values of the queries: subjects of the match, and a text that units are scored against.
-USERS, K = 20, 5
+#: Parameters of the queries: every so many-th vector is a subject, how many candidates each gets, interests that units are scored against.
+EVERY, K = 100, 5
 INTERESTS = "I enjoy the analysis of data and helping the team with reports."
-#: Synthetic resumes.
-RESUMES = [
-    ("BOOKKEEPER Summary Careful with numbers. Experience Prepared monthly ledgers for a mill. Reviewed invoices and found gaps. Reviewed invoices and found gaps. "
-     "Education Bachelor of Arts : Economics Riverside College Skills Excel, SQL, payroll, double entry", "I like to find out why figures disagree."),
-    ("LIBRARIAN Kim Poe Education M.Ed : Library Studies 2011 St. Olga's College B.S : Chemistry 2003 Hilltop University Skills Cataloguing, chemistry", "I like to explain how things react."),
-    ("NURSE Education 6/2001 Lakeside University Public education and Care Masters of Nursing 6/1997 Northern College Evening Program Skills Triage", "Care for older people."),
-    ("Wrote letters and kept the archive of a small office for ten years. Answered the phone.", "Quiet work with papers."),
-    ("WELDER Experience Built frames.", ""),
-]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,10 +23,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors whose id is divisible by EVERY as subjects; all vectors as candidates."""
     e = table(spark, sf, "embeddings")
-    users = e.where(F.col("vec_id") < USERS).select(F.col("vec_id").alias("user_id"), "embedding")
-    careers = e.where(F.col("vec_id") >= USERS).select(F.col("vec_id").alias("code"), "embedding", F.concat(F.lit("Label "), F.col("label").cast("string")).alias("title"))
-    return users, careers
+    users = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("user_id"), "embedding")
+    return users, e.select(F.col("vec_id").alias("code"), "embedding", F.concat(F.lit("Label "), F.col("label").cast("string")).alias("title"))
 
 
 def _best(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,9 +91,9 @@ def first_nonempty_by_key(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     rows = docs.select(
         F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("lang"),
-        F.when(F.col("doc_id") % 7 < 5, "").otherwise(F.substring("text", 1, 40)).alias("head"),
+        F.when(F.col("doc_id") % 7 < 5, "").otherwise(F.col("text")).alias("text"),
     )
-    return catalog.first_nonempty(rows, "source", ["lang", "head"])
+    return catalog.first_nonempty(rows, "source", ["lang", "text"]).select("source", "lang", F.md5("text").alias("text"))
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,9 +169,10 @@ def word_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 def set_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Each document against the one before it in its source."""
-    t = F.coalesce("text", F.lit(""))
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = table(spark, sf, "documents").select("doc_id", "source", text.content_words(t).alias("a")).withColumn("b", F.lag("a").over(order)).where("b is not null")
+    docs = table(spark, sf, "documents")
+    words = docs.select("doc_id", text.content_words(F.coalesce("text", F.lit(""))).alias("a"))
+    before = catalog.previous(docs, "source", "doc_id").where("previous is not null").select("doc_id", "previous")
+    rows = before.join(words, "doc_id").join(words.select(F.col("doc_id").alias("previous"), F.col("a").alias("b")), "previous")
     a, b = F.col("a"), F.col("b")
     return rows.select(
         "doc_id", sets.common(a, b).alias("common"), F.round(sets.novelty(a, b), 6).alias("novelty"), F.round(sets.jaccard(a, b), 6).alias("jaccard"),
@@ -190,43 +182,47 @@ def set_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 def stable_distinct_units(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each document, the first of each key in order."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-    keyed = lines.withColumn("unit", text.collapse(F.col("raw"))).withColumn("key", F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9_]+", " "))).where("key <> ''")
-    first = keyed.groupBy("doc_id", "key").agg(F.min_by("unit", "pos").alias("unit"), F.min("pos").alias("pos"))
-    in_order = F.array_sort(F.collect_list(F.struct("pos", "unit")))
-    return first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.md5(F.array_join(F.transform(in_order, lambda x: x["unit"]), "|")).alias("text"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), text.collapse)
+    units = table(spark, sf, "documents").select("doc_id", text.stable_distinct(lines).alias("u"))
+    return units.where(F.size("u") > 0).select("doc_id", F.size("u").cast("long").alias("units"), F.md5(F.array_join("u", "|")).alias("text"))
 
 
 def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations")
-    return turns.select("conv_id", "turn", *[F.size(segment.units(F.col("text"), c)).alias(f"{c.lower()}_units") for c in ("Experience", "Education", "Skills")])
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", segment.units(F.col("text")).alias("u"))
+    return turns.select("conv_id", "turn", *[F.size(f"u.{c}").alias(f"{c}_units") for c in ("experience", "education", "skills")])
 
 
-def _people(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"user_{k}", k, r, i) for k, (r, i) in enumerate(RESUMES)], "user_id string, source_row int, resume string, interests string")
+def _clerks(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with their nation's name and the keys and priorities of their orders in order, as (k, p)."""
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("p"), F.col("o_orderkey").alias("n")))).alias("orders"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    in_order = F.array_sort("orders", lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0))
+    return table(spark, sf, "customer").join(nations, "c_nationkey").join(orders, "c_custkey", "left").withColumn("orders", in_order)
 
 
 def section_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return _people(spark).select("user_id", segment.sections(F.col("resume")).alias("s")).select("user_id", "s.*")
+    """Resumes made of customers and their orders, with repeated statements, debris, prose that looks like headings and a long list."""
+    statements = F.transform("orders", lambda o: F.concat(F.lit("Prepared order "), o["k"], F.lit(" of "), o["p"], F.lit(" with care.")))
+    n, long_list = F.col("n_name"), "Managed lots " + " ".join(map(str, range(1, 61))) + " Reviewed them all."
+    resume = F.concat_ws(
+        " ", F.col("c_mktsegment"), F.lit("CLERK Kim Poe Summary Careful with numbers in"), F.concat(n, F.lit(".")), F.lit("Experience"), F.array_join(statements, " "),
+        F.lit("Problem Solving Skills were used."), F.upper(F.get(statements, 0)), F.when(F.col("c_custkey") % 3 == 0, F.lit(long_list)), F.lit("Education Bachelor of Arts :"), n,
+        F.lit("College; I like it; M.Ed : Library Studies St. Olga; BA Skills Excel (tables, charts), SQL; etc,"), F.col("c_mktsegment"), F.lit("trade"),
+    )
+    found = _clerks(spark, sf).select("c_custkey", segment.sections(resume).alias("s"))
+    return found.select("c_custkey", "s.title", *[F.array_join(f"s.{c}", " | ").alias(c) for c in ("education", "experience", "skills", "summary")])
 
 
 def task_priority_first(spark: SparkSession, sf: str) -> DataFrame:
     """The order in which tasks are tried before any is chosen."""
-    tasks = catalog.best_task(_turns(spark, sf), "key")
-    words = text.letter_words(F.col("text"))
-    fresh = F.when(F.size(words) > 0, 1.0).otherwise(0.0)
-    order = Window.partitionBy("key").orderBy(F.desc("core"), F.desc(F.col("support") / 100 + fresh), "pos")
-    return tasks.select("key", "pos", "core", "support", F.row_number().over(order).alias("priority"))
+    return select_catalog.priorities(catalog.task_lists(catalog.best_task(_turns(spark, sf), "key"), "key"), PatternCounter(), "key")
 
 
 def unit_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of conversations scored as experience units against fixed interests, nothing chosen yet."""
-    unit, wanted = F.col("unit"), text.content_words(F.lit(INTERESTS))
     lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-    rows = lines.withColumn("unit", text.collapse(F.col("raw"))).withColumn("terms", text.content_words(unit))
-    score = 3.0 * sets.common(F.col("terms"), wanted) + F.when(unit.rlike(rf"\b{text.ACTION}\b"), 3.0).otherwise(0.0)
-    score += F.when(F.size("terms") > 0, 2.0).otherwise(0.0) + F.when(unit.rlike("[0-9]"), 0.8).otherwise(0.0)
-    return rows.select("conv_id", "turn", "pos", text.word_count(unit).alias("words"), F.round(score, 6).alias("score"))
+    rows = lines.withColumn("unit", text.collapse(F.col("raw")))
+    return rows.select("conv_id", "turn", "pos", text.word_count(F.col("unit")).alias("words"), F.round(select_person.scores(F.col("unit"), "Experience", INTERESTS), 6).alias("score"))
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,15 +231,35 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def budget_select_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of conversations as tasks, their languages' words as skills."""
+    """Customers as entities, their orders as tasks and the orders' priorities as skills; some have a task or a skill that never fits."""
+    clerks, many = _clerks(spark, sf), " ".join(["lot"] * 300)
+    parents = clerks.select(F.col("c_custkey").alias("key"), F.trim("c_name").alias("title"), F.concat("c_mktsegment", F.lit(" in "), "n_name").alias("description"))
+    orders = clerks.select(F.col("c_custkey").alias("key"), F.posexplode("orders").alias("pos", "o"))
+    tasks = orders.select("key", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("Order "), "o.k", F.lit(".")).alias("text"), (F.col("pos") % 2 == 0).alias("core"), F.col("pos").cast("double").alias("support"))
+    tasks = tasks.unionByName(clerks.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("key"), F.lit(-1).cast("long").alias("pos"), F.lit(f"{many}.").alias("text"), F.lit(True).alias("core"), F.lit(99.0).alias("support")))
+    skills = orders.select("key", F.col("o.p").alias("name")).distinct().withColumn("score", F.substring("name", 1, 1).cast("double"))
+    skills = skills.unionByName(clerks.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key"), F.lit(many).alias("name"), F.lit(9.0).alias("score")))
+    return select_catalog.choose(catalog.with_children(parents, skills, tasks, "key"), PatternCounter(), "key")
+
+
+def budget_select_talks(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as entities: turns as tasks, all their words as skills, so that the budget decides."""
     tasks = catalog.best_task(_turns(spark, sf), "key")
-    rated = tasks.select("key", F.explode(F.slice(text.letter_words(F.col("text")), 1, 12)).alias("name"), "support").groupBy("key", "name").agg(F.max("support").alias("score"))
+    rated = tasks.select("key", F.explode(text.letter_words(F.col("text"))).alias("name"), "support").groupBy("key", "name").agg(F.max("support").alias("score"))
     parents = tasks.groupBy("key").agg(F.concat(F.lit("Conversation "), F.first("key").cast("string")).alias("title"), F.lit("Turns of a talk.").alias("description"))
     return select_catalog.choose(catalog.with_children(parents, rated, tasks, "key"), PatternCounter(), "key")
 
 
 def budget_select_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return select_person.choose(_people(spark), PatternCounter())
+    """Resumes made of customers: a statement that never fits, one that says the same again; some interests are missing or too long."""
+    n, long_list = F.col("n_name"), "Counted lots " + " ".join(map(str, range(1, 301))) + "."
+    resume = F.concat_ws(
+        " ", F.col("c_mktsegment"), F.lit("CLERK Summary Careful with numbers in"), F.concat(n, F.lit(".")), F.lit(f"Experience {long_list} Prepared ledgers for"), n, F.lit("mills in 2011. Prepared ledgers for"), n,
+        F.lit("mills. Education Bachelor of Arts :"), n, F.lit("College Skills Excel, SQL"),
+    )
+    interests = F.when(F.col("c_custkey") % 50 == 0, " ".join(f"aim{k}" for k in range(300))).when(F.col("c_custkey") % 50 == 1, "").otherwise(F.concat(F.lit("I like to find out why figures disagree in "), n, F.lit(".")))
+    people = _clerks(spark, sf).select(F.col("c_custkey").alias("user_id"), resume.alias("resume"), interests.alias("interests"))
+    return select_person.choose(people, PatternCounter())
 
 
 def skill_five_number(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +282,7 @@ def ordered_equality(spark: SparkSession, sf: str) -> DataFrame:
 def numbers_parsed(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.numbers import parse_number
 
-    e = table(spark, sf, "events").where(F.col("event_id") % 3 == 0)
+    e = table(spark, sf, "events")
     written = F.element_at(F.array(F.col("event_id").cast("string"), F.lit("nan"), F.lit("inf"), F.lit("1d"), F.lit(" 1.5 "), F.lit("1e400"), F.lit("")), (F.col("event_id") % 7 + 1).cast("int"))
     return e.select("event_id", parse_number(written).alias("value")).select("event_id", F.coalesce("value", F.lit(0.0)).alias("support"), is_finite(F.coalesce("value", F.lit(float("nan")))).alias("kept"))
 
@@ -274,7 +290,7 @@ def numbers_parsed(spark: SparkSession, sf: str) -> DataFrame:
 def encode_hashing(spark: SparkSession, sf: str) -> DataFrame:
     encoded = embed.encode(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("profile_text")), embed.HashingEncoder(64))
     e = F.col("embedding")
-    return encoded.select("doc_id", F.size(e).alias("width"), vectors.is_unit(e, 2e-5).alias("unit"), F.round(e[0], 4).alias("first"))
+    return encoded.select("doc_id", F.size(e).alias("width"), vectors.is_unit(e, 2e-5).alias("unit"), F.round(e[0].cast("double"), 4).alias("first"))
 
 
 def queries() -> dict[str, Query]:
@@ -283,7 +299,7 @@ def queries() -> dict[str, Query]:
         for f in (
             topk_cosine, topk_cosine_arrow, topk_cosine_blocks, rank_summary, match_verification, match_report, vector_quality, clean_text, scrub_text, collapse_repeats,
             first_nonempty_by_key, dedup_argmax, dedup_first_position, rank_skills_topn, left_join_coverage, profile_render, content_hash_id, word_sets, set_measures,
-            stable_distinct_units, sentence_units, section_extract, task_priority_first, unit_scores, token_stats, budget_select_catalog, budget_select_profile,
+            stable_distinct_units, sentence_units, section_extract, task_priority_first, unit_scores, token_stats, budget_select_catalog, budget_select_talks, budget_select_profile,
             skill_five_number, duplicate_keys, ordered_equality, numbers_parsed, encode_hashing,
         )
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,22 @@ def make_visible(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session names none (tests, a laptop) a folder under the warehouse is used.
+    Only a local session, as in tests or on a laptop, may name none: a folder under its warehouse is used
+    then. On a cluster that could be a folder of one machine, so it is an error.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        set_dir = f"{warehouse.rstrip('/')}/.shared"
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_dir = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
     return set_dir.rstrip("/")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint; executors may be lost afterwards."""
     spark = df.sparkSession

@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean, collapse
-from ..operators.quality import QualityError, require, require_columns, unique_key, violations, no_blank, nonempty
+from ..operators.quality import QualityError, no_blank, nonempty, require, require_columns, unique_key, violations
+from ..session import checkpointed
 
-CSV = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV = {"header": True, "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def with_pos(rows: DataFrame) -> DataFrame:
     """pos from 1, in scan order.
 
     The order within and between scan tasks gives a sparse number; the number of rows in earlier tasks
-    makes it dense, so no task sees more than its own rows.
+    makes it dense, so no task sees more than its own rows. The sparse numbers are checkpointed, so that
+    both steps see the same ones.
     """
-    spread = rows.withColumn("__at", F.monotonically_increasing_id())
+    spread = checkpointed(rows.withColumn("__at", F.monotonically_increasing_id()))
     task = F.shiftrightunsigned("__at", 33)
     sizes = spread.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
@@ -32,12 +34,13 @@ def with_pos(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("pos", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__task", "__at", "__before")
 
 
-def read_csv(spark: SparkSession, path: str, required: list[str], tidy: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, required: list[str], tidy: bool = True, multi_line: bool = True) -> DataFrame:
     """A CSV table with pos: required columns are checked, nameless ones dropped, values cleaned (tidy) or verbatim.
 
-    A byte order mark is skipped. Extra columns stay.
+    A byte order mark is skipped. Extra columns stay. multi_line: quoted values may hold line ends, which makes a
+    file one task; without, Spark splits large files.
     """
-    rows = spark.read.options(**CSV).csv(path)
+    rows = spark.read.options(**CSV, multiLine=multi_line).csv(path)
     require_columns(rows, required, path)
     names = [c for c in rows.columns if c and not c.startswith("_c")]
     as_read = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names]
@@ -112,10 +115,13 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_array(vectors: DataFrame, path: str, pos: str = "pos") -> None:
-    """A dense array file in the order of pos, for exchange with other tools; bounded by one machine, tables use Parquet."""
+    """A dense array file in the order of pos, for exchange with other tools; the driver holds a partition at a time. Tables use Parquet."""
     import numpy as np
 
-    rows = vectors.orderBy(pos).select("embedding").toArrow()
-    matrix = rows.column(0).combine_chunks()
-    flat = matrix.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    np.save(path, flat.reshape(len(matrix), -1) if len(matrix) else flat.reshape(0, 0), allow_pickle=False)
+    n, width, least = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.coalesce(F.min(F.size("embedding")), F.lit(0))).first()
+    if width != least:
+        raise QualityError(f"vectors have {least} to {width} dimensions")
+    with open(path, "wb") as file:
+        np.lib.format.write_array_header_1_0(file, {"descr": "<f4", "fortran_order": False, "shape": (n, width)})
+        for row in vectors.orderBy(pos).select("embedding").toLocalIterator():
+            file.write(np.asarray(row.embedding, dtype="<f4").tobytes())

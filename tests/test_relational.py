@@ -264,3 +264,75 @@ def test_stream(spark, tmp_path):
     query = live.match_stream(stream, careers, encoder, str(tmp_path / "out"), str(tmp_path / "check"), 1).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("user_id", "code"), "user_id") == [("u1", "A"), ("u2", "B")]
+
+
+def test_case_folding(spark):
+    """Two letters fold to one form in Spark if and only if they do in Python, as far as both know them."""
+    import unicodedata
+
+    letters = [chr(c) for c in range(0xFFFF) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt")]
+    df = spark.createDataFrame([(c,) for c in letters], "c string")
+    got = {r.c: r.f for r in df.select("c", text.casefold(F.col("c")).alias("f")).collect()}
+    newer = {c for c in letters if got[c] != c.casefold()}
+    assert len(newer) < 20 and all(ord(c) > 0x1C80 for c in newer)  # letters that are younger than the JVM's tables
+    words = ["Straße", "STRASSE", "ΛΟΓΟΣ", "λογος", "ﬁn", "FIN", "İ", "ı", "I", "i", "ſ", "S"]
+    folded = {w: f for w, f in df.sparkSession.createDataFrame([(w,) for w in words], "w string").select("w", text.casefold(F.col("w"))).collect()}
+    for a in words:
+        for b in words:
+            assert (folded[a] == folded[b]) == (a.casefold() == b.casefold()), (a, b)
+
+
+def test_names_that_differ_in_case_alone_are_one(spark):
+    data = [("k", "Straße", "IM", "3", 1), ("k", "STRASSE", "IM", "4", 2)]
+    assert rows(catalog.best_skill(spark.createDataFrame(data, "code string, name string, scale string, value string, pos long"), "code")) == [("k", "STRASSE", 4.0)]
+
+
+def test_repeats_agree_with_python_on_odd_words(spark):
+    rng = np.random.default_rng(4)
+    some = ["a", "b", "B", "ab", "-a", "x-a", "(b", ".", "é", "É", "c", "ß", "_"]
+    texts = [" ".join(rng.choice(some, rng.integers(0, 30))) for _ in range(1500)]
+
+    def plain(t):
+        for _ in range(3):
+            t = segment._REPEAT.sub(r"\1", t)
+        return t
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.collapse_repeats(F.col("t"))).collect()] == [plain(t) for t in texts] == [segment.collapse_repeats(t) for t in texts]
+    assert sum(plain(t) != t for t in texts) > 100
+
+
+def test_distinct_units_agree_with_python(spark):
+    rng = np.random.default_rng(5)
+    units = [[str(x) for x in rng.choice(["A b", "a  B.", "", "...", "c", "C!", "é", "É", "d_1", "d 1", "Straße", "STRASSE"], rng.integers(0, 12))] for _ in range(300)]
+    df = spark.createDataFrame([(u,) for u in units], "u array<string>")
+    got = [r[0] for r in df.select(text.stable_distinct(F.transform("u", text.collapse))).collect()]
+    key = lambda u: " ".join(__import__("re").sub(r"\W+", " ", u.casefold()).split())
+    want = []
+    for us in units:
+        first = {}
+        for u in us:
+            if key(u):
+                first.setdefault(key(u), " ".join(u.split()))
+        want.append(list(first.values()))
+    assert got == want
+
+
+def test_previous_row_of_a_hot_group(spark):
+    data = [("hot" if k % 10 else ["a", "b", None][k % 3], k * 3) for k in range(2000)]
+    df = spark.createDataFrame(data, "g string, k long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.k): r.previous for r in catalog.previous(df, "g", "k").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = {}, {}
+    for g, k in sorted(data, key=lambda x: x[1]):
+        want[g, k], last[g] = last.get(g), k
+    assert got == want
+
+
+def test_white_space_runs(spark):
+    texts = ["a b", " a", "a  b ", "a\n b", "a \n\tb", "\u2003x\xa0 y", "\x1c", "", "a\x85b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.collapse(F.col("t"))).collect()] == [" ".join(t.split()) for t in texts]
