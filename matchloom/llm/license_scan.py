@@ -149,14 +149,14 @@ def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     rows = (
         id_and_text(docs)
         .select("doc_id", F.when(anchored, F.transform(both, lambda x: x["id"])).otherwise(nothing).alias("ids"))
-        .withColumn("sequence", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")))
-    )
-    fits = F.array_distinct(
-        F.filter(
-            F.array(*[F.when(F.col("sequence").rlike(".*".join(f" {i} " for i in ids)), F.lit(name)) for name, ids, _ in rules]),
-            lambda x: x.isNotNull(),
-        )
     )
+
+    def in_order(ids: list[str]) -> Column:
+        """Whether a rule's identifiers occur in their order: one pass that counts how many of them were met."""
+        wanted = F.array(*map(F.lit, ids))
+        return F.aggregate("ids", F.lit(0), lambda met, x: met + F.when(x == F.get(wanted, met), 1).otherwise(0)) == len(ids)
+
+    fits = F.array_distinct(F.filter(F.array(*[F.when(in_order(ids), F.lit(name)) for name, ids, _ in rules]), lambda x: x.isNotNull()))
     hidden = F.flatten(
         F.array(*[F.when(F.array_contains(F.col("fits"), F.lit(name)), F.array(*map(F.lit, hides))).otherwise(nothing) for name, _, hides in rules if hides])
     )

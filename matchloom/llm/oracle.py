@@ -98,6 +98,8 @@ def secret_sql() -> str:
     kinds = "[" + ", ".join(map(_q, secret_scan.KINDS)) + "]"
     write = f"array_to_string(list_transform(list_sort(list_transform({{}}, lambda x: {{{{'s': x.s, 'r': x.r, 'e': x.e}}}})), lambda x: {kinds}[x.r + 1] || ':' || x.s || ':' || x.e), ',')"
     allowed = _q("|".join(f"(?:{p})" for p in secret_scan.ALLOWED))
+    fits = lambda p: f"regexp_matches(c.v, {_q(p)})"
+    shapes = " OR ".join("(" + " AND ".join([*map(fits, yes), *(f"NOT {fits(p)}" for p in no)]) + ")" for yes, no in secret_scan.SHAPES)
     w, limits = secret_scan.WINDOW, secret_scan.LIMITS
     classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
     limit = "CASE " + " ".join(f"WHEN regexp_matches(c.v, {_q(p)}) THEN {limits[k]}" for k, p in classes.items()) + f" ELSE {limits['base64']} END"
@@ -112,7 +114,7 @@ m AS (
 b AS (SELECT *, list_concat(list_concat(assign, access), hex) AS base FROM m),
 a AS (
   SELECT *, list_filter(runs, lambda c: NOT regexp_matches(c.v, {allowed}) AND NOT regexp_matches(c.b, {_q(secret_scan.ALLOWED_BEFORE)})
-      AND len(list_filter(base, lambda x: x.s < c.e AND c.s < x.e)) = 0 AND {entropy} >= {limit} - {secret_scan.SLACK}) AS added
+      AND NOT ({shapes}) AND len(list_filter(base, lambda x: x.s < c.e AND c.s < x.e)) = 0 AND {entropy} >= {limit} - {secret_scan.SLACK}) AS added
   FROM b)
 SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
        sha256({write.format("base")}) AS base_sha256, {write.format("list_concat(base, added)")} AS spans, CAST(len(added) AS BIGINT) AS n_entropy

@@ -11,12 +11,13 @@ where its own length is a power of two. With position p and least cost c of a cu
 and since the lower end of the range only moves up, a monotone queue has each minimum in
 constant time. Power-of-two lengths are tried beside it at document ends.
 
-The stream is solved in stretches of about STRETCH ids, so a task holds one stretch; the last
-sequence of a stretch, still open, starts the next one. There is no shuffle: each task packs
+The stream is solved in stretches of about STRETCH ids, so a task holds one stretch; a document of more ids
+is solved in one piece with what is before it. The last sequence of a stretch, still open, starts the next one. There is no shuffle: each task packs
 what it reads, and sequence ids hold the task's number in their upper bits. A task that
 is run again packs the same rows in the same way.
 
-Defined results: null and empty texts are one piece with the end id alone; repeated rows and
+Defined results: null and empty texts are one piece with the end id alone; very long texts are packed whole, cut like
+others; of equally cheap cuts the one from the earliest position counts; repeated rows and
 null doc_ids are packed like others; an empty table gives none; other columns are not looked at.
 """
 

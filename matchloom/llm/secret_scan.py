@@ -16,7 +16,7 @@ the window is kept in a string, a character a count, and moves by one up for the
 down for the leaving character; with them moves sum(n * log2 n), from which the entropy follows. The
 largest entropy of any window counts. Candidates need two of digits, upper- and lower-case letters, so
 that words of one case aren't scored, and are suppressed when an allow-list pattern fits them or
-the characters before them (check sums, uuids, paths, sample keys), or when a base span
+the characters before them (check sums, uuids, paths, names, sample keys), or when a base span
 already covers a part of them.
 
 Positions are code points, end exclusive; they are found without Python: ``split`` gives the
@@ -32,6 +32,7 @@ order of KINDS; an empty table gives none; other columns are not looked at.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,13 @@ ALLOWED = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|xxxxx",
     r"(?i)abcdefghij|0123456789",
-    r"^/?([a-z0-9_-]{1,19}/){2,}[a-z0-9_-]*$",
+]
+#: Shapes of strings that are no secrets, as (what fits, what doesn't). No pattern repeats a group: the JVM would go one call deeper a repetition.
+SHAPES = [
+    # Paths of short lower-case parts.
+    ([r"^[a-z0-9_/-]+$", r"[^/]/[^/]+/"], [r"//|[^/]{20}/"]),
+    # Names of words in camel, snake or kebab case, with a short number behind.
+    ([r"^[A-Za-z_-]+[0-9]{0,4}$"], [r"[A-Z][^a-z]|[A-Z]$|[_-][_-]|[_-][a-z][^a-z]|[_-][a-z]$"]),
 ]
 #: What may stand before a check sum.
 ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|crc32|checksum|integrity|digest|commit)[\s\"':=-]{1,3}$"
@@ -124,7 +131,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         .withColumn("runs", _spans(CANDIDATE, F.col("text").rlike(CANDIDATE), "entropy", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") | m.rlike("[a-z]") & m.rlike("[A-Z]"), before=True))
     )
     value = lambda c: c["value"]
-    allowed = lambda c: value(c).rlike("|".join(f"(?:{p})" for p in ALLOWED)) | c["before"].rlike(ALLOWED_BEFORE)
+    shaped = lambda v, yes, no: reduce(Column.__and__, [*(v.rlike(p) for p in yes), *(~v.rlike(p) for p in no)])
+    listed = lambda v: reduce(Column.__or__, [v.rlike("|".join(f"(?:{p})" for p in ALLOWED)), *(shaped(v, *s) for s in SHAPES)])
+    allowed = lambda c: listed(value(c)) | c["before"].rlike(ALLOWED_BEFORE)
     classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
     limit = lambda c: F.coalesce(*[F.when(value(c).rlike(p), F.lit(LIMITS[k])) for k, p in classes.items()], F.lit(LIMITS["base64"]))
     #: All spans by start, each with the next: a run is covered if a base span before it reaches into it, or the next span is one that begins in it.

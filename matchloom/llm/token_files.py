@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import checkpointed, filesystem, id_and_text, work_dir
+from .common import checked_folder, checkpointed, filesystem, id_and_text, work_dir
 
 MAGIC = b"MLP1"
 BLOCK = 1 << 16
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     vocabulary is a tokenizers file that every executor can read. The driver gets one row a shard.
     """
     spark = docs.sparkSession
-    folder = folder or work_dir(spark, "token-ids")
+    folder = checked_folder(spark, folder) if folder else work_dir(spark, "token-ids")
     end = tokens.ids_bytes([end_id])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,3 +111,11 @@ def test_partly_wrapped_and_mixed_texts_agree_with_sql(table, odd):
     got = sorted(map(tuple, scan_licenses(docs).collect()), key=repr)
     want = duckdb.sql(license_sql()).fetchall()
     assert got == sorted(want, key=repr) and sum(bool(r[3]) for r in got) > 100 and len(documents) == len(rows)
+
+
+def test_thousands_of_known_sentences(table):
+    """A rule's search is one pass, however many of its sentences a text has without the last one."""
+    grant, notice = (next(k for k, v in SENTENCES.items() if v == x) for x in ("mit-grant", "mit-notice"))
+    rows = [(1, f"{grant}.\n" * 2000 + f"{notice}.\n" * 2000), (2, f"{notice}.\n{grant}.\n" * 500 + MIT), (3, "license " * 100_000)]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in scan_licenses(table(rows)).collect()}
+    assert got[1] == (4000, "") and got[2][1] == "MIT" and got[3] == (0, "")

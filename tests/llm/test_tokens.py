@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from matchloom.llm import packing, token_files, tokens
+from matchloom.llm import common, packing, token_files, tokens
 
 WORD, BYTE = (tokens.vocabulary(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -88,6 +88,14 @@ def test_damaged_shard_is_refused(spark, table, tmp_path):
         token_files.read_token_files(spark, files).collect()
 
 
+def test_a_folder_of_one_machine_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(common, "is_local", lambda session: False)
+    for good in ("s3a://bucket/ids", "file:///mnt/ids", common.shared_dir(spark).removeprefix("file:").replace("//", "/") + "/ids"):
+        assert common.checked_folder(spark, good) == good
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checked_folder(spark, "/tmp/ids")
+
+
 def test_empty_files(spark, table):
     assert token_files.read_token_files(spark, token_files.write_token_files(table([]), WORD, 2)).collect() == []
 
