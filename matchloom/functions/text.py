@@ -28,7 +28,7 @@ SCRUBS = [
 SCRUB_SIGNS = [("\u200b", "\ufeff"), ("\u2022", "\u25cf", "\u25e6"), ("http", "www.", "@"), ("Company Name",), ("City",), ("__",)]
 #: What is stripped from both ends.
 OUTER = " ,;-－–—"
-#: A phrase of 2 to 16 words that follows itself. Words are possessive: giving letters back can't lead to a match.
+#: A phrase of 2 to 16 words that follows itself. Words are possessive: giving letters back can't lead to a match.
 REPEAT, LONGEST_REPEAT = r"\b(\S++(?:\s++\S++){1,15})\s++\1(?=\s|$)", 16
 #: Words that say nothing about a text's content.
 STOP = (
