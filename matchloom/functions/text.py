@@ -53,8 +53,19 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-#: Letters that fold to another form than their small letter, such as ß to ss.
-FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0xFFFF)) if len(c.casefold()) > 1 or c.casefold() != c.lower()}
+#: Rare letters that fold to another form than their small letter; ß and ς, the common ones, are replaced without a table.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0xFFFF)) if c not in "ßς" and (len(c.casefold()) > 1 or c.casefold() != c.lower())}
+
+
+def _ranges(letters, gap: int = 16) -> str:
+    """A character class of few ranges around the letters, which is tried faster than a class of them all."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, letters)):
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
 def casefold(text: Column) -> Column:
@@ -63,9 +74,9 @@ def casefold(text: Column) -> Column:
 
     def folded(t: Column) -> Column:
         letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
-        return F.when(t.rlike(f"[{''.join(FOLDED)}]"), F.array_join(letters, "")).otherwise(F.lower(t))
+        return F.when(t.rlike(_ranges(FOLDED)), F.array_join(letters, "")).otherwise(F.lower(t))
 
-    return F.translate(once(text, folded), "ς", "σ")  # which lower-casing makes of a final Σ
+    return F.translate(once(F.replace(text, F.lit("ß"), F.lit("ss")), folded), "ς", "σ")  # lower-casing makes ς of a final Σ
 
 
 def collapse(text: Column) -> Column:
