@@ -122,5 +122,33 @@ FROM a
 """
 
 
+def centroid_sql(k: int = 8, rounds: int = 10, width: int = 64, seed: str = "3") -> str:
+    """Full scans; doubles hold all integers in them exactly."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS p
+  FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), p) - 1 AS c, p AS q
+  FROM v QUALIFY c < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, min({{'d': list_dot_product(p, p) - 2 * list_dot_product(p, q) + list_dot_product(q, q), 'c': c}}) AS best FROM v, c{r} GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (
+  SELECT c, list(x ORDER BY i) AS q FROM (
+    SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT a.best.c AS c, unnest(v.p) AS x, unnest(range({width})) AS i FROM a{r} a JOIN v USING (rid)) GROUP BY c, i)
+  GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.q, c{r}.q) AS q FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.best.c AS INTEGER) AS cluster, CAST(a.best.d AS BIGINT) AS distance,
+       CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} ON c{rounds}.c = a.best.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": license_sql(), "op3_secrets": secret_sql(), "op7_urls": url_sql(), "op9_exact_dedup": EXACT_DEDUP}
+    return {"op11_centroids": centroid_sql(), "op2_licenses": license_sql(), "op3_secrets": secret_sql(), "op7_urls": url_sql(), "op9_exact_dedup": EXACT_DEDUP}
