@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import WHITESPACE, checked_folder, id_and_text, work_dir
+from .common import WHITESPACE, checked_folder, checkpointed, id_and_text, work_dir
 
 LIMIT = 2048
 BATCH_CHARS = 1 << 20
@@ -114,5 +114,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, li
     texts = id_and_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("text", normalised(F.col("text"), vocabulary))
     texts = texts.withColumn("content", F.unhex(F.sha2("text", 256)))
     cache.learn(texts.select("content", "text"))
-    counted = texts.select("doc_id", "n_bytes", "content").join(cache.stored(), "content")
+    # Written first, so that the join reads two plain shuffles, of which adaptive execution can split a hot one.
+    counted = texts.select("doc_id", "n_bytes", "content").join(checkpointed(cache.stored()), "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
