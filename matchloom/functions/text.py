@@ -76,7 +76,8 @@ def casefold(text: Column) -> Column:
         letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
         return F.when(t.rlike(_ranges(FOLDED)), F.array_join(letters, "")).otherwise(F.lower(t))
 
-    return F.translate(once(F.replace(text, F.lit("ß"), F.lit("ss")), folded), "ς", "σ")  # lower-casing makes ς of a final Σ
+    other = F.translate(once(F.replace(text, F.lit("ß"), F.lit("ss")), folded), "ς", "σ")  # lower-casing makes ς of a final Σ
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(other)  # ASCII, as most keys are
 
 
 def collapse(text: Column) -> Column:
@@ -171,11 +172,15 @@ def render_catalog(title: Column, description: Column, skills: Column, tasks: Co
     return labelled(("Occupation", title), ("Description", description), ("Skills", F.array_join(skills, "; ")), ("Tasks", F.array_join(tasks, " ")))
 
 
-def content_id(resume: Column, interests: Column, occurrence: Column) -> Column:
-    """user_, 16 hex digits of the SHA-256 of both texts with a NUL between, two-digit occurrence."""
-    digest = F.substring(F.sha2(F.concat(resume, F.char(F.lit(0)), interests), 256), 1, 16)
+def content_digest(resume: Column, interests: Column) -> Column:
+    """The SHA-256 of both texts with a NUL between."""
+    return F.sha2(F.concat(resume, F.char(F.lit(0)), interests), 256)
+
+
+def content_id(digest: Column, occurrence: Column) -> Column:
+    """user_, the first 16 hex digits of a content's digest, two-digit occurrence."""
     number = occurrence.cast("string")
-    return F.concat(F.lit("user_"), digest, F.lit("_"), F.when(occurrence < 10, F.concat(F.lit("0"), number)).otherwise(number))
+    return F.concat(F.lit("user_"), F.substring(digest, 1, 16), F.lit("_"), F.when(occurrence < 10, F.concat(F.lit("0"), number)).otherwise(number))
 
 
 def match_line(rank: Column, title: Column, code: Column, score: Column) -> Column:

@@ -61,10 +61,11 @@ def rank_skills(skills: DataFrame, key: str, top: int = 0) -> DataFrame:
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
-def skill_lists(skills: DataFrame, key: str) -> DataFrame:
-    """key, skills: all names in rank order."""
+def skill_lists(skills: DataFrame, key: str, top: int = 0) -> DataFrame:
+    """key, skills: names in rank order, the first `top`, or all if it is 0. With top, each task hands on no more than so many of a parent."""
+    shown = rank_skills(skills, key, top) if top else skills
     in_order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), casefold(F.col("name")).alias("l"), F.col("name").alias("name"))))
-    return skills.groupBy(key).agg(F.transform(in_order, lambda x: x["name"]).alias("skills"))
+    return shown.groupBy(key).agg(F.transform(in_order, lambda x: x["name"]).alias("skills"))
 
 
 def task_lists(tasks: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Numbers of rows inside groups of any size.
+"""Running sums and numbers of rows inside groups of any size.
 
-Rows are dealt by ranges of (group, order), so one group may fill many tasks. A range numbers its own rows;
+Rows are dealt by ranges of (group, order), so one group may fill many tasks. A range sums up its own rows;
 what earlier ranges hold of its first group is carried over by a prefix sum with one row a range.
 """
 
@@ -16,23 +16,32 @@ from ..session import checkpointed
 
 def _same(columns: list[str], other: str) -> Column:
     """Whether the columns equal the fields k0, k1, ... of another one, nulls being equal."""
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{other}.k{i}")) for i, c in enumerate(columns)])
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"{other}.k{i}")) for i, c in enumerate(columns)])
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:
-    """rows with `name`, a row's number in its group from 1, by order (nulls first). Rows alike in keys and order come in any order.
+def running(rows: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
+    """rows with `name`, the sum of amount over its group's rows up to it by order (nulls first).
 
-    Columns that start with two underscores are taken.
+    Rows alike in keys and order come in any order. Without keys, the whole table is one group. Columns that start with two
+    underscores are taken.
     """
-    dealt = checkpointed(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
-    pieces = dealt.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    if not keys:
+        rows, keys = rows.withColumn("__all", F.lit(0)), ["__all"]
+    dealt = checkpointed(rows.withColumn("__amount", amount.cast("long")).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)])
+    pieces = dealt.groupBy("__part", *keys).agg(F.sum("__amount").alias("__n"))
     edges = pieces.groupBy("__part").agg(F.min(key).alias("__first"), F.max(key).alias("__last"), F.max_by("__n", key).alias("__tail"))
     in_turn = Window.orderBy("__part")  # a row a range
     run = F.sum("__tail").over(Window.partitionBy("__last").orderBy("__part"))
     carried = edges.withColumn("__run", run).select(
         F.col("__part").alias("__of"), "__first", F.when(F.lag("__last").over(in_turn).eqNullSafe(F.col("__first")), F.lag("__run").over(in_turn)).otherwise(0).alias("__before")
     )
-    inside = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
-    joined = dealt.withColumn("__inside", inside).join(F.broadcast(carried), F.col("__part") == F.col("__of"))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__inside") + F.when(_same(keys, "__first"), F.col("__before")).otherwise(0)).alias(name))
+    upto = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = dealt.withColumn("__inside", F.sum("__amount").over(upto)).join(F.broadcast(carried), F.col("__part") == F.col("__of"))
+    return joined.select(*columns, (F.col("__inside") + F.when(_same(keys, "__first"), F.col("__before")).otherwise(0)).alias(name))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """rows with `name`, a row's number in its group from 1."""
+    return running(rows, keys, order, F.lit(1), name)

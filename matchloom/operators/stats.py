@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BUDGET, MODEL_LIMIT, MODEL_NAME, MODEL_REVISION, TARGET
+from ..session import checkpointed
+from .quantiles import exact_quantiles, quantiles_of_counts
+
+#: Bits of a mask that is never negative.
+MOST_SOURCES = 62
 
 
 def token_audit(rows: DataFrame, tokens: Column, limit: int = MODEL_LIMIT) -> DataFrame:
     """One row: number, mean, median, least and most tokens, those over the limit and in the target range."""
-    return rows.select(tokens.alias("n")).agg(
-        F.count(F.lit(1)).alias("profiles"),
-        F.avg("n").alias("average_tokens"),
-        F.median("n").alias("median_tokens"),
-        F.min("n").cast("int").alias("minimum_tokens"),
-        F.max("n").cast("int").alias("maximum_tokens"),
-        (100 * F.count_if(F.col("n") > limit) / F.count(F.lit(1))).alias("percentage_over_limit"),
-        F.count_if(F.col("n").between(TARGET, BUDGET)).alias("profiles_in_245_to_250_range"),
+    cells = rows.groupBy(tokens.cast("double").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("gap", F.lit(False))
+    counts = checkpointed(cells)  # a row a number of tokens; the texts are read once
+    median = quantiles_of_counts(counts.where("at is not null").withColumn("one", F.lit(1)), ["one"], [0.5]).select(F.col("q")[0].alias("median"))
+    total, share = F.sum("n"), lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    facts = counts.agg(
+        F.coalesce(total, F.lit(0)).alias("profiles"), (F.sum(F.col("at") * F.col("n")) / F.sum(F.when(F.col("at").isNotNull(), F.col("n")))).alias("average_tokens"),
+        F.min("at").cast("int").alias("minimum_tokens"), F.max("at").cast("int").alias("maximum_tokens"),
+        (100 * share(F.col("at") > limit) / total).alias("percentage_over_limit"), share(F.col("at").between(TARGET, BUDGET)).alias("profiles_in_245_to_250_range"),
+    )
+    return facts.join(median, F.lit(True), "left").select(
+        "profiles", "average_tokens", F.col("median").alias("median_tokens"), "minimum_tokens", "maximum_tokens", "percentage_over_limit", "profiles_in_245_to_250_range"
     )
 
 
@@ -31,8 +41,7 @@ def run_stats(rows: DataFrame, tokens: Column, model: str = MODEL_NAME, revision
 
 def five_numbers(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges and outliers a group; highest median first."""
-    quartiles = rows.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    quartiles = quartiles.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    quartiles = exact_quantiles(rows, [group], value, [0.25, 0.5, 0.75]).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
@@ -48,12 +57,19 @@ def five_numbers(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def coverage(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
-    """source, covered, lacking, share: parents with and without a row in each child table."""
-    marked = parents.select(key)
-    for name, rows in children.items():
-        marked = marked.join(rows.select(key).distinct().withColumn(name, F.lit(True)), key, "left")
-    counts = [F.struct(F.lit(n).alias("source"), F.count_if(F.col(n)).alias("covered"), F.count_if(F.col(n).isNull()).alias("lacking")) for n in children]
-    return marked.agg(F.array(*counts).alias("all")).select(F.inline("all")).withColumn("share", F.col("covered") / (F.col("covered") + F.col("lacking")))
+    """source, covered, lacking, share: parents with and without a row in each child table.
+
+    A source is a bit of a mask a key, so all of them meet in one shuffle, combined before it. Null keys are covered by none.
+    """
+    if len(children) > MOST_SOURCES:
+        raise ValueError(f"at most {MOST_SOURCES} sources")
+    marks = [rows.select(key, F.lit(0).alias("n"), F.lit(1 << i).cast("long").alias("mask")).where(F.col(key).isNotNull()) for i, rows in enumerate(children.values())]
+    marked = reduce(DataFrame.unionByName, marks, parents.select(key, F.lit(1).alias("n"), F.lit(0).cast("long").alias("mask")))
+    parent = marked.groupBy(key).agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask")).where("n > 0")
+    has = lambda i: F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("n"))), F.lit(0))
+    counts = [F.struct(F.lit(n).alias("source"), has(i).alias("covered"), (F.coalesce(F.sum("n"), F.lit(0)) - has(i)).alias("lacking")) for i, n in enumerate(children)]
+    found = parent.agg(F.array(*counts).alias("all")).select(F.inline("all"))
+    return found.withColumn("share", F.try_divide("covered", F.col("covered") + F.col("lacking")))
 
 
 def rank_summary(matches: DataFrame) -> DataFrame:

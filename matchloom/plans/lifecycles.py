@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, match_line, render_catalog
+from ..functions.text import content_digest, content_id, match_line, render_catalog
 from ..functions.tokens import PatternCounter, TokenCounter, counted
 from ..operators import catalog, embed, match, quality, select_catalog, select_person, stats
+from ..operators.ranges import numbered
 from ..schemas import BUDGET, CODE, DESCRIPTION, MODEL_LIMIT, TITLE
 from ..session import checkpointed
 from ..sources import files
@@ -61,13 +62,9 @@ def prepare_catalog(spark: SparkSession, occupations: str, skills: str, tasks: s
 
 def identified(people: DataFrame) -> DataFrame:
     """user_id and source_row of people (resume, interests, pos): a content hash and the content's occurrence number."""
-    same = Window.partitionBy("__digest").orderBy("pos")
-    return (
-        people.withColumn("__digest", F.sha2(F.concat("resume", F.char(F.lit(0)), "interests"), 256))
-        .withColumn("user_id", content_id(F.col("resume"), F.col("interests"), F.row_number().over(same)))
-        .withColumn("source_row", F.col("pos").cast("int"))
-        .drop("__digest")
-    )
+    digests = people.select(F.col("pos").alias("__pos"), content_digest(F.col("resume"), F.col("interests")).alias("__digest"))
+    ids = numbered(digests, ["__digest"], ["__pos"]).select("__pos", content_id(F.col("__digest"), F.col("nth")).alias("user_id"))
+    return people.join(ids, F.col("pos") == F.col("__pos")).drop("__pos").withColumn("source_row", F.col("pos").cast("int"))
 
 
 def person_profiles(people: DataFrame, counter: TokenCounter | None = None, budget: int = BUDGET) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sets, text, vectors
 from ..functions.numbers import is_finite
 from ..functions.tokens import PatternCounter
 from ..operators import catalog, embed, match, quality, segment, select_catalog, select_person, stats
+from ..operators.ranges import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the queries: every so many-th vector is a subject, how many candidates each gets, interests that units are scored against.
@@ -156,9 +157,9 @@ def profile_render(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def content_hash_id(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("resume"), F.coalesce("lang", F.lit("")).alias("interests"))
-    same = Window.partitionBy(F.sha2(F.concat("resume", F.char(F.lit(0)), "interests"), 256)).orderBy("doc_id")
-    return docs.select("doc_id", text.content_id(F.col("resume"), F.col("interests"), F.row_number().over(same)).alias("user_id"))
+    digest = text.content_digest(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
+    docs = table(spark, sf, "documents").select("doc_id", digest.alias("digest"))
+    return numbered(docs, ["digest"], ["doc_id"]).select("doc_id", text.content_id(F.col("digest"), F.col("nth")).alias("user_id"))
 
 
 def word_sets(spark: SparkSession, sf: str) -> DataFrame:
