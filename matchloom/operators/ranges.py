@@ -22,24 +22,23 @@ def _same(columns: list[str], other: str) -> Column:
 def running(rows: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
     """rows with `name`, the sum of amount over its group's rows up to it by order (nulls first).
 
-    Rows alike in keys and order come in any order. Without keys, the whole table is one group. Columns that start with two
-    underscores are taken.
+    Rows alike in keys and order come in any order. Without keys, the whole table is one group. Columns that start with __range_ are taken.
     """
     columns = [F.col(f"`{c}`") for c in rows.columns]
     if not keys:
-        rows, keys = rows.withColumn("__all", F.lit(0)), ["__all"]
-    dealt = checkpointed(rows.withColumn("__amount", amount.cast("long")).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+        rows, keys = rows.withColumn("__range_all", F.lit(0)), ["__range_all"]
+    dealt = checkpointed(rows.withColumn("__range_amount", amount.cast("long")).repartitionByRange(*keys, *order).withColumn("__range_part", F.spark_partition_id()))
     key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)])
-    pieces = dealt.groupBy("__part", *keys).agg(F.sum("__amount").alias("__n"))
-    edges = pieces.groupBy("__part").agg(F.min(key).alias("__first"), F.max(key).alias("__last"), F.max_by("__n", key).alias("__tail"))
-    in_turn = Window.orderBy("__part")  # a row a range
-    run = F.sum("__tail").over(Window.partitionBy("__last").orderBy("__part"))
-    carried = edges.withColumn("__run", run).select(
-        F.col("__part").alias("__of"), "__first", F.when(F.lag("__last").over(in_turn).eqNullSafe(F.col("__first")), F.lag("__run").over(in_turn)).otherwise(0).alias("__before")
+    pieces = dealt.groupBy("__range_part", *keys).agg(F.sum("__range_amount").alias("__range_n"))
+    edges = pieces.groupBy("__range_part").agg(F.min(key).alias("__range_first"), F.max(key).alias("__range_last"), F.max_by("__range_n", key).alias("__range_tail"))
+    in_turn = Window.orderBy("__range_part")  # a row a range
+    run = F.sum("__range_tail").over(Window.partitionBy("__range_last").orderBy("__range_part"))
+    carried = edges.withColumn("__range_run", run).select(
+        F.col("__range_part").alias("__range_of"), "__range_first", F.when(F.lag("__range_last").over(in_turn).eqNullSafe(F.col("__range_first")), F.lag("__range_run").over(in_turn)).otherwise(0).alias("__range_before")
     )
-    upto = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = dealt.withColumn("__inside", F.sum("__amount").over(upto)).join(F.broadcast(carried), F.col("__part") == F.col("__of"))
-    return joined.select(*columns, (F.col("__inside") + F.when(_same(keys, "__first"), F.col("__before")).otherwise(0)).alias(name))
+    upto = Window.partitionBy("__range_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = dealt.withColumn("__range_inside", F.sum("__range_amount").over(upto)).join(F.broadcast(carried), F.col("__range_part") == F.col("__range_of"))
+    return joined.select(*columns, (F.col("__range_inside") + F.when(_same(keys, "__range_first"), F.col("__range_before")).otherwise(0)).alias(name))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:

@@ -105,25 +105,30 @@ class Matched:
 
 def match_profiles(
     users: DataFrame, careers: DataFrame, k: int = 5, width: int | None = None, user_stats: DataFrame | None = None, career_stats: DataFrame | None = None,
-    user_order: DataFrame | None = None, career_order: DataFrame | None = None,
+    user_order: DataFrame | None = None, career_order: DataFrame | None = None, unchecked: tuple[str, ...] = (),
 ) -> Matched:
     """The k best careers of each user, verified. users: user_id, pos, embedding; careers: code, title, embedding.
 
     The runs' statistics must name one model; user_order (user_id, pos) and career_order (code, title, pos) are the
-    profiles that the vectors were made of, which the vectors must follow row by row.
+    profiles that the vectors were made of, which the vectors must follow row by row. What is not given must be named
+    in unchecked: "runs" for both statistics, "user_order", "career_order".
     """
+    given = {"runs": (user_stats, career_stats), "user_order": (user_order,), "career_order": (career_order,)}
+    lacking = [name for name, tables in given.items() if name not in unchecked and any(t is None for t in tables)]
+    if unknown := set(unchecked) - set(given):
+        raise quality.QualityError(f"no such check: {', '.join(sorted(unknown))}")
+    if lacking:
+        raise quality.QualityError(f"matching needs {', '.join(lacking)}, or to be told that they are unchecked")
     quality.require(quality.violations(quality.nonempty(users, "users"), quality.nonempty(careers, "careers")))
     size = width or users.select(F.size("embedding")).first()[0]
     rules = [
         quality.unique_key(users, "user_id", "user ID"), quality.unique_key(careers, "code", "code"), quality.vectors(users, "user_id", size), quality.vectors(careers, "code", size),
     ]
-    if user_stats is not None or career_stats is not None:
-        if user_stats is None or career_stats is None:
-            raise quality.QualityError("statistics of both runs are needed")
+    if "runs" not in unchecked:
         rules.append(quality.same_run(user_stats, career_stats))
-    if user_order is not None:
+    if "user_order" not in unchecked:
         rules.append(quality.same_order(users, user_order, ["user_id"]))
-    if career_order is not None:
+    if "career_order" not in unchecked:
         rules.append(quality.same_order(careers, career_order, ["code", "title"]))
     quality.require(quality.violations(*rules))
     best = checkpointed(match.topk(users, careers, k))

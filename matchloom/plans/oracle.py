@@ -275,5 +275,10 @@ def oracle_sql() -> dict[str, str]:
         "budget_select_profile": _budget_select_profile(),
         "budget_select_catalog": _budget_select_catalog(),
         "encode_hashing": _ENCODE,
+        "file_order": """SELECT row_number() OVER (ORDER BY conv_id, turn) AS pos, conv_id, turn, md5(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) AS text FROM conversations""",
+        "array_exchange": """SELECT row_number() OVER (ORDER BY vec_id DESC) AS pos, CAST(len(embedding) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first,
+            round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared FROM embeddings""",
+        "round_trip": """WITH d AS (SELECT doc_id, lang, md5(coalesce(text, '')) AS text FROM documents), c AS (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN upper(text) ELSE text END AS text FROM d)
+            SELECT 'lost' AS how, doc_id, text FROM (FROM d EXCEPT ALL FROM c) UNION ALL SELECT 'new', doc_id, text FROM (FROM c EXCEPT ALL FROM d)""",
     }
     return found

@@ -12,6 +12,8 @@ from ..functions.numbers import is_finite
 from ..functions.tokens import PatternCounter
 from ..operators import catalog, embed, match, quality, segment, select_catalog, select_person, stats
 from ..operators.ranges import numbered
+from ..sources import files
+from ..sources.stores import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the queries: every so many-th vector is a subject, how many candidates each gets, interests that units are scored against.
@@ -288,6 +290,34 @@ def numbers_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", parse_number(written).alias("value")).select("event_id", F.coalesce("value", F.lit(0.0)).alias("support"), is_finite(F.coalesce("value", F.lit(float("nan")))).alias("kept"))
 
 
+def file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns written as CSV in three steps of very different size, each of several files, and read back in the order of the files' names."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.agg(F.coalesce(F.max("conv_id"), F.lit(0))).first()[0]
+    folder, key = new_folder(spark, "turns"), F.col("conv_id")
+    for step, those in {"step-1": key < last // 20, "step-2": key.between(last // 20, last // 3 * 2), "step-10": key > last // 3 * 2}.items():
+        files.write_csv(turns.where(those).orderBy("conv_id", "turn"), f"{folder}/{step}")
+    back = files.read_csv(spark, f"{folder}/*", ["conv_id", "turn", "text"], tidy=False)
+    return back.select("pos", F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.md5(F.regexp_replace("text", r"\r\n?", "\n")).alias("text"))
+
+
+def array_exchange(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written to a dense array file by all tasks, in descending order of id, and read back by ranges of rows."""
+    vectors_of = table(spark, sf, "embeddings").select((-F.col("vec_id")).alias("pos"), "embedding")
+    folder = new_folder(spark, "arrays")
+    spark.range(0).write.parquet(folder)  # makes the folder, in any store
+    files.write_array(vectors_of, f"{folder}/vectors.npy")
+    back, e = files.read_array(spark, f"{folder}/vectors.npy", piece=1 << 20), F.col("embedding")
+    return back.select("pos", F.size(e).alias("width"), F.round(e[0].cast("double"), 6).alias("first"), F.round(vectors.dot(e, e), 4).alias("squared"))
+
+
+def round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """What documents lose and gain where those of one language are written in capitals."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    changed = docs.withColumn("text", F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text")))
+    return quality.round_trip(docs, changed).select(F.col("key").alias("how"), F.get_json_object("detail", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("detail", "$.text").alias("text"))
+
+
 def encode_hashing(spark: SparkSession, sf: str) -> DataFrame:
     encoded = embed.encode(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("profile_text")), embed.HashingEncoder(64))
     e = F.col("embedding")
@@ -301,6 +331,6 @@ def queries() -> dict[str, Query]:
             topk_cosine, topk_cosine_arrow, topk_cosine_blocks, rank_summary, match_verification, match_report, vector_quality, clean_text, scrub_text, collapse_repeats,
             first_nonempty_by_key, dedup_argmax, dedup_first_position, rank_skills_topn, left_join_coverage, profile_render, content_hash_id, word_sets, set_measures,
             stable_distinct_units, sentence_units, section_extract, task_priority_first, unit_scores, token_stats, budget_select_catalog, budget_select_talks, budget_select_profile,
-            skill_five_number, duplicate_keys, ordered_equality, numbers_parsed, encode_hashing,
+            skill_five_number, duplicate_keys, ordered_equality, numbers_parsed, encode_hashing, file_order, array_exchange, round_trip,
         )
     }

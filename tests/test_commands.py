@@ -63,11 +63,15 @@ def test_runs_must_agree(spark, data):
     careers = spark.createDataFrame([("A", "A", 1, [1.0, 0.0])], "code string, title string, pos long, embedding array<float>")
     run_of = lambda m: spark.createDataFrame([(m, "1")], "model string, revision string")
     assert lifecycles.match_profiles(users, careers, 1, user_stats=run_of("m"), career_stats=run_of("m"), user_order=users, career_order=careers).matches.count() == 1
-    for wrong in ({"user_stats": run_of("m"), "career_stats": run_of("n")}, {"user_stats": run_of("m")}, {"career_order": careers.withColumn("title", F.lit("B"))}):
-        with pytest.raises(quality.QualityError):
-            lifecycles.match_profiles(users, careers, 1, **wrong)
+    right = {"user_stats": run_of("m"), "career_stats": run_of("m"), "user_order": users, "career_order": careers}
+    for wrong, why in (
+        ({"career_stats": run_of("n")}, "model"), ({"career_stats": None}, "needs runs"), ({"career_order": careers.withColumn("title", F.lit("B"))}, "order"),
+        ({"user_order": None}, "needs user_order"), ({"user_order": users.withColumn("pos", F.lit(2))}, "order"),
+    ):
+        with pytest.raises(quality.QualityError, match=why):
+            lifecycles.match_profiles(users, careers, 1, **right | wrong)
     with pytest.raises(quality.QualityError, match="users found: none"):
-        lifecycles.match_profiles(users.limit(0), careers, 1)
+        lifecycles.match_profiles(users.limit(0), careers, 1, **right)
 
 
 def test_word_pieces(spark, tmp_path):

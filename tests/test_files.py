@@ -1,0 +1,158 @@
+"""Row order over files of any number and size, dense arrays by many tasks, round trips by digests."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from matchloom.operators import quality
+from matchloom.sources import arrays, files
+
+
+def csv(folder, name, first, count, wide=1):
+    folder.mkdir(exist_ok=True)
+    lines = [f"u{k:06d},{'x' * wide}" for k in range(first, first + count)]
+    (folder / name).write_text("id,text\n" + "".join(f"{x}\n" for x in lines))
+
+
+@pytest.fixture(params=[100 << 20, 700])
+def split(spark, request):
+    """Whole files, and files split into many blocks that are packed into tasks by size."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(request.param))
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def places(spark, path, **more):
+    return [(r.pos, r.id) for r in files.read_csv(spark, str(path), ["id"], **more).orderBy("pos").collect()]
+
+
+def test_parts_count_in_file_order(spark, tmp_path, split):
+    """Spark reads the largest part first; pos follows the names."""
+    csv(tmp_path / "in", "part-00000.csv", 1, 2)
+    csv(tmp_path / "in", "part-00001.csv", 3, 2000, wide=5)
+    csv(tmp_path / "in", "part-00002.csv", 2003, 300)
+    want = [(k, f"u{k:06d}") for k in range(1, 2303)]
+    assert places(spark, tmp_path / "in") == want
+    assert places(spark, tmp_path / "in", multi_line=True) == want == places(spark, tmp_path / "in", multi_line=False)
+
+
+def test_numbers_in_names_count_as_numbers(spark, tmp_path):
+    for k, (name, n) in enumerate([("p-2.csv", 1), ("p-9.csv", 3), ("p-10.csv", 40), ("p-00011.csv", 2), ("p-100000000000000000000000.csv", 5)]):
+        csv(tmp_path / "a b", name, 100 * k, n)
+    got = [i for _, i in places(spark, tmp_path / "a b")]
+    assert got == sorted(got) and len(got) == 51
+
+
+def test_quoted_line_ends_are_found_by_file(spark, tmp_path, split):
+    """Files with line ends in values are read whole, the others split, in one order."""
+    folder = tmp_path / "two words"
+    csv(folder, "1.csv", 1, 500)
+    (folder / "2.csv").write_text('id,text\nq1,"two\nlines, ""so"" said"\nq2,plain\n')
+    csv(folder, "3.csv", 501, 50)
+    got = files.read_csv(spark, str(folder), ["id"], tidy=False).orderBy("pos").collect()
+    assert [r.id for r in got] == [*(f"u{k:06d}" for k in range(1, 501)), "q1", "q2", *(f"u{k:06d}" for k in range(501, 551))]
+    assert got[500].text == 'two\nlines, "so" said' and [r.pos for r in got] == list(range(1, 553))
+    assert {f.rsplit("/", 1)[1]: odd for f, odd in files._files(spark, str(folder)).items()} == {"1.csv": False, "2.csv": True, "3.csv": False}
+
+
+def test_written_order_is_read(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(k, "line\nend " * rng.randrange(30) if rng.random() < 0.05 else 'q"' * (k % 3)) for k in range(1, 800)]
+    rng.shuffle(rows)
+    files.write_csv(spark.createDataFrame(rows, "id long, text string").repartition(5).orderBy("id"), str(tmp_path / "out"))
+    got = files.read_csv(spark, str(tmp_path / "out"), ["id"], tidy=False).collect()
+    assert sorted((r.pos, int(r.id), r.text) for r in got) == [(k, k, t) for k, t in sorted(rows)]
+
+
+def test_many_blocks_are_summed_up_by_ranges(spark, tmp_path, split, monkeypatch):
+    monkeypatch.setattr(files, "MOST_BLOCKS", 1)
+    for k, n in enumerate([3, 500, 70]):
+        csv(tmp_path / "in", f"part-{k}.csv", 1000 * k, n)
+    got = places(spark, tmp_path / "in")
+    assert [p for p, _ in got] == list(range(1, 574)) and [i for _, i in got] == sorted(i for _, i in got)
+
+
+def test_no_rows(spark, tmp_path):
+    csv(tmp_path / "in", "a.csv", 1, 0)
+    assert places(spark, tmp_path / "in") == []
+
+
+KINDS = [("<f4", "C"), (">f8", "C"), ("<f4", "F"), ("<i2", "F")]
+
+
+@pytest.mark.parametrize(("dtype", "order"), KINDS)
+def test_an_array_is_read_by_many_tasks(spark, tmp_path, dtype, order):
+    x = np.array(np.random.default_rng(1).normal(0, 50, (1000, 7)).astype(dtype), order=order)
+    np.save(tmp_path / "a.npy", x)
+    got = files.read_array(spark, str(tmp_path / "a.npy"), piece=1000)
+    assert got.rdd.getNumPartitions() >= 1000 * 7 * x.itemsize // 1000
+    assert [(r.pos, r.embedding) for r in got.orderBy("pos").collect()] == [(k + 1, v) for k, v in enumerate(x.astype("<f4").tolist())]
+
+
+def test_odd_arrays(spark, tmp_path):
+    np.save(tmp_path / "none.npy", np.zeros((0, 5), "<f4"))
+    assert files.read_array(spark, str(tmp_path / "none.npy")).collect() == []
+    np.save(tmp_path / "flat.npy", np.zeros(5))
+    np.save(tmp_path / "text.npy", np.array([["a"]]))
+    (tmp_path / "no.npy").write_bytes(b"x" * 100)
+    for name, why in (("flat", "two-dimensional"), ("text", "numbers"), ("no", "not a .npy")):
+        with pytest.raises(Exception, match=why):
+            files.read_array(spark, str(tmp_path / f"{name}.npy")).collect()
+
+
+@pytest.mark.parametrize("pieces", [False, True])
+def test_an_array_is_written_by_all_tasks(spark, tmp_path, pieces):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (500, 6)).astype("<f4")
+    order = rng.permutation(500)
+    for step, name in ((1, "dense"), (7, "gaps")):
+        rows = spark.createDataFrame([(int(k) * step + 1, x[k].tolist(), "other") for k in order], "pos long, embedding array<float>, at string").repartition(9)
+        files.write_array(rows, (tmp_path / f"{name}.npy").as_uri(), pieces=pieces)
+        assert np.array_equal(np.load(tmp_path / f"{name}.npy"), x)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["dense.npy", "gaps.npy"]
+
+
+@pytest.mark.parametrize("pieces", [False, True])
+def test_a_failed_task_leaves_no_file(spark, tmp_path, pieces):
+    rows = spark.range(1, 400).select(F.col("id").alias("pos"), F.when(F.col("id") == 333, F.array(F.lit(float("nan")))).otherwise(F.array(F.lit(1.0))).alias("embedding"))
+
+    class Breaking(arrays.ArrayWriter):
+        def write(self, batches):
+            def checked():
+                for batch in batches:
+                    yield batch
+                    if np.isnan(batch.column(1).flatten().to_numpy(zero_copy_only=False)).any():
+                        raise OSError("lost the disk")
+
+            return super().write(checked())
+
+    class BreakingSource(arrays.ArraySource):
+        def writer(self, schema, overwrite):
+            w = super().writer(schema, overwrite)
+            return Breaking(w.path, w.rows, w.width, w.job, w.pieces)
+
+    (tmp_path / "a.npy").write_bytes(b"before")
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(Exception, match="lost the disk"):
+        patch.setattr(files.arrays, "ArraySource", BreakingSource)
+        files.write_array(rows, str(tmp_path / "a.npy"), pieces=pieces)
+    assert [p.name for p in tmp_path.iterdir()] == ["a.npy"] and (tmp_path / "a.npy").read_bytes() == b"before"
+    repeated = rows.withColumn("pos", F.lit(1))
+    with pytest.raises(quality.QualityError, match="repeat a position"):
+        files.write_array(repeated, str(tmp_path / "b.npy"))
+
+
+def test_round_trips_by_digests(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("b"), F.lit("x").alias("the text"))
+    assert quality.round_trip(rows, rows.repartition(3).select("the text", "id", "b")).collect() == []
+    one = rows.withColumn("b", F.when(F.col("id") == 77, -1).otherwise(F.col("b")))
+    got = quality.round_trip(rows, one)
+    assert sorted((r.key, r.detail) for r in got.collect()) == [("lost", '{"id":77,"b":0,"the text":"x"}'), ("new", '{"id":77,"b":-1,"the text":"x"}')]
+    twice = rows.unionByName(rows.where("id = 5"))
+    assert [(r.key, r.detail[:8]) for r in quality.round_trip(twice, rows).collect()] == [("lost", '{"id":5,')]
+    assert quality.round_trip(rows.limit(0), rows.limit(0)).collect() == []
+    with pytest.raises(quality.QualityError, match="one side only"):
+        quality.round_trip(rows, rows.drop("b"))

@@ -110,19 +110,24 @@ def test_k_is_checked():
 
 
 def test_match_lifecycle(sides, spark):
-    done = lifecycles.match_profiles(*sides, k=2)
+    with pytest.raises(quality.QualityError, match="needs runs, user_order, career_order"):
+        lifecycles.match_profiles(*sides, k=2)
+    with pytest.raises(quality.QualityError, match="no such check: order"):
+        lifecycles.match_profiles(*sides, k=2, unchecked=("order",))
+    free = {"unchecked": ("runs", "user_order", "career_order")}
+    done = lifecycles.match_profiles(*sides, k=2, **free)
     assert [(r.user_id, r.rank, r.career_code) for r in done.matches.collect()] == [("z", 1, "A"), ("z", 2, "B"), ("a", 1, "C"), ("a", 2, "A")]
     assert done.report.orderBy("pos", "rank").first().line == "  1. A (A) - cosine similarity 1.0000"
     zero = spark.createDataFrame([("z", 1, [0.0, 0.0])], sides[0].schema)
     with pytest.raises(quality.QualityError, match="unit normalized"):
-        lifecycles.match_profiles(zero, sides[1], 2)
+        lifecycles.match_profiles(zero, sides[1], 2, **free)
     narrow = spark.createDataFrame([("z", 1, [1.0])], sides[0].schema)
     with pytest.raises(quality.QualityError, match="aligned rows"):
-        lifecycles.match_profiles(narrow, sides[1], 2, width=2)
+        lifecycles.match_profiles(narrow, sides[1], 2, width=2, **free)
     one = spark.createDataFrame([("m", "r1")], "model string, revision string")
     two = spark.createDataFrame([("m", "")], "model string, revision string")
     with pytest.raises(quality.QualityError, match="revision"):
-        lifecycles.match_profiles(*sides, 2, user_stats=one, career_stats=two)
+        lifecycles.match_profiles(*sides, 2, user_stats=one, career_stats=two, unchecked=("user_order", "career_order"))
 
 
 def test_rules(spark):
