@@ -28,8 +28,6 @@ SCRUBS = [
 SCRUB_SIGNS = [("\u200b", "\ufeff"), ("\u2022", "\u25cf", "\u25e6"), ("http", "www.", "@"), ("Company Name",), ("City",), ("__",)]
 #: What is stripped from both ends.
 OUTER = " ,;-－–—"
-#: A phrase of 2 to 16 words that follows itself. Words are possessive: giving letters back can't lead to a match.
-REPEAT, LONGEST_REPEAT = r"\b(\S++(?:\s++\S++){1,15})\s++\1(?=\s|$)", 16
 #: Words that say nothing about a text's content.
 STOP = (
     "a an the and or of to in for with on as at by from my i me our their that this is are was were have has had it its be being been "
@@ -70,7 +68,7 @@ def _ranges(letters, gap: int = 16) -> str:
 
 def casefold(text: Column) -> Column:
     """Text in a form that is equal for texts that differ in case alone; ß is ss, a dotless i stays."""
-    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    table = F.map_from_arrays(F.split(F.lit(",".join(FOLDED)), ","), F.split(F.lit(",".join(FOLDED.values())), ","))  # folded to one literal
 
     def folded(t: Column) -> Column:
         letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
@@ -103,36 +101,6 @@ def _replaced(signs: tuple[str, ...], pattern: str, instead: str):
     return lambda t: F.when(reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in signs]), F.regexp_replace(t, pattern, instead)).otherwise(t)
 
 
-def may_repeat(text: Column) -> Column:
-    """Whether a word follows another's like at a distance at which REPEAT could match; false only if it can't.
-
-    In a match with phrases of k words, the second word stands again k words on, and before that a word
-    that the first one ends in. Case is taken as the pattern's flags take it, or more widely.
-    """
-    same_case = F.lower(F.translate(F.upper(text), "İ", "I"))
-
-    def at(words: Column, k: int) -> Column:
-        places = F.when(F.size(words) > k + 1, F.sequence(F.lit(0), F.size(words) - k - 2)).otherwise(F.array().cast("array<int>"))
-        return F.exists(places, lambda i: (F.get(words, i + 1) == F.get(words, i + k + 1)) & F.endswith(F.get(words, i), F.get(words, i + k)))
-
-    return once(F.split(same_case, r"(?U)\s+"), lambda w: reduce(Column.__or__, [at(w, k) for k in range(2, LONGEST_REPEAT + 1)]))
-
-
-def collapse_repeats(text: Column, passes: int = 3) -> Column:
-    """A phrase of 2 to 16 words that follows itself stands once; later passes see only what an earlier one has changed."""
-
-    def after(t: Column, left: int) -> Column:
-        if not left:
-            return t
-        return once(F.regexp_replace(t, "(?iuU)" + REPEAT, "$1"), lambda u: F.when(u == t, t).otherwise(after(u, left - 1)))
-
-    return once(text, lambda t: F.when(may_repeat(t), after(t, passes)).otherwise(t))
-
-
-def normalize(text: Column) -> Column:
-    return collapse_repeats(scrub(text))
-
-
 def letter_words(text: Column) -> Column:
     """Distinct words of three and more letters a-z."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1)))
@@ -150,11 +118,16 @@ def dedup_key(text: Column) -> Column:
 
 
 def stable_distinct(units: Column) -> Column:
-    """The first unit of each key, in order; units without a key go. Sorted twice in the row, so nothing is shuffled."""
-    keyed = F.transform(units, lambda u, i: F.struct(dedup_key(u).alias("key"), i.alias("pos"), u.alias("unit")))
-    in_order = F.array_sort(F.filter(keyed, lambda x: x["key"] != ""))
-    first = once(in_order, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["key"] != x["key"])))
-    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["pos"], x["unit"]))), lambda x: x["unit"])
+    """The first unit of each key, in order; units without a key go. Only where keys repeat are they sorted, in the row, so nothing is shuffled."""
+
+    def first_ones(keyed: Column) -> Column:
+        by_key = once(F.array_sort(F.transform(keyed, lambda x, i: F.struct(x["key"], i.alias("pos"), x["unit"]))), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["key"] != x["key"])))
+        in_order = F.array_sort(F.transform(by_key, lambda x: F.struct(x["pos"], x["unit"])))
+        unlike = F.size(F.array_distinct(F.transform(keyed, lambda x: x["key"]))) == F.size(keyed)
+        return F.when(unlike, F.transform(keyed, lambda x: x["unit"])).otherwise(F.transform(in_order, lambda x: x["unit"]))
+
+    keyed = F.transform(units, lambda u: F.struct(dedup_key(u).alias("key"), u.alias("unit")))
+    return once(F.filter(keyed, lambda x: x["key"] != ""), first_ones)
 
 
 def word_count(text: Column) -> Column:

@@ -22,6 +22,8 @@ class TokenCounter(Protocol):
 
 
 class PatternCounter:
+    #: Counts of texts add up where they are joined by blanks or punctuation.
+    adds_up = True
     PATTERN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
     SPECIAL = 2
 
@@ -39,6 +41,8 @@ class PatternCounter:
 class WordPieceCounter:
     """Exact counts with a WordPiece vocabulary file (one token a line), untruncated, with special tokens."""
 
+    adds_up = True
+
     def __init__(self, vocabulary: str):
         self.vocabulary = vocabulary
         self._tokenizer = None
@@ -59,6 +63,18 @@ def remembered(counter: TokenCounter, most: int = 50_000):
     return lru_cache(maxsize=most)(counter.count)
 
 
+class Costs:
+    """Counts of whole texts and, for a counter whose counts add up, of pieces of a text without the special tokens."""
+
+    def __init__(self, counter: TokenCounter):
+        self.whole = remembered(counter)
+        self.adds_up = getattr(counter, "adds_up", False)
+        self.empty = counter.count("") if self.adds_up else 0
+
+    def piece(self, text: str) -> int:
+        return self.whole(text) - self.empty
+
+
 def counted(counter: TokenCounter, text: Column) -> Column:
     """Token counts of a column of texts by any counter."""
 

@@ -72,9 +72,9 @@ def vectors(rows: DataFrame, key: str, width: int, tolerance: float = SLACK) ->
     """Width, finite numbers and unit length of each vector, the first rule that it breaks."""
     e = F.col("embedding")
     rule = (
-        F.when(e.isNull() | (F.size(e) != width), F.lit(f"expected aligned rows with {width} dimensions"))
-        .when(~all_finite(e), F.lit("vectors must be finite"))
-        .when(F.abs(norm(e) - 1) > tolerance, F.lit("vectors are not unit normalized"))
+        F.when(e.isNull() | (F.size(e) != width), F.lit(f"a vector of another width than {width}"))
+        .when(~all_finite(e), F.lit("a vector with a number that is not finite"))
+        .when(F.abs(norm(e) - 1) > tolerance, F.lit("a vector whose length is not one"))
     )
     broken = rows.select(F.col(f"`{key}`").cast("string").alias("key"), rule.alias("rule"), F.size(e).cast("string").alias("detail"))
     return broken.where("rule is not null").select("rule", "key", "detail")

@@ -1,22 +1,16 @@
-"""Sections and units out of resume-like text.
+"""Sections and units out of resume-like text, as column functions.
 
-Plain Python over one text, with column functions around it: the steps look ahead and behind
-and protect abbreviations, which regular expressions on columns can't.
+A text is marked at its headings and split there, a section's text at the ends of sentences and then as its category
+needs. All units of a row are scrubbed, freed of repeated phrases in one batch (functions.repeats) and made distinct.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
-from operator import eq
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import ACTION, LONGEST_REPEAT, OUTER, REPEAT, SCRUB_SIGNS, SCRUBS, STOP
+from ..functions.repeats import collapse_repeats_each, normalize
+from ..functions.text import ACTION, SPACE, casefold, content_words, once, scrub, stable_distinct, word_count
 from ..schemas import CATEGORIES
 
 #: Headings, compound names before their parts, and the categories of some.
@@ -35,22 +29,19 @@ CATEGORY = {
     ),
     "Summary": ("Summary", "Professional Summary", "Career Overview", "Profile"),
 }
-#: What stands before or behind a word that only looks like a heading; how far to look.
-LOOK_BEFORE, LOOK_BEHIND = 22, 35
+#: What stands before or behind a word that only looks like a heading.
 NOT_AFTER = {
-    "Education": r"(?:Special|Elementary|Secondary|General|Physical)\s+$",
-    "Skills": r"(?:Solving|Organizational|Telephone|Communication|Clinical)\s+$",
+    "Education": "Special|Elementary|Secondary|General|Physical",
+    "Skills": "Solving|Organizational|Telephone|Communication|Clinical",
 }
-NOT_BEFORE = {"Education": r"\s+(?:and Safety|endorsement|Elementary|GPA|\d{4}\s+Southern)"}
+NOT_BEFORE = {"Education": r"and Safety|endorsement|Elementary|GPA|\d{4} Southern"}
 #: Fixed values.
 DEBRIS = (
     "dec", "view", "works", "etc", "etc.", "increase", "class", "office", "clients", "client", "phone", "written", "government", "features",
     "forms", "managers", "printer", "fax machine", "works great with others",
 )
-#: Where a full stop ends no sentence.
-ABBREVIATION = r"\b(?:[A-Za-z]\.){2,}|\b(?:Dr|Mr|Ms|St|Univ|M\.Ed|B\.S)\."
-#: Where a sentence ends.
-SENTENCE = r"(?<=[.!?])\s+(?=[A-Z])|(?<=[a-z][.!?])(?=[A-Z])|[\r\n]+"
+#: Abbreviations whose full stop ends no sentence; single letters with full stops, two or more, are others.
+ABBREVIATIONS = r"Dr|Mr|Ms|St|Univ|M\.Ed|B\.S"
 #: Words that open a skill of their own.
 SKILL_LEADS = "Adobe|Microsoft|Proficient|Strong|Excellent|Knowledgeable|Qualified|Certified|CPR|HIPAA|Trained|Python|SQL|Windows|Linux|Ability|Skilled|Experienced"
 #: The part of a title that is a role, in capitals.
@@ -59,150 +50,120 @@ ROLE = r"[A-Z][A-Z0-9/&()-]*(?:\s+[A-Z0-9/&()-]+)*(?=\s|$)"
 NO_DEGREE = r"(?:While|I |This |Also )"
 #: Words of a unit from which on it is cut at actions, and content words that an education needs.
 LONG_UNIT, LEAST_WORDS = 55, 3
-DOT = "\u2024"
-
-_SCRUBS = [(re.compile(p), r) for p, r in SCRUBS]
-_REPEAT = re.compile(REPEAT, re.IGNORECASE)
-_HEADING = re.compile(rf"\b({HEADINGS})\b")
-_KIND = {name: category for category, names in CATEGORY.items() for name in names}
-_ABBREVIATION, _SENTENCE = re.compile(ABBREVIATION), re.compile(SENTENCE)
-_LEAD, _DEED = re.compile(rf"\s+(?=(?:{SKILL_LEADS})\b)"), re.compile(rf"\s+(?={ACTION}\b)")
-_TOKEN = re.compile(r"[a-z][a-z0-9+#-]*")
-_STOP = frozenset(STOP)
+#: Stands for a full stop that ends no sentence; marks a cut and the end of a heading. The latter two are in no text.
+DOT, CUT, MARK = "․", "﷐", "﷑"
 
+#: Full stops of abbreviations: behind the first letter of two, behind a further one, behind a known one.
+_SHIELDED = rf"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)|(?<=\b[A-Za-z]\.[A-Za-z])\.|(?<=\b(?:{ABBREVIATIONS}))\."
+_SENTENCE = rf"(?<=[.!?]){SPACE}+(?=[A-Z])|(?<=[a-z][.!?])(?=[A-Z])|[\r\n]+"
 
-def may_repeat(text: str) -> bool:
-    """Whether a phrase may follow itself: some word stands again k words on, and the one before it ends in the word before that."""
-    words = text.lower().split()
-    for k in range(2, LONGEST_REPEAT + 1):
-        if any(map(eq, words[1:], words[k + 1 :])) and any(b == d and a.endswith(c) for a, b, c, d in zip(words, words[1:], words[k:], words[k + 1 :], strict=False)):
-            return True
-    return False
 
+def _heading_pattern() -> str:
+    """Headings in normalised text, without those that their neighbourhood shows to be prose."""
+    names = []
+    for name in HEADINGS.split("|"):
+        before = f"(?<!(?:{NOT_AFTER[name]}) )" if name in NOT_AFTER else ""
+        behind = f"(?! (?:{NOT_BEFORE[name]}))" if name in NOT_BEFORE else ""
+        names.append(f"{before}{name}\\b{behind}")
+    return rf"\b({'|'.join(names)})"
 
-def collapse_repeats(text: str, passes: int = 3) -> str:
-    """A phrase that follows itself stands once; only ASCII text is looked at before, as case is simple there."""
-    for _ in range(passes):
-        if text.isascii() and not may_repeat(text):
-            break
-        shorter = _REPEAT.sub(r"\1", text)
-        if shorter == text:
-            break
-        text = shorter
-    return text
 
+_HEADING = _heading_pattern()
 
-def normalize(text: str) -> str:
-    for (pattern, instead), signs in zip(_SCRUBS, SCRUB_SIGNS, strict=True):
-        if any(s in text for s in signs):
-            text = pattern.sub(instead, text)
-    return collapse_repeats(" ".join(text.split()).strip(OUTER))
 
+def _cut_each(texts: Column, cut) -> Column:
+    return F.flatten(F.transform(texts, cut))
 
-def content_words(text: str) -> frozenset[str]:
-    return frozenset(_TOKEN.findall(text.lower())) - _STOP
 
+def outside_parentheses(text: Column) -> Column:
+    """Parts between commas and semicolons that no parenthesis encloses; a surplus closing one counts for nothing."""
+    state = lambda level, out: F.struct(level.alias("level"), out.alias("out"))
 
-def stable_distinct(units) -> list[str]:
-    """Normalised units, the first of each key; the key is case-folded with single blanks for all but word characters."""
-    by_key: dict[str, str] = {}
-    for unit in map(normalize, units):
-        by_key.setdefault(re.sub(r"\W+", " ", unit.casefold()).strip(), unit)
-    by_key.pop("", None)
-    return list(by_key.values())
+    def step(s: Column, t: Column) -> Column:
+        level = F.when(t == "(", s["level"] + 1).when(t == ")", F.greatest(s["level"] - 1, F.lit(0))).otherwise(s["level"])
+        return state(level, F.concat(s["out"], F.array(F.when(s["level"] == 0, F.regexp_replace(t, "[,;]", CUT)).otherwise(t))))
 
+    tokens = F.split(text, r"(?<=[()])|(?=[()])")
+    cut = F.aggregate(tokens, state(F.lit(0), F.array().cast("array<string>")), step, lambda s: F.array_join(s["out"], ""))
+    return F.when(F.contains(text, F.lit("(")), F.split(cut, CUT)).otherwise(F.split(text, "[,;]"))
 
-def split_outside_parentheses(text: str) -> list[str]:
-    """Parts between commas and semicolons that no parenthesis encloses; a surplus closing one counts for nothing."""
-    level, cuts = 0, [-1]
-    for at, c in enumerate(text):
-        if c in "()":
-            level = level + 1 if c == "(" else max(level - 1, 0)
-        elif level == 0 and c in ",;":
-            cuts.append(at)
-    return [text[a + 1 : b] for a, b in pairwise([*cuts, len(text)])]
 
+def _skills(sentence: Column) -> Column:
+    return _cut_each(outside_parentheses(sentence), lambda part: F.split(part, rf"{SPACE}+(?=(?:{SKILL_LEADS})\b)"))
 
-def _skills(sentence: str) -> Iterator[str]:
-    return chain.from_iterable(map(_LEAD.split, split_outside_parentheses(sentence)))
 
+def _courses(sentence: Column) -> Column:
+    return F.split(sentence, ";")
 
-def _courses(sentence: str) -> Iterable[str]:
-    return sentence.split(";")
 
-
-def _statements(sentence: str) -> Iterable[str]:
-    return _DEED.split(sentence) if len(sentence.split()) > LONG_UNIT else (sentence,)
+def _statements(sentence: Column) -> Column:
+    return F.when(word_count(sentence) > LONG_UNIT, F.split(sentence, rf"{SPACE}+(?={ACTION}\b)")).otherwise(F.array(sentence))
 
 
 #: How a category's sentences are cut further.
 CUTS = {"Skills": _skills, "Education": _courses}
 
 
-def split_units(text: str, category: str) -> list[str]:
-    """Whole units of a section: sentences, cut further as its category needs."""
-    cut = CUTS.get(category, _statements)
-    shielded = _ABBREVIATION.sub(lambda m: m[0].translate({ord("."): DOT}), text)
-    return stable_distinct(unit for sentence in _SENTENCE.split(shielded) for unit in cut(sentence.translate({ord(DOT): "."})))
-
-
-def headings(text: str) -> list[re.Match]:
-    """Headings, without those that their neighbourhood shows to be prose."""
+def sentences(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(text, _SHIELDED, DOT), _SENTENCE), lambda s: F.replace(s, F.lit(DOT), F.lit(".")))
 
-    def real(m: re.Match) -> bool:
-        before, behind = text[max(0, m.start() - LOOK_BEFORE) : m.start()], text[m.end() : m.end() + LOOK_BEHIND]
-        ahead, after = NOT_AFTER.get(m[0]), NOT_BEFORE.get(m[0])
-        return not (ahead and re.search(ahead, before)) and not (after and re.match(after, behind))
 
-    return [m for m in _HEADING.finditer(text) if real(m)]
+def pieces(text: Column, category: str) -> Column:
+    """Whole units of a section as they are written: sentences, cut further as its category needs."""
+    return _cut_each(sentences(text), CUTS.get(category, _statements))
 
 
-def stretches(text: str) -> list[tuple[str | None, str]]:
-    """What stands before the first heading, then each heading's category with what stands behind it up to the next."""
-    marks = [(0, 0, None), *((*m.span(), _KIND.get(m[0])) for m in headings(text)), (len(text), len(text), None)]
-    return [(category, text[begin:end].strip()) for (_, begin, category), (end, _, _) in pairwise(marks)]
+def with_distinct(rows: DataFrame, lists: dict[str, Column], of: str = "__units") -> DataFrame:
+    """rows with a column a list: its units normalised, the first of each key. Scrubbing again takes what repeats had kept apart."""
+    scrubbed = F.array(*[F.transform(x, scrub) for x in lists.values()])
+    shortened = rows.withColumn(of, scrubbed).withColumn(of, collapse_repeats_each(F.col(of)))
+    done = {name: stable_distinct(F.transform(F.col(of)[i], scrub)) for i, name in enumerate(lists)}
+    return shortened.withColumns(done).drop(of)
 
 
-#: What a unit must be like to count, in the categories that ask for something.
-COUNTS = {
-    "Skills": lambda unit: unit.casefold().strip(".") not in DEBRIS,
-    "Education": lambda unit: len(content_words(unit)) >= LEAST_WORDS and not re.match(NO_DEGREE, unit),
-}
-
+def with_units(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with education, experience, skills and summary: the text's units as each category would cut it."""
+    return with_distinct(rows.withColumn("__text", F.coalesce(text, F.lit(""))), {c.lower(): pieces(F.col("__text"), c) for c in CATEGORIES}).drop("__text")
 
-def extract_sections(raw: str) -> tuple[str, dict[str, list[str]]]:
-    """(title, units by category) of a resume; without any unit the whole text counts as experience."""
-    text = normalize(raw)
-    (_, head), *sections = stretches(text)
-    role = re.match(ROLE, head)
-    title = (role[0] if role else head).strip() if sections else ""
-    by_category = {c: [u for category, part in sections if category == c for u in split_units(part, c)] for c in CATEGORIES}
-    units = {c: [u for u in stable_distinct(found) if COUNTS.get(c, bool)(u)] for c, found in by_category.items()}
-    if not any(units.values()):
-        units["Experience"] = split_units(text, "Experience")
-    return title, units
 
+def stretches(text: Column) -> Column:
+    """What stands before the first heading, with no category, then each heading's category and what stands behind it up to the next."""
+    category = F.create_map(*[F.lit(x) for c, names in CATEGORY.items() for n in names for x in (n, c)])
+    parts = F.split(F.regexp_replace(text, _HEADING, f"{CUT}$1{MARK}"), CUT)
 
-_UNITS = T.StructType([T.StructField(c.lower(), T.ArrayType(T.StringType())) for c in CATEGORIES])
-SECTIONS = T.StructType([T.StructField("title", T.StringType()), *_UNITS.fields])
+    def part(p: Column) -> Column:
+        named = F.contains(p, F.lit(MARK))
+        kind = F.when(named, F.try_element_at(category, F.substring_index(p, MARK, 1)))
+        return F.struct(kind.alias("category"), F.trim(F.when(named, F.substring_index(p, MARK, -1)).otherwise(p)).alias("text"))
 
+    return F.transform(parts, part)
 
-def sections(text: Column) -> Column:
-    """Struct of title and the four categories' units."""
 
-    @F.pandas_udf(SECTIONS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [extract_sections(t) for t in texts]
-        return pd.DataFrame({"title": [t for t, _ in rows], **{c.lower(): [u.get(c, []) for _, u in rows] for c in CATEGORIES}})
+#: What a unit must be like to count, in the categories that ask for something.
+COUNTS = {
+    "Skills": lambda unit: ~F.btrim(casefold(unit), F.lit(".")).isin(*DEBRIS),
+    "Education": lambda unit: (F.size(content_words(unit)) >= LEAST_WORDS) & ~unit.rlike("^" + NO_DEGREE),
+}
 
-    return run(F.coalesce(text, F.lit("")))
 
+def _title(found: Column) -> Column:
+    head = found[0]["text"]
+    role = F.regexp_extract(head, f"^({ROLE})", 1)
+    return F.when(F.size(found) > 1, F.when(role != "", F.trim(role)).otherwise(head)).otherwise("")
 
-def units(text: Column) -> Column:
-    """Struct of the text's units as each category would cut it."""
 
-    @F.pandas_udf(_UNITS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({c.lower(): [split_units(t, c) for t in texts] for c in CATEGORIES})
+def with_sections(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with whole (the normalised text), title and the units of education, experience, skills and summary.
 
-    return run(F.coalesce(text, F.lit("")))
+    Without any unit the whole text counts as experience.
+    """
+    marked = rows.withColumn("whole", normalize(F.coalesce(text, F.lit("")))).withColumn("__found", stretches(F.col("whole")))
+    of = lambda c: F.transform(F.filter("__found", lambda x: x["category"] == c), lambda x: x["text"])
+    cutter = lambda c: lambda t: pieces(t, c)
+    lists = {c.lower(): _cut_each(of(c), cutter(c)) for c in CATEGORIES}
+    # Any unit of experience or summary counts; only where neither has any the whole text may be needed.
+    needed = F.size(F.filter("__found", lambda x: x["category"].isin("Experience", "Summary") & x["text"].rlike(r"[\p{L}\p{N}_]"))) == 0
+    lists["__else"] = F.when(needed, pieces(F.col("whole"), "Experience")).otherwise(F.array().cast("array<string>"))
+    done = with_distinct(marked, lists).withColumns({c.lower(): F.filter(c.lower(), counts) for c, counts in COUNTS.items()})
+    empty = sum((F.size(c.lower()) for c in CATEGORIES), F.lit(0)) == 0
+    return done.withColumn("title", _title(F.col("__found"))).withColumn("experience", F.when(empty, F.col("__else")).otherwise(F.col("experience"))).drop("__found", "__else")

@@ -1,24 +1,24 @@
 """Choice of whole skills and tasks for a catalogue profile within a token budget.
 
-The choice is made entity by entity: every step asks what the rendered text would cost, so
-it can't be a set operation. ``CatalogChoice`` holds one entity's state; ``choose`` is a pandas
+The words of tasks and the order in which they are tried first are columns. The choice itself is made entity by
+entity: every step asks what the rendered text would cost, so it can't be a set operation. ``choose`` is a pandas
 function over rows that already hold their lists, so no shuffle is needed.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.tokens import TokenCounter, remembered
+from ..functions.text import letter_words, once
+from ..functions.tokens import Costs, TokenCounter
 from ..schemas import BUDGET, TARGET
 
 RESERVED_TASKS, RESERVED_SKILLS, SKILL_SHARE = 2, 5, 0.4
-_WORD = re.compile("[a-z]{3,}")
 
 
 class DoesNotFit(ValueError):
@@ -35,25 +35,29 @@ class CatalogChoice:
     title: str
     description: str
     skills: list[str]
-    tasks: list[dict]  # text, core, support; in source order
+    tasks: list[dict]  # text, core, support, words; in source order
     counter: TokenCounter
     budget: int = BUDGET
     with_skills: list[int] = field(default_factory=list)
     with_tasks: list[int] = field(default_factory=list)
 
     def __post_init__(self):
-        self._cost = remembered(self.counter)
-        self._words = [frozenset(_WORD.findall(t["text"].lower())) for t in self.tasks]
+        self.costs = Costs(self.counter)
+        self._words = [frozenset(t["words"]) for t in self.tasks]
         self._base = self.cost((), ())
         if self._base > self.budget:
-            raise DoesNotFit(f"{self.title}: title and description exceed {self.budget} tokens")
+            raise DoesNotFit(f"{self.title}: its title and description alone take more than {self.budget} tokens")
 
     def text(self, skills, tasks) -> str:
         """Skills in rank order and tasks in source order, however they were picked."""
         return render(self.title, self.description, [self.skills[i] for i in sorted(skills)], [self.tasks[i]["text"] for i in sorted(tasks)])
 
     def cost(self, skills, tasks) -> int:
-        return self._cost(self.text(skills, tasks))
+        if not self.costs.adds_up:
+            return self.costs.whole(self.text(skills, tasks))
+        piece = self.costs.piece
+        total = self.costs.whole(render(self.title, self.description, [], [])) + sum(piece(self.tasks[i]["text"]) for i in tasks) + sum(piece(self.skills[i]) for i in skills)
+        return total + (piece("Tasks:") if any(self.tasks[i]["text"] for i in tasks) else 0) + (piece("Skills:") + piece(";") * (len(skills) - 1) if skills else 0)
 
     def fits(self, skills, tasks) -> bool:
         return self.cost(skills, tasks) <= self.budget
@@ -98,17 +102,19 @@ class CatalogChoice:
     def exchange_tasks(self) -> None:
         """Under the target, trade one task for another not less core, each time the trade that adds most."""
         while (now := self.cost(self.with_skills, self.with_tasks)) < TARGET:
-            trades = [
-                [*(i for i in self.with_tasks if i != out), into]
-                for into in self.open_tasks()
-                for out in reversed(self.with_tasks)
-                if self.tasks[into]["core"] >= self.tasks[out]["core"]
-            ]
-            costs = [self.cost(self.with_skills, t) for t in trades]
-            best = max((c for c in costs if now < c <= self.budget), default=None)
-            if best is None:
+            best, trade = now, None
+            for into in self.open_tasks():
+                for out in reversed(self.with_tasks):
+                    if self.tasks[into]["core"] >= self.tasks[out]["core"] and best < (cost := self._traded(now, out, into)) <= self.budget:
+                        best, trade = cost, (out, into)
+            if trade is None:
                 return
-            self.with_tasks = trades[costs.index(best)]
+            self.with_tasks = [*(i for i in self.with_tasks if i != trade[0]), trade[1]]
+
+    def _traded(self, now: int, out: int, into: int) -> int:
+        if self.costs.adds_up:
+            return now - self.costs.piece(self.tasks[out]["text"]) + self.costs.piece(self.tasks[into]["text"])
+        return self.cost(self.with_skills, [*(i for i in self.with_tasks if i != out), into])
 
     def fill_rest(self) -> None:
         self.fill_skills()
@@ -121,13 +127,17 @@ class CatalogChoice:
         for phase in (self.reserve_tasks, self.spend_on_skills, self.fill_tasks, self.fill_skills, self.exchange_tasks, self.fill_rest):
             phase()
         if self.tasks and not self.with_tasks:
-            raise DoesNotFit(f"{self.title}: no complete task fits beside its title and description")
+            raise DoesNotFit(f"{self.title}: none of its tasks has room")
         return self.text(self.with_skills, self.with_tasks), self.cost(self.with_skills, self.with_tasks), self.with_skills, self.with_tasks
 
 
 CHOICE = "profile_text string, token_count int, selected_skills string, selected_tasks string, error string"
 
 
+def _with_words(tasks: Column) -> Column:
+    return F.transform(tasks, lambda t: t.withField("words", letter_words(t["text"])))
+
+
 def choose(rows: DataFrame, counter: TokenCounter, key: str, budget: int = BUDGET) -> DataFrame:
     """key and CHOICE for rows with title, description, skills and tasks; what doesn't fit has an error instead."""
 
@@ -144,20 +154,12 @@ def choose(rows: DataFrame, counter: TokenCounter, key: str, budget: int = BUDGE
             yield pd.DataFrame(out, columns=[key, *[c.split()[0] for c in CHOICE.split(", ")]]).astype({"token_count": "Int32"})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "title", "description", "skills", "tasks").mapInPandas(run, f"`{key}` {kind}, {CHOICE}")
+    return rows.select(key, "title", "description", "skills", _with_words(F.col("tasks")).alias("tasks")).mapInPandas(run, f"`{key}` {kind}, {CHOICE}")
 
 
-def priorities(rows: DataFrame, counter: TokenCounter, key: str) -> DataFrame:
-    """key, pos, core, support, priority: the order in which an entity's tasks are tried before any is chosen."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, tasks in zip(batch[key], batch["tasks"], strict=True):
-                records = [dict(t) for t in tasks]
-                order = CatalogChoice("", "", [], records, counter).open_tasks()
-                out += [(k, records[i]["pos"], records[i]["core"], records[i]["support"], n) for n, i in enumerate(order, 1)]
-            yield pd.DataFrame(out, columns=[key, "pos", "core", "support", "priority"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "tasks").mapInPandas(run, f"`{key}` {kind}, pos long, core boolean, support double, priority int")
+def priorities(rows: DataFrame, key: str) -> DataFrame:
+    """key, pos, core, support, priority: the order in which an entity's tasks are tried before any is chosen, when all words are new."""
+    new = lambda t: F.when(F.size(t["words"]) > 0, 1.0).otherwise(0.0)
+    keyed = F.transform(_with_words(F.col("tasks")), lambda t, i: F.struct((~t["core"]).alias("late"), (-(t["support"] / 100 + new(t))).alias("weight"), i.alias("place"), t["pos"].alias("pos"), t["core"].alias("core"), t["support"].alias("support")))
+    ranked = once(F.array_sort(keyed), lambda a: F.transform(a, lambda t, i: F.struct(t["pos"], t["core"], t["support"], (i + 1).alias("priority"))))
+    return rows.select(key, F.inline(ranked))

@@ -31,7 +31,7 @@ def catalog_lists(occupations: DataFrame, skills: DataFrame, tasks: DataFrame) -
 def catalog_profiles(lists: DataFrame, top_skills: int = 10, counter: TokenCounter | None = None, budget: int = BUDGET) -> DataFrame:
     """Profiles of ten columns, with code for the sort; an entity that doesn't fit stops the run with all errors."""
     if top_skills < 0:
-        raise quality.QualityError("top_skills must be nonnegative")
+        raise quality.QualityError("top_skills is below zero")
     shown = F.slice("skills", F.lit(1), F.lit(top_skills)) if top_skills else F.col("skills")
     texts = F.transform("tasks", lambda t: t["text"])
     full = lists.select(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACTION, LONGEST_REPEAT, STOP
+from ..functions.repeats import LONGEST_REPEAT
+from ..functions.text import ACTION, STOP
 from ..operators.segment import LONG_UNIT, SKILL_LEADS
 from .queries import EVERY, INTERESTS, K
 
@@ -168,7 +169,7 @@ def _budget_select_profile() -> str:
     return f"""WITH {_CLERKS},
         p AS (SELECT c_custkey AS user_id, c_mktsegment || ' CLERK' AS title, 'Bachelor of Arts : ' || n_name || ' College' AS education, 'Prepared ledgers for ' || n_name || ' mills in 2011.' AS experience,
           'Careful with numbers in ' || n_name || '.' AS summary, 'I like to find out why figures disagree in ' || n_name || '.' AS interests,
-          CASE c_custkey % 50 WHEN 0 THEN 'Title and complete interests exceed the budget' WHEN 1 THEN 'Both resume and interests must be nonempty' END AS error FROM clerks),
+          CASE c_custkey % 50 WHEN 0 THEN 'title and interests alone take more than the budget' WHEN 1 THEN 'resume or interests are empty' END AS error FROM clerks),
         t AS (SELECT *, 'Background: ' || title || ' Education: ' || education || '. Experience: ' || experience || ' Skills: Excel; SQL Summary: ' || summary || ' Interests: ' || interests AS text FROM p)
         SELECT user_id, CASE WHEN error IS NULL THEN text END AS profile_text, CASE WHEN error IS NULL THEN {_tokens("text")} END AS token_count, CASE WHEN error IS NULL THEN title END AS title,
           CASE WHEN error IS NULL THEN education END AS selected_education, CASE WHEN error IS NULL THEN experience END AS selected_experience, CASE WHEN error IS NULL THEN 'Excel | SQL' END AS selected_skills,
@@ -184,7 +185,7 @@ def _budget_select_catalog() -> str:
         t AS (SELECT *, head || CASE WHEN skills <> '' THEN ' Skills: ' || skills ELSE '' END || CASE WHEN tasks <> '' THEN ' Tasks: ' || tasks ELSE '' END AS text,
           tasks = '' AND c_custkey % 4 = 0 AS bare FROM s)
         SELECT c_custkey AS key, CASE WHEN NOT bare THEN text END AS profile_text, CASE WHEN NOT bare THEN {_tokens("text")} END AS token_count, CASE WHEN NOT bare THEN skills END AS selected_skills,
-          CASE WHEN NOT bare THEN tasks END AS selected_tasks, CASE WHEN bare THEN split_part(split_part(head, 'Occupation: ', 2), ' Description: ', 1) || ': no complete task fits beside its title and description' END AS error FROM t"""
+          CASE WHEN NOT bare THEN tasks END AS selected_tasks, CASE WHEN bare THEN split_part(split_part(head, 'Occupation: ', 2), ' Description: ', 1) || ': none of its tasks has room' END AS error FROM t"""
 
 
 _ENCODE = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sets, text, vectors
+from ..functions import repeats, sets, text, vectors
 from ..functions.numbers import is_finite
 from ..functions.tokens import PatternCounter
 from ..operators import catalog, embed, match, quality, segment, select_catalog, select_person, stats
@@ -87,7 +87,7 @@ def scrub_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def collapse_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.normalize(F.coalesce("text", F.lit("")))).alias("normalized"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(repeats.normalize(F.coalesce("text", F.lit("")))).alias("normalized"))
 
 
 def first_nonempty_by_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,16 +191,20 @@ def stable_distinct_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", segment.units(F.col("text")).alias("u"))
-    return turns.select("conv_id", "turn", *[F.size(f"u.{c}").alias(f"{c}_units") for c in ("experience", "education", "skills")])
+    turns = segment.with_units(table(spark, sf, "conversations").select("conv_id", "turn", "text"), F.col("text"))
+    return turns.select("conv_id", "turn", *[F.size(c).alias(f"{c}_units") for c in ("experience", "education", "skills")])
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, sf, "customer").join(nations, "c_nationkey")
 
 
 def _clerks(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with their nation's name and the keys and priorities of their orders in order, as (k, p)."""
     orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("p"), F.col("o_orderkey").alias("n")))).alias("orders"))
-    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     in_order = F.array_sort("orders", lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0))
-    return table(spark, sf, "customer").join(nations, "c_nationkey").join(orders, "c_custkey", "left").withColumn("orders", in_order)
+    return _customers(spark, sf).join(orders, "c_custkey", "left").withColumn("orders", in_order)
 
 
 def section_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,20 +216,20 @@ def section_extract(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("Problem Solving Skills were used."), F.upper(F.get(statements, 0)), F.when(F.col("c_custkey") % 3 == 0, F.lit(long_list)), F.lit("Education Bachelor of Arts :"), n,
         F.lit("College; I like it; M.Ed : Library Studies St. Olga; BA Skills Excel (tables, charts), SQL; etc,"), F.col("c_mktsegment"), F.lit("trade"),
     )
-    found = _clerks(spark, sf).select("c_custkey", segment.sections(resume).alias("s"))
-    return found.select("c_custkey", "s.title", *[F.array_join(f"s.{c}", " | ").alias(c) for c in ("education", "experience", "skills", "summary")])
+    found = segment.with_sections(_clerks(spark, sf).select("c_custkey", resume.alias("resume")), F.col("resume"))
+    return found.select("c_custkey", "title", *[F.array_join(c, " | ").alias(c) for c in ("education", "experience", "skills", "summary")])
 
 
 def task_priority_first(spark: SparkSession, sf: str) -> DataFrame:
     """The order in which tasks are tried before any is chosen."""
-    return select_catalog.priorities(catalog.task_lists(catalog.best_task(_turns(spark, sf), "key"), "key"), PatternCounter(), "key")
+    return select_catalog.priorities(catalog.task_lists(catalog.best_task(_turns(spark, sf), "key"), "key"), "key")
 
 
 def unit_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of conversations scored as experience units against fixed interests, nothing chosen yet."""
     lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
     rows = lines.withColumn("unit", text.collapse(F.col("raw")))
-    return rows.select("conv_id", "turn", "pos", text.word_count(F.col("unit")).alias("words"), F.round(select_person.scores(F.col("unit"), "Experience", INTERESTS), 6).alias("score"))
+    return rows.select("conv_id", "turn", "pos", text.word_count(F.col("unit")).alias("words"), F.round(select_person.scores(F.col("unit"), "Experience", text.content_words(F.lit(INTERESTS))), 6).alias("score"))
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +265,7 @@ def budget_select_profile(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("mills. Education Bachelor of Arts :"), n, F.lit("College Skills Excel, SQL"),
     )
     interests = F.when(F.col("c_custkey") % 50 == 0, " ".join(f"aim{k}" for k in range(300))).when(F.col("c_custkey") % 50 == 1, "").otherwise(F.concat(F.lit("I like to find out why figures disagree in "), n, F.lit(".")))
-    people = _clerks(spark, sf).select(F.col("c_custkey").alias("user_id"), resume.alias("resume"), interests.alias("interests"))
+    people = _customers(spark, sf).select(F.col("c_custkey").alias("user_id"), resume.alias("resume"), interests.alias("interests"))
     return select_person.choose(people, PatternCounter())
 
 
