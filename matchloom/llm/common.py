@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed as checkpointed
-from ..session import is_local, shared_dir
+from ..session import shared_dir
+from ..sources.stores import checked_folder as checked_folder
+from ..sources.stores import filesystem as filesystem
 
 WHITESPACE = r"[\x20\x09-\x0D]"
 
@@ -33,26 +34,6 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checked_folder(spark: SparkSession, folder: str) -> str:
-    """The folder, if all machines of the session can be expected to see it: a plain path must lie in the shared folder."""
-    plain = "://" not in folder and not folder.startswith("file:")
-    shared = shared_dir(spark).removeprefix("file:")
-    if plain and not is_local(spark) and not folder.startswith("/" + shared.lstrip("/")):
-        raise ValueError(f"{folder} may be another folder on every machine; name one below spark.checkpoint.dir, or a URI")
-    return folder
-
-
-def filesystem(uri: str):
-    """pyarrow's file system and path for a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), os.path.abspath(uri)
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def bound(value: Column, use) -> Column:
     """use(value) with the value computed once, however often it is used, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), use), 1)

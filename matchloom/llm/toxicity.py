@@ -9,7 +9,8 @@ so that pairs of terms, such as an insult and the group it is aimed at, have a w
 their own. The pair sum costs one pass: half of (sum of v)^2 - sum of v^2.
 
 Fitting: at most LABELLED labelled documents, those with the smallest hash of their doc_id, and only
-such whose crc32(doc_id as text) mod 5 is not 0. Their texts are read once and checkpointed. Counts of terms by label are a Spark aggregation
+such whose crc32(doc_id as text) mod 5 is not 0, each with one text, that of least digest where rows repeat its
+doc_id. Their texts are read once and checkpointed. Counts of terms by label are a Spark aggregation
 over these; every term in MIN_TEXTS texts or more whose log-likelihood ratio is SIGNIFICANT or more gets
 weights, however many these are: no more than the bounded sample has terms. Their occurrences in the sample
 go to the driver as sparse lists, which fits the machine by full-batch Adam. All documents are scored whole,
@@ -18,7 +19,7 @@ in a map without a shuffle. doc_id, lang, source and labels are no inputs of a s
 Defined results: null and empty texts get the bias alone; without any toxic or any other
 labelled text, all scores are 0; very long texts are read whole; a document with several label rows counts as toxic if one
 of them says so; null labels and labels without a document are left out; a null doc_id
-isn't held out; repeated rows each get their row; an empty table gives none; other columns are
+isn't held out; repeated rows each get their row and are one document to the fit; an empty table gives none; other columns are
 not looked at.
 """
 
@@ -129,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     present = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = checkpointed(present.orderBy(*by_hash).limit(LABELLED))  # two numbers a row, which bounds what is broadcast
-    sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id"))
+    # One text a document, the one of least digest, so that repeated rows neither weigh more nor fill the driver.
+    one = F.min(F.struct(F.md5("text").alias("digest"), "text"))
+    sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(one.alias("one")).select("one.text", "y"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

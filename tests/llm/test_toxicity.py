@@ -73,6 +73,24 @@ def test_slow_scorer(spark, table):
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def test_repeated_rows_are_one_document_to_the_fit(spark, table, monkeypatch):
+    """The table four times, and one labelled document a thousand times: the same machine and scores, and no more lists on the driver than documents."""
+    rows, labels = corpus(400)
+    label_table = labelled(spark, labels)
+    machine = toxicity.fit(table(rows), label_table)
+    trained = []
+    real = toxicity.train_machine
+    monkeypatch.setattr(toxicity, "train_machine", lambda keys, doc, k, y: (trained.append(len(y)), real(keys, doc, k, y))[1])
+    hot = next((i, t) for i, t in rows if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5)
+    again = toxicity.fit(table(rows * 4 + [hot] * 1000), label_table)
+    assert trained == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)]
+    assert (again.keys == machine.keys).all() and again.bias == machine.bias
+    assert (again.weights == machine.weights).all() and (again.factors == machine.factors).all()
+    # Rows of one doc_id with different texts count by the text of least digest, whatever their order.
+    other = [(i, t + " mills") for i, t in rows[:50]]
+    assert (toxicity.fit(table(rows + other), label_table).weights == toxicity.fit(table(other[::-1] + rows), label_table).weights).all()
+
+
 def test_labels_of_held_out_rows_change_nothing(spark, table):
     rows, labels = corpus(200)
     one = sorted(map(tuple, toxicity.score_documents(table(rows), labelled(spark, labels)).collect()))
