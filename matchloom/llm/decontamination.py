@@ -41,7 +41,6 @@ not looked at.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +64,8 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F123BB5, 0x2E6D9C71, 0x3A5B7F0D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LITERAL = np.uint64(0x5851F42D4C957F2D)
 
+#: Windows of alignments that are compared at once.
+PICKED = 400_000
 WINDOWS = "doc_id long, digest binary, pos int, base long, window long, types int, slots array<long>"
 _SHAPE = pa.schema([("pos", pa.int32()), ("base", pa.int64()), ("window", pa.int64()), ("types", pa.int32()), ("slots", pa.list_(pa.int64()))])
 HELD = "doc_id long, digest binary, item binary, windows long, found long, coverage double, consistency double"
@@ -173,41 +174,77 @@ def windows(texts: DataFrame, bitmap=None) -> DataFrame:
     return texts.select("doc_id", "digest", "text").mapInArrow(compute, WINDOWS)
 
 
-def consistency(fillings: list[dict]) -> float:
-    """Share of the slot fillings with the document's most frequent value for the item's."""
-    values: dict[int, Counter] = defaultdict(Counter)
-    for f in fillings:
+def _slot_values(fillings: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """For each filling and word of a window, numbers of the item's value and of the document's; -1 where the word is no slot."""
+    item, said = np.full((len(fillings), WINDOW), -1, np.int64), np.full((len(fillings), WINDOW), -1, np.int64)
+    known: tuple[dict, dict] = ({}, {})
+    for n, f in enumerate(fillings):
         for k in range(WINDOW):
             if f["types"] >> 2 * k & 3:
-                values[f["item_slots"][k]][f["slots"][k]] += 1
-    total = sum(c.total() for c in values.values())
-    return sum(max(c.values()) for c in values.values()) / total if total else 1.0
+                item[n, k] = known[0].setdefault(f["item_slots"][k], len(known[0]))
+                said[n, k] = known[1].setdefault(f["slots"][k], len(known[1]))
+    return item, said
+
+
+def _shares(picked: np.ndarray, taken: np.ndarray, item: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Of each row of fillings, of which those taken count, the share of slots with the document's most frequent value for the item's."""
+    row, column, k = np.nonzero((item[picked] >= 0) & taken[:, :, None])
+    of = picked[row, column]
+    keys = (row * (item.max() + 2) + item[of, k]) * (said.max() + 2) + said[of, k]
+    values, counts = np.unique(keys, return_counts=True)
+    slots, first = np.unique(values // (said.max() + 2), return_index=True)
+    most = np.maximum.reduceat(counts, first) if len(first) else counts
+    agreeing = np.bincount(slots // (item.max() + 2), most, len(picked))
+    total = np.bincount(row, minlength=len(picked))
+    return np.where(total > 0, agreeing / np.maximum(total, 1), 1.0)
 
 
 def best_alignment(fillings: list[dict], windows: int, found: int, similarity: float) -> tuple[int, float] | None:
-    """(windows found, consistency) of the alignment with the largest consistency, or None if none passes."""
+    """(windows found, consistency) of the alignment with the largest consistency, then the most windows, or None if none passes.
+
+    An alignment is a shift of the item against the document. It takes of each window the nearest occurrence, found by
+    binary search, once wherever that is and once only within half the item's length. Work and memory go by the
+    occurrences, as an item that stands r times has about r alignments, each of its number of windows.
+    """
     if not any(f["types"] for f in fillings):
         return found, 1.0
     fillings = sorted(fillings, key=lambda f: (f["types"].bit_count(), f["types"], f["slots"] or [], f["item_slots"] or []))
+    item, said = _slot_values(fillings)
     number = np.repeat(np.arange(len(fillings)), [len(f["shifts"]) for f in fillings])
     shift = np.concatenate([f["shifts"] for f in fillings]).astype(np.int64)
     window = np.unique([f["window"] for f in fillings], return_inverse=True)[1][number]
-    alignments, support = np.unique(np.unique(np.stack((shift, window)), axis=1)[0], return_counts=True)
-    best, seen = None, set()
-    for k in np.argsort(-support, kind="stable"):
-        far = np.abs(shift - alignments[k])
-        order = np.lexsort((number, far, window))
-        nearest = order[np.unique(window[order], return_index=True)[1]]
-        for chosen in (nearest, nearest[far[nearest] <= windows // 2]):
-            if len(chosen) / windows < similarity or (key := tuple(sorted(number[chosen]))) in seen:
-                continue
-            seen.add(key)
-            share = consistency([fillings[i] for i in key])
-            if share >= similarity and (best is None or (share, len(chosen)) > (best[1], best[0])):
-                best = len(chosen), share
-        if best == (found, 1.0):
+    order = np.lexsort((number, shift, window))
+    number, shift, window = number[order], shift[order], window[order]
+    first = np.ones(len(shift), bool)
+    first[1:] = (shift[1:] != shift[:-1]) | (window[1:] != window[:-1])
+    number, shift, window = number[first], shift[first], window[first]
+    count = int(window[-1]) + 1
+    ends = np.searchsorted(window, np.arange(count + 1))
+    alignments, support = np.unique(shift, return_counts=True)
+    alignments = alignments[np.argsort(-support, kind="stable")]
+    best: tuple[float, int] | None = None
+    step = max(1, PICKED // count)
+    for at in range(0, len(alignments), step):
+        here = alignments[at : at + step]
+        picked, far = np.empty((len(here), count), np.int64), np.empty((len(here), count), np.int64)
+        for w in range(count):
+            places, numbers = shift[ends[w] : ends[w + 1]], number[ends[w] : ends[w + 1]]
+            behind = np.searchsorted(places, here)
+            left, right = np.maximum(behind - 1, 0), np.minimum(behind, len(places) - 1)
+            gaps = np.abs(here - places[left]), np.abs(here - places[right])
+            take_left = (gaps[0] < gaps[1]) | ((gaps[0] == gaps[1]) & (numbers[left] <= numbers[right]))
+            picked[:, w], far[:, w] = np.where(take_left, numbers[left], numbers[right]), np.minimum(*gaps)
+        for taken in (np.ones_like(far, bool), far <= windows // 2):
+            held = taken.sum(axis=1)
+            enough = np.flatnonzero(held / windows >= similarity)
+            if len(enough):
+                share = _shares(picked[enough], taken[enough], item, said)
+                top = max(zip(share.tolist(), held[enough].tolist(), strict=True))
+                if top[0] >= similarity and (best is None or top > best):
+                    best = top
+        if best == (1.0, found):
             break
-    return best
+    return (best[1], best[0]) if best else None
 
 
 def rarest(items: DataFrame, totals: DataFrame, similarity: float) -> DataFrame:

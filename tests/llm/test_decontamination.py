@@ -1,4 +1,9 @@
 import random
+import time
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 
 from matchloom.llm import decontamination as d
 from matchloom.llm import filters
@@ -123,3 +128,85 @@ def test_long_words_differ_at_their_ends(spark, table):
     item = " ".join(["x" * 5000 + c for c in "abcdefgh"])
     docs = [(1, item), (2, " ".join(["x" * 5000 + c for c in "bacdefhg"])), (3, " ".join([c + "x" * 5000 for c in "abcdefgh"])), (4, " ".join(["x" * 4999 + c + "x" for c in "abcdefgh"]))]
     assert {r.doc_id for r in d.contaminated(table(docs), bench(spark, [(1, item)])).collect()} == {1}
+
+
+def consistency(fillings: list[dict]) -> float:
+    """Share of the slot fillings with the document's most frequent value for the item's."""
+    values: dict[int, Counter] = defaultdict(Counter)
+    for f in fillings:
+        for k in range(d.WINDOW):
+            if f["types"] >> 2 * k & 3:
+                values[f["item_slots"][k]][f["slots"][k]] += 1
+    total = sum(c.total() for c in values.values())
+    return sum(max(c.values()) for c in values.values()) / total if total else 1.0
+
+
+def slow_alignment(fillings: list[dict], windows: int, found: int, similarity: float) -> tuple[int, float] | None:
+    """Every alignment over all occurrences, slot by slot."""
+    if not any(f["types"] for f in fillings):
+        return found, 1.0
+    fillings = sorted(fillings, key=lambda f: (f["types"].bit_count(), f["types"], f["slots"] or [], f["item_slots"] or []))
+    number = np.repeat(np.arange(len(fillings)), [len(f["shifts"]) for f in fillings])
+    shift = np.concatenate([f["shifts"] for f in fillings]).astype(np.int64)
+    window = np.unique([f["window"] for f in fillings], return_inverse=True)[1][number]
+    alignments, support = np.unique(np.unique(np.stack((shift, window)), axis=1)[0], return_counts=True)
+    best, seen = None, set()
+    for k in np.argsort(-support, kind="stable"):
+        far = np.abs(shift - alignments[k])
+        order = np.lexsort((number, far, window))
+        nearest = order[np.unique(window[order], return_index=True)[1]]
+        for chosen in (nearest, nearest[far[nearest] <= windows // 2]):
+            if len(chosen) / windows < similarity or (key := tuple(sorted(number[chosen]))) in seen:
+                continue
+            seen.add(key)
+            share = consistency([fillings[i] for i in key])
+            if share >= similarity and (best is None or (share, len(chosen)) > (best[1], best[0])):
+                best = len(chosen), share
+        if best == (found, 1.0):
+            break
+    return best
+
+
+def scattered(rng, windows, occurrences, copies):
+    """Fillings of an item whose copies, with own slot values, and stray windows stand in a document."""
+    types = [rng.choice([0, 1, 1 | 2 << 2, 3 << 4]) for _ in range(windows)]
+    item = [[rng.randrange(4) if types[w] >> 2 * k & 3 else 0 for k in range(d.WINDOW)] for w in range(windows)]
+    met = defaultdict(set)
+    places = [(w, at) for at in (rng.randrange(4000) for _ in range(copies)) for w in range(windows) if rng.random() < 0.95]
+    places += [(rng.randrange(windows), rng.randrange(4000)) for _ in range(occurrences)]
+    values = {}
+    for w, at in places:
+        said = tuple(values.setdefault((at, item[w][k]), rng.randrange(9)) if types[w] >> 2 * k & 3 and rng.random() < 0.97 else rng.randrange(9) for k in range(d.WINDOW))
+        met[w, said if types[w] else None].add(at)
+    return [{"window": w, "types": types[w], "slots": list(said) if said else None, "item_slots": item[w] if said else None, "shifts": sorted(at)} for (w, said), at in met.items()]
+
+
+def test_alignments_are_those_of_the_slow_version():
+    rng = random.Random(12)
+    passed = 0
+    for _ in range(400):
+        windows = rng.randrange(1, 12)
+        fillings = scattered(rng, windows, rng.randrange(0, 30), rng.randrange(0, 5))
+        if not fillings:
+            continue
+        found = len({f["window"] for f in fillings})
+        want = slow_alignment(fillings, windows, found, 0.8)
+        got = d.best_alignment(fillings, windows, found, 0.8)
+        assert (got is None) == (want is None) and (got is None or (got[0] == want[0] and got[1] == pytest.approx(want[1])))
+        passed += got is not None
+    assert passed > 50
+
+
+def test_a_list_of_exercises_takes_near_linear_time():
+    """One item again and again with random numbers; none of its copies agrees, so no early end."""
+    took = {}
+    for n in (1600, 3200, 12800):
+        rng = random.Random(n)
+        fillings = [
+            {"window": w, "types": 1 | 1 << 4, "slots": [rng.randrange(10**6) for _ in range(5)], "item_slots": [1, 0, 2 + w % 2, 0, 0], "shifts": [at * 40]}
+            for at in range(n) for w in range(26)
+        ]
+        began = time.process_time()
+        d.best_alignment(fillings, 26, 26, 0.8)
+        took[n] = time.process_time() - began
+    assert took[3200] < 3 * took[1600] + 0.2 and took[12800] < 12 * took[1600] + 0.5
