@@ -93,7 +93,17 @@ def scrub(text: Column) -> Column:
     """Remove invisible characters, bullets, addresses and placeholders; collapse; strip separators at the ends."""
     for (pattern, instead), signs in zip(SCRUBS, SCRUB_SIGNS, strict=True):
         text = once(text, _replaced(signs, "(?U)" + pattern, instead))
-    return F.btrim(collapse(text), F.lit(OUTER))
+    return stripped(collapse(text))
+
+
+def tidy(text: Column) -> Column:
+    """Whether scrubbing any part of the text could only strip its ends."""
+    return ~reduce(Column.__or__, [F.contains(text, F.lit(s)) for signs in SCRUB_SIGNS for s in signs]) & ~text.rlike(RUN)
+
+
+def stripped(text: Column) -> Column:
+    """What scrub leaves of a part of a tidy text."""
+    return F.btrim(text, F.lit(OUTER))
 
 
 def _replaced(signs: tuple[str, ...], pattern: str, instead: str):

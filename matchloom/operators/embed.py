@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 from typing import Protocol
 
 import numpy as np
@@ -40,13 +42,14 @@ class HashingEncoder:
         self.width = width
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.width))
-        for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", text.lower()):
-                h = word_hash(word)
-                row[(h >> 1) % self.width] += 1 if h & 1 else -1
-            if not row.any():
-                row[0] = 1
+        found = [re.findall(r"\w+", text.lower()) for text in texts]
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64)
+        hashes = np.array([word_hash(w) for w in numbers], dtype=np.int64)[ids] if len(ids) else ids
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in found])
+        points = np.bincount(row * self.width + (hashes >> 1) % self.width, np.where(hashes & 1, 1.0, -1.0), len(texts) * self.width)
+        out = points.reshape(len(texts), self.width)
+        out[~out.any(axis=1), 0] = 1
         return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
 
 

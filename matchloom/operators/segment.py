@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repeats import collapse_repeats_each, normalize
-from ..functions.text import ACTION, SPACE, casefold, content_words, once, scrub, stable_distinct, word_count
+from ..functions.text import ACTION, SPACE, casefold, content_words, scrub, stable_distinct, stripped, tidy, word_count
 from ..schemas import CATEGORIES
 
 #: Headings, compound names before their parts, and the categories of some.
@@ -54,7 +54,7 @@ LONG_UNIT, LEAST_WORDS = 55, 3
 DOT, CUT, MARK = "․", "﷐", "﷑"
 
 #: Full stops of abbreviations: behind the first letter of two, behind a further one, behind a known one.
-_SHIELDED = rf"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)|(?<=\b[A-Za-z]\.[A-Za-z])\.|(?<=\b(?:{ABBREVIATIONS}))\."
+_SHIELDED = rf"\.(?:(?<=\b[A-Za-z]\.)(?=[A-Za-z]\.)|(?<=\b[A-Za-z]\.[A-Za-z]\.)|(?<=\b(?:{ABBREVIATIONS})\.))"
 _SENTENCE = rf"(?<=[.!?]){SPACE}+(?=[A-Z])|(?<=[a-z][.!?])(?=[A-Z])|[\r\n]+"
 
 
@@ -65,12 +65,17 @@ def _heading_pattern() -> str:
         before = f"(?<!(?:{NOT_AFTER[name]}) )" if name in NOT_AFTER else ""
         behind = f"(?! (?:{NOT_BEFORE[name]}))" if name in NOT_BEFORE else ""
         names.append(f"{before}{name}\\b{behind}")
-    return rf"\b({'|'.join(names)})"
+    return rf"\b(?=[A-Z])({'|'.join(names)})"
 
 
 _HEADING = _heading_pattern()
 
 
+def cut_at(text: Column, pattern: str) -> Column:
+    """Parts between matches. Replacing keeps the compiled pattern, which splitting by a pattern doesn't."""
+    return F.split(F.regexp_replace(text, pattern, CUT), CUT)
+
+
 def _cut_each(texts: Column, cut) -> Column:
     return F.flatten(F.transform(texts, cut))
 
@@ -83,13 +88,13 @@ def outside_parentheses(text: Column) -> Column:
         level = F.when(t == "(", s["level"] + 1).when(t == ")", F.greatest(s["level"] - 1, F.lit(0))).otherwise(s["level"])
         return state(level, F.concat(s["out"], F.array(F.when(s["level"] == 0, F.regexp_replace(t, "[,;]", CUT)).otherwise(t))))
 
-    tokens = F.split(text, r"(?<=[()])|(?=[()])")
+    tokens = cut_at(text, r"(?<=[()])|(?=[()])")
     cut = F.aggregate(tokens, state(F.lit(0), F.array().cast("array<string>")), step, lambda s: F.array_join(s["out"], ""))
-    return F.when(F.contains(text, F.lit("(")), F.split(cut, CUT)).otherwise(F.split(text, "[,;]"))
+    return F.when(F.contains(text, F.lit("(")), F.split(cut, CUT)).otherwise(cut_at(text, "[,;]"))
 
 
 def _skills(sentence: Column) -> Column:
-    return _cut_each(outside_parentheses(sentence), lambda part: F.split(part, rf"{SPACE}+(?=(?:{SKILL_LEADS})\b)"))
+    return _cut_each(outside_parentheses(sentence), lambda part: cut_at(part, rf"{SPACE}+(?=[A-Z])(?=(?:{SKILL_LEADS})\b)"))
 
 
 def _courses(sentence: Column) -> Column:
@@ -97,7 +102,7 @@ def _courses(sentence: Column) -> Column:
 
 
 def _statements(sentence: Column) -> Column:
-    return F.when(word_count(sentence) > LONG_UNIT, F.split(sentence, rf"{SPACE}+(?={ACTION}\b)")).otherwise(F.array(sentence))
+    return F.when(word_count(sentence) > LONG_UNIT, cut_at(sentence, rf"{SPACE}+(?=[A-Z])(?={ACTION}\b)")).otherwise(F.array(sentence))
 
 
 #: How a category's sentences are cut further.
@@ -105,7 +110,7 @@ CUTS = {"Skills": _skills, "Education": _courses}
 
 
 def sentences(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(text, _SHIELDED, DOT), _SENTENCE), lambda s: F.replace(s, F.lit(DOT), F.lit(".")))
+    return F.transform(cut_at(F.regexp_replace(text, _SHIELDED, DOT), _SENTENCE), lambda s: F.replace(s, F.lit(DOT), F.lit(".")))
 
 
 def pieces(text: Column, category: str) -> Column:
@@ -113,17 +118,17 @@ def pieces(text: Column, category: str) -> Column:
     return _cut_each(sentences(text), CUTS.get(category, _statements))
 
 
-def with_distinct(rows: DataFrame, lists: dict[str, Column], of: str = "__units") -> DataFrame:
-    """rows with a column a list: its units normalised, the first of each key. Scrubbing again takes what repeats had kept apart."""
-    scrubbed = F.array(*[F.transform(x, scrub) for x in lists.values()])
-    shortened = rows.withColumn(of, scrubbed).withColumn(of, collapse_repeats_each(F.col(of)))
-    done = {name: stable_distinct(F.transform(F.col(of)[i], scrub)) for i, name in enumerate(lists)}
-    return shortened.withColumns(done).drop(of)
+def with_distinct(rows: DataFrame, text: Column, lists: dict[str, Column]) -> DataFrame:
+    """rows with a column a list of the text's units, normalised, the first of each key. Scrubbing again takes what repeats had kept apart."""
+    clean = lambda u: F.when(F.col("__tidy"), stripped(u)).otherwise(scrub(u))
+    marked = rows.withColumn("__tidy", tidy(text))
+    shortened = marked.withColumn("__units", F.array(*[F.transform(x, clean) for x in lists.values()])).withColumn("__units", collapse_repeats_each(F.col("__units")))
+    return shortened.withColumns({name: stable_distinct(F.transform(F.col("__units")[i], clean)) for i, name in enumerate(lists)}).drop("__units", "__tidy")
 
 
 def with_units(rows: DataFrame, text: Column) -> DataFrame:
     """rows with education, experience, skills and summary: the text's units as each category would cut it."""
-    return with_distinct(rows.withColumn("__text", F.coalesce(text, F.lit(""))), {c.lower(): pieces(F.col("__text"), c) for c in CATEGORIES}).drop("__text")
+    return with_distinct(rows.withColumn("__text", F.coalesce(text, F.lit(""))), F.col("__text"), {c.lower(): pieces(F.col("__text"), c) for c in CATEGORIES}).drop("__text")
 
 
 def stretches(text: Column) -> Column:
@@ -164,6 +169,6 @@ def with_sections(rows: DataFrame, text: Column) -> DataFrame:
     # Any unit of experience or summary counts; only where neither has any the whole text may be needed.
     needed = F.size(F.filter("__found", lambda x: x["category"].isin("Experience", "Summary") & x["text"].rlike(r"[\p{L}\p{N}_]"))) == 0
     lists["__else"] = F.when(needed, pieces(F.col("whole"), "Experience")).otherwise(F.array().cast("array<string>"))
-    done = with_distinct(marked, lists).withColumns({c.lower(): F.filter(c.lower(), counts) for c, counts in COUNTS.items()})
+    done = with_distinct(marked, F.col("whole"), lists).withColumns({c.lower(): F.filter(c.lower(), counts) for c, counts in COUNTS.items()})
     empty = sum((F.size(c.lower()) for c in CATEGORIES), F.lit(0)) == 0
     return done.withColumn("title", _title(F.col("__found"))).withColumn("experience", F.when(empty, F.col("__else")).otherwise(F.col("experience"))).drop("__found", "__else")

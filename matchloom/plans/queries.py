@@ -186,15 +186,20 @@ def set_measures(spark: SparkSession, sf: str) -> DataFrame:
 def stable_distinct_units(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each document, the first of each key in order."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), text.collapse)
-    units = table(spark, sf, "documents").select("doc_id", text.stable_distinct(lines).alias("u"))
-    return units.where(F.size("u") > 0).select("doc_id", F.size("u").cast("long").alias("units"), F.md5(F.array_join("u", "|")).alias("text"))
+    told = lambda u: F.when(F.size(u) > 0, F.array(F.struct(F.size(u).cast("long").alias("units"), F.md5(F.array_join(u, "|")).alias("text"))))
+    return table(spark, sf, "documents").select("doc_id", F.inline(text.once(text.stable_distinct(lines), told)))  # a filter would compute the units again
 
 
 def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
-    turns = segment.with_units(table(spark, sf, "conversations").select("conv_id", "turn", "text"), F.col("text"))
+    turns = segment.with_units(_spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id"), F.col("text"))
     return turns.select("conv_id", "turn", *[F.size(c).alias(f"{c}_units") for c in ("experience", "education", "skills")])
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, where few bytes stand for much work and a scan or adaptive execution would make one task of them."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return table(spark, sf, "customer").join(nations, "c_nationkey")
@@ -216,7 +221,7 @@ def section_extract(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("Problem Solving Skills were used."), F.upper(F.get(statements, 0)), F.when(F.col("c_custkey") % 3 == 0, F.lit(long_list)), F.lit("Education Bachelor of Arts :"), n,
         F.lit("College; I like it; M.Ed : Library Studies St. Olga; BA Skills Excel (tables, charts), SQL; etc,"), F.col("c_mktsegment"), F.lit("trade"),
     )
-    found = segment.with_sections(_clerks(spark, sf).select("c_custkey", resume.alias("resume")), F.col("resume"))
+    found = segment.with_sections(_spread(_clerks(spark, sf).select("c_custkey", resume.alias("resume")), "c_custkey"), F.col("resume"))
     return found.select("c_custkey", "title", *[F.array_join(c, " | ").alias(c) for c in ("education", "experience", "skills", "summary")])
 
 
@@ -246,7 +251,7 @@ def budget_select_catalog(spark: SparkSession, sf: str) -> DataFrame:
     tasks = tasks.unionByName(clerks.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("key"), F.lit(-1).cast("long").alias("pos"), F.lit(f"{many}.").alias("text"), F.lit(True).alias("core"), F.lit(99.0).alias("support")))
     skills = orders.select("key", F.col("o.p").alias("name")).distinct().withColumn("score", F.substring("name", 1, 1).cast("double"))
     skills = skills.unionByName(clerks.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key"), F.lit(many).alias("name"), F.lit(9.0).alias("score")))
-    return select_catalog.choose(catalog.with_children(parents, skills, tasks, "key"), PatternCounter(), "key")
+    return select_catalog.choose(_spread(catalog.with_children(parents, skills, tasks, "key"), "key"), PatternCounter(), "key")
 
 
 def budget_select_talks(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +271,7 @@ def budget_select_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
     interests = F.when(F.col("c_custkey") % 50 == 0, " ".join(f"aim{k}" for k in range(300))).when(F.col("c_custkey") % 50 == 1, "").otherwise(F.concat(F.lit("I like to find out why figures disagree in "), n, F.lit(".")))
     people = _customers(spark, sf).select(F.col("c_custkey").alias("user_id"), resume.alias("resume"), interests.alias("interests"))
-    return select_person.choose(people, PatternCounter())
+    return select_person.choose(_spread(people, "user_id"), PatternCounter())
 
 
 def skill_five_number(spark: SparkSession, sf: str) -> DataFrame:
