@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from matchloom.llm import common, packing, token_files, tokens
+from matchloom.sources import stores
 
 WORD, BYTE = (tokens.vocabulary(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -89,7 +90,7 @@ def test_damaged_shard_is_refused(spark, table, tmp_path):
 
 
 def test_a_folder_of_one_machine_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(common, "is_local", lambda session: False)
+    monkeypatch.setattr(stores, "is_local", lambda session: False)
     for good in ("s3a://bucket/ids", "file:///mnt/ids", "/" + common.shared_dir(spark).removeprefix("file:").lstrip("/") + "/ids"):
         assert common.checked_folder(spark, good) == good
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
