@@ -8,7 +8,8 @@ sequence in its order, other identifiers between them allowed. A rule that names
 licence hides the rules that it contains (``hides``).
 
 Wrapped licence texts are read a second way, with single line ends taken as blanks, so that
-a sentence over several lines is known too; a line of comment marks alone is a blank one. The
+a sentence over several lines is known too; a line of comment marks alone is a blank one, and a copyright notice, which
+has a sign or a year, ends with its line. Line ends of all systems count, dnl and rem before a line don't. The
 identifiers of both readings form one sequence in the order of their places (the number of characters
 other than white space before them), an identifier once a place.
 
@@ -23,6 +24,8 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +94,22 @@ def gnu_sentences() -> dict[str, str]:
     return found
 
 
-SENTENCES |= gnu_sentences()
+#: SPDX identifiers and what they are called here; those of the GNU licences may end in "only" or "or later".
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache", "GPL-3.0": "gpl3", "GPL-2.0": "gpl2", "LGPL-2.1": "lgpl2", "LGPL-3.0": "lgpl3", "AGPL-3.0": "agpl3", "BSD-3-Clause": "bsd3", "BSD-2-Clause": "bsd2", "MPL-2.0": "mpl",
+    "ISC": "isc", "BSL-1.0": "boost", "Unlicense": "unlicense", "CC0-1.0": "cc0", "Zlib": "zlib", "0BSD": "bsd0", "EPL-2.0": "epl2", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc",
+}
+
+
+def spdx_sentences() -> dict[str, str]:
+    found = {}
+    for name, short in SPDX.items():
+        plain = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower())
+        found |= {f"{plain}{end}": f"{short}-ref" for end in (("", " only", " or later") if "GPL" in name else ("",))}
+    return found
+
+
+SENTENCES |= gnu_sentences() | spdx_sentences()
 #: Parts of words, of which every known sentence holds at least one.
 ANCHORS = ("licens", "permi", "copyright", "redistribution", "warranty", "reserved", "june", "january")
 #: Fixed values: (licence, identifiers in order, licences that it hides).
@@ -118,9 +136,20 @@ RULES = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], []),
     ("MPL-2.0", ["mpl-ref"], []),
     ("ISC", ["isc-grant"], []),
+    ("ISC", ["isc-ref"], []),
+    ("BSD-2-Clause", ["bsd2-ref"], []),
+    ("BSL-1.0", ["boost-ref"], []),
+    ("Unlicense", ["unlicense-ref"], []),
+    ("CC0-1.0", ["cc0-ref"], []),
+    ("Zlib", ["zlib-ref"], []),
+    ("0BSD", ["bsd0-ref"], []),
+    ("EPL-2.0", ["epl2-ref"], []),
     ("Proprietary", ["all-rights"], []),
 ]
 CUT = r"([.!?;])[ \t\r\n]+"
+#: Line ends of other systems, comment words that open a line, and copyright notices, which end a sentence where they end a line.
+RETURNS, WORDS = r"\r\n?", r"(?mid)^[ \t]*(?:dnl|rem)(?:[ \t]+|$)"
+NOTICE = r"(?mid)^[ \t/*#;%!<>\"'-]*(?:copyright\b[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9][0-9]\b)|\(c\)|©)[^\n]*$"
 MARKS = r"(?md)^[ \t]*[/*#;%!<>\"'-]+[ \t\r]*$"
 #: Whoever is named counts as the copyright holder.
 HOLDER = r"^neither the name of .+ nor the names of (?:its|the|their) contributors", "neither the name of the copyright holder nor the names of its contributors"
@@ -143,7 +172,7 @@ def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses, comma-joined."""
     anchored = F.col("text").rlike("(?i)" + "|".join(ANCHORS))
     nothing = F.array().cast("array<string>")
-    unmarked = F.regexp_replace("text", MARKS, "")
+    unmarked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", RETURNS, "\n"), WORDS, ""), MARKS, ""), NOTICE, "$0\n")
     unwrapped = F.regexp_replace(unmarked, r"([^\n])\n([^\n])", "$1 $2")
     both = F.array_sort(F.array_distinct(F.concat(_identifiers(unmarked), _identifiers(unwrapped))))
     rows = (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import secret_scan
-from .license_scan import HOLDER, MARKS, RULES, SENTENCES
+from .license_scan import HOLDER, MARKS, NOTICE, RETURNS, RULES, SENTENCES, WORDS
 from .url_filter import LISTED
 from .url_filter import RULES as URL_RULES
 
@@ -63,6 +63,9 @@ def license_sql() -> str:
         f"(SELECT list_transform(pieces, lambda x: {values}[list_position({keys}, {normal})]) AS ids, "
         "list_transform(pieces, lambda x: length(regexp_replace(x, '\\s+', '', 'g'))) AS sizes FROM (SELECT {} AS pieces)))"
     )
+    clean = "coalesce(text, '')"
+    for pattern, instead in ((RETURNS, "chr(10)"), (WORDS, "''"), (MARKS, "''"), (NOTICE, "'\\0' || chr(10)")):
+        clean = f"regexp_replace({clean}, {_q(pattern.replace('(?md)', '(?m)').replace('(?mid)', '(?mi)'))}, {instead}, 'g')"
     lines, wrapped = found.format(cut.format("text")), found.format(cut.format("regexp_replace(text, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')"))
     fits = ", ".join(
         f"CASE WHEN regexp_matches(seq, {_q('.*'.join(f' {i} ' for i in r))}) THEN {_q(name)} END" for name, r, _ in RULES
@@ -72,7 +75,7 @@ def license_sql() -> str:
     )
     names = "[" + ", ".join(_q(n) for n in dict.fromkeys(name for name, _, _ in RULES)) + "]"
     return f"""
-WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_q(MARKS.replace("(?md)", "(?m)"))}, '', 'g') AS text FROM documents),
+WITH d AS (SELECT doc_id, {clean} AS text FROM documents),
 b AS (SELECT doc_id, list_transform(list_sort(list_distinct(list_concat({lines}, {wrapped}))), lambda x: x.id) AS ids FROM d),
 c AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS seq FROM b),
 e AS (SELECT doc_id, ids, [{fits}] AS fits FROM c),

@@ -119,3 +119,21 @@ def test_thousands_of_known_sentences(table):
     rows = [(1, f"{grant}.\n" * 2000 + f"{notice}.\n" * 2000), (2, f"{notice}.\n{grant}.\n" * 500 + MIT), (3, "license " * 100_000)]
     got = {r.doc_id: (r.n_sentences, r.licenses) for r in scan_licenses(table(rows)).collect()}
     assert got[1] == (4000, "") and got[2][1] == "MIT" and got[3] == (0, "")
+
+
+def test_notices_line_ends_and_comment_words_hide_nothing(table):
+    """A copyright notice right above the grant, line ends of other systems, m4 and batch comments; SPDX names."""
+    notice = "Copyright (c) 2020 Jane Doe"
+    texts = [f"{notice}\n{MIT}", f"{notice}. All rights kept.\n(c) Kim Poe\n{MIT}", f"# {notice}\n" + "\n".join(f"# {x}" for x in MIT.split("\n")), f"© Doe 2020\n{MIT}".replace("\n", "\r")]
+    texts += [f"{notice}\r\n" + MIT.replace("\n", "\r\n"), "\n".join(f"dnl {x}" if x else "dnl" for x in [notice, *MIT.split("\n")]), "\n".join(f"REM {x}" for x in MIT.split("\n"))]
+    # A wrapped sentence that goes on with these words is no notice.
+    texts.append(MIT.replace("The above copyright notice and", "The above\ncopyright notice and").replace("shall be included in all\ncopies", "shall be included in all copies"))
+    spdx = {"GPL-2.0-or-later": "GPL-2.0-reference", "GPL-3.0-only": "GPL-3.0-reference", "LGPL-2.1": "LGPL-2.1-reference", "BSL-1.0": "BSL-1.0", "Unlicense": "Unlicense", "CC0-1.0": "CC0-1.0", "0BSD": "0BSD", "ISC": "ISC", "BSD-2-Clause": "BSD-2-Clause"}
+    rows = list(enumerate(texts)) + [(100 + n, f"// SPDX-License-Identifier: {name}\ncode();") for n, name in enumerate(spdx)]
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in scan_licenses(table(rows)).collect()}
+    assert [got[k][2] for k in range(len(texts))] == ["MIT"] * len(texts)
+    assert [got[100 + n][2] for n in range(len(spdx))] == list(spdx.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in con.execute(license_sql()).fetchall()} == got
