@@ -13,6 +13,10 @@ has a sign or a year, ends with its line. Line ends of all systems count, dnl an
 identifiers of both readings form one sequence in the order of their places (the number of characters
 other than white space before them), an identifier once a place.
 
+A sentence that the table lacks but that opens with an SPDX tag, or says that something is licensed, released or
+distributed under something (``PREFIX``), is an expression: what follows is split at "or", "and" and "with", and each part
+looked up in a table of licence names (``NAMED``). It stands for the identifiers of all known parts. An SPDX tag's line ends its sentence.
+
 Only texts that hold one of ANCHORS go through this. An anchor has no blank in it and stands in one word
 of each known sentence, so it stands unbroken in every text that has the sentence, however that is
 spaced or wrapped: the gate only saves work. No row leaves its task: there is no shuffle.
@@ -109,9 +113,58 @@ def spdx_sentences() -> dict[str, str]:
     return found
 
 
+#: Further SPDX identifiers, each a licence of its own that only its name tells of.
+MORE = [
+    "AFL-3.0", "Apache-1.1", "Artistic-2.0", "BlueOak-1.0.0", "BSD-4-Clause", "CC-BY-3.0", "CC-BY-SA-3.0", "CDDL-1.0", "CECILL-2.1", "curl",
+    "EPL-1.0", "EUPL-1.2", "LPPL-1.3c", "MIT-0", "MPL-1.1", "MS-PL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1",
+    "OpenSSL", "OSL-3.0", "PHP-3.01", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "UPL-1.0", "Vim", "WTFPL", "X11",
+]
+#: What licences are called in sentences, without "the", "GNU" in front and "license" behind.
+CALLED = {
+    "apache": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license v2", "apache v2", "apache 2"],
+    "mit": ["expat", "mit expat", "mit x11"],
+    "bsd3": ["3 clause bsd", "bsd 3 clause", "new bsd", "modified bsd", "revised bsd"],
+    "bsd2": ["2 clause bsd", "simplified bsd", "freebsd"],
+    "mpl": ["mozilla public license version 2 0", "mozilla public license v2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mplv2"],
+    "isc": ["internet systems consortium"],
+    "boost": ["boost software license version 1 0", "boost software license 1 0", "boost software"],
+    "cc0": ["cc0", "creative commons zero"],
+    "epl2": ["eclipse public license version 2 0", "eclipse public license v2 0", "eclipse public license 2 0"],
+    "cc-by": ["creative commons attribution 4 0 international", "creative commons attribution 4 0"],
+    "cc-by-sa": ["creative commons attribution sharealike 4 0 international", "creative commons attribution sharealike 4 0"],
+    "cc-by-nc": ["creative commons attribution noncommercial 4 0 international", "creative commons attribution noncommercial 4 0"],
+}
+#: The GNU licences' versions.
+VERSIONS = {"gpl": ("2", "2 0", "3", "3 0"), "lgpl": ("2 1", "3", "3 0"), "agpl": ("3", "3 0")}
+
+
+def plain(name: str) -> str:
+    """A name in normalised form."""
+    return re.sub("[^a-z0-9]+", " ", name.lower())
+
+
+def license_names() -> dict[str, str]:
+    """Identifiers by the names that an expression may hold."""
+    found = {f"{plain(name)}{end}": f"{short}-ref" for name, short in SPDX.items() for end in (("", " only") if "GPL" in name else ("",))}
+    found |= {plain(name): f"{plain(name).replace(' ', '-')}-ref" for name in MORE}
+    found |= {called: f"{short}-ref" for short, names in CALLED.items() for called in names}
+    for full, short in GNU.items():
+        for v in VERSIONS[short]:
+            forms = [f"{title}{sign}{v}" for title in (full.removeprefix("gnu "), short) for sign in (" ", " v", " version ")] + [f"{short}v{v}"]
+            found |= dict.fromkeys(forms, f"{short}{v[0]}-ref")
+    return found
+
+
 SENTENCES |= gnu_sentences() | spdx_sentences()
-#: Parts of words, of which every known sentence holds at least one.
-ANCHORS = ("licens", "permi", "copyright", "redistribution", "warranty", "reserved", "june", "january")
+NAMED = license_names()
+TAG = "spdx license identifier "
+#: What opens an expression, what it may say of later versions, between its parts, and around a name. No group repeats.
+PREFIX = f"^(?:{TAG}|(?:(?:this|the|all) [a-z]+ (?:[a-z]+ )?(?:is|are) |it is )?(?:dual )?(?:licensed|released|distributed|published|available|made available) under )"
+LATER = " or (?:at your option )?(?:any )?later(?: version)?"
+BETWEEN = " (?:or|and|with) "
+LEAD, TAIL = "^(?:either )?(?:of )?(?:the |an? )?(?:terms of )?(?:the |an? )?(?:gnu )?", "(?: the)? license$"
+#: Parts of words, of which every known sentence and every expression holds at least one.
+ANCHORS = ("licens", "permi", "copyright", "redistribution", "warranty", "reserved", "june", "january", "licenc", "released", "distributed", "published", "available")
 #: Fixed values: (licence, identifiers in order, licences that it hides).
 RULES = [
     ("Apache-2.0", ["apache-ref", "apache-file", "apache-copy", "apache-basis", "apache-limits"], ["Apache-2.0-reference"]),
@@ -145,11 +198,13 @@ RULES = [
     ("0BSD", ["bsd0-ref"], []),
     ("EPL-2.0", ["epl2-ref"], []),
     ("Proprietary", ["all-rights"], []),
+    *[(name, [NAMED[plain(name)]], []) for name in MORE],
 ]
 CUT = r"([.!?;])[ \t\r\n]+"
 #: Line ends of other systems, comment words that open a line, and copyright notices, which end a sentence where they end a line.
 RETURNS, WORDS = r"\r\n?", r"(?mid)^[ \t]*(?:dnl|rem)(?:[ \t]+|$)"
 NOTICE = r"(?mid)^[ \t/*#;%!<>\"'-]*(?:copyright\b[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9][0-9]\b)|\(c\)|©)[^\n]*$"
+TAGGED = r"(?mid)^[^\n]*spdx-license-identifier[ \t]*:[^\n]*$"
 MARKS = r"(?md)^[ \t]*[/*#;%!<>\"'-]+[ \t\r]*$"
 #: Whoever is named counts as the copyright holder.
 HOLDER = r"^neither the name of .+ nor the names of (?:its|the|their) contributors", "neither the name of the copyright holder nor the names of its contributors"
@@ -162,17 +217,27 @@ def _identifiers(text: Column) -> Column:
     """(place, identifier) of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     pieces = F.split(F.regexp_replace(F.lower(text), CUT, "$1\n"), "\n")
-    normal = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), *map(F.lit, HOLDER))
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    spelled = lambda s: F.replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), F.lit("licence"), F.lit("license"))
+    normal = lambda s: F.regexp_replace(spelled(s), *map(F.lit, HOLDER))
+    name = lambda part: F.regexp_replace(F.regexp_replace(part, LEAD, ""), TAIL, "")
+    parts = lambda s: F.split(F.regexp_replace(F.regexp_replace(s, PREFIX, ""), LATER, ""), BETWEEN)
+    joined = lambda s: F.array_join(F.transform(parts(s), lambda part: F.try_element_at(named, name(part))), ",")
+    expressed = lambda s: F.when(s.rlike(PREFIX), F.nullif(joined(s), F.lit("")))
+    known_as = lambda piece: bound(normal(piece), lambda s: F.coalesce(F.try_element_at(known, s), expressed(s)))
     move = lambda at, piece: at + F.char_length(F.regexp_replace(piece, r"\s+", ""))
-    one = lambda at, piece: bound(F.try_element_at(known, normal(piece)), lambda i: F.when(i.isNotNull(), F.struct(at.alias("at"), i.alias("id"))))
-    return scanned(pieces, F.lit(0), move, one, FOUND)
+    one = lambda at, piece: bound(known_as(piece), lambda i: F.when(i.isNotNull(), F.struct(at.alias("at"), i.alias("id"))))
+    each = lambda x: F.transform(F.split(x["id"], ","), lambda i: F.struct(x["at"].alias("at"), i.alias("id")))
+    return F.flatten(F.transform(scanned(pieces, F.lit(0), move, one, FOUND), each))
 
 
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses, comma-joined."""
     anchored = F.col("text").rlike("(?i)" + "|".join(ANCHORS))
     nothing = F.array().cast("array<string>")
-    unmarked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", RETURNS, "\n"), WORDS, ""), MARKS, ""), NOTICE, "$0\n")
+    unmarked = F.col("text")
+    for pattern, instead in ((RETURNS, "\n"), (WORDS, ""), (MARKS, ""), (NOTICE, "$0\n"), (TAGGED, "$0\n")):
+        unmarked = F.regexp_replace(unmarked, pattern, instead)
     unwrapped = F.regexp_replace(unmarked, r"([^\n])\n([^\n])", "$1 $2")
     both = F.array_sort(F.array_distinct(F.concat(_identifiers(unmarked), _identifiers(unwrapped))))
     rows = (

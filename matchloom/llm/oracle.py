@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import secret_scan
-from .license_scan import HOLDER, MARKS, NOTICE, RETURNS, RULES, SENTENCES, WORDS
+from .license_scan import BETWEEN, HOLDER, LATER, LEAD, MARKS, NAMED, NOTICE, PREFIX, RETURNS, RULES, SENTENCES, TAGGED, TAIL, WORDS
 from .url_filter import LISTED
 from .url_filter import RULES as URL_RULES
 
@@ -55,16 +55,20 @@ def license_sql() -> str:
     keys = "[" + ", ".join(map(_q, SENTENCES)) + "]"
     values = "[" + ", ".join(map(_q, SENTENCES.values())) + "]"
     holder, named = map(_q, HOLDER)
-    normal = f"regexp_replace(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), {holder}, {named})"
+    normal = f"regexp_replace(replace(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), 'licence', 'license'), {holder}, {named})"
+    names, ids = ("[" + ", ".join(map(_q, x)) + "]" for x in (NAMED, NAMED.values()))
+    parts = f"string_split_regex(regexp_replace(regexp_replace(s, {_q(PREFIX)}, ''), {_q(LATER)}, '', 'g'), {_q(BETWEEN)})"
+    part_ids = f"list_transform({parts}, lambda p: {ids}[list_position({names}, regexp_replace(regexp_replace(p, {_q(LEAD)}, ''), {_q(TAIL)}, ''))])"
+    known = f"CASE WHEN list_contains({keys}, s) THEN [{values}[list_position({keys}, s)]] WHEN regexp_matches(s, {_q(PREFIX)}) THEN list_filter({part_ids}, lambda p: p IS NOT NULL) ELSE [] END"
     cut = "string_split(regexp_replace(lower({}), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))"
     place = "CAST(coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT)"
     found = (
-        f"(SELECT list_transform(list_filter(range(1, len(ids) + 1), lambda i: ids[i] IS NOT NULL), lambda i: {{{{'at': {place}, 'id': ids[i]}}}}) FROM "
-        f"(SELECT list_transform(pieces, lambda x: {values}[list_position({keys}, {normal})]) AS ids, "
+        f"(SELECT flatten(list_transform(range(1, len(ids) + 1), lambda i: list_transform(ids[i], lambda z: {{{{'at': {place}, 'id': z}}}}))) FROM "
+        f"(SELECT list_transform(list_transform(pieces, lambda x: {normal}), lambda s: {known}) AS ids, "
         "list_transform(pieces, lambda x: length(regexp_replace(x, '\\s+', '', 'g'))) AS sizes FROM (SELECT {} AS pieces)))"
     )
     clean = "coalesce(text, '')"
-    for pattern, instead in ((RETURNS, "chr(10)"), (WORDS, "''"), (MARKS, "''"), (NOTICE, "'\\0' || chr(10)")):
+    for pattern, instead in ((RETURNS, "chr(10)"), (WORDS, "''"), (MARKS, "''"), (NOTICE, "'\\0' || chr(10)"), (TAGGED, "'\\0' || chr(10)")):
         clean = f"regexp_replace({clean}, {_q(pattern.replace('(?md)', '(?m)').replace('(?mid)', '(?mi)'))}, {instead}, 'g')"
     lines, wrapped = found.format(cut.format("text")), found.format(cut.format("regexp_replace(text, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')"))
     fits = ", ".join(

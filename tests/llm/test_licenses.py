@@ -2,7 +2,7 @@ import random
 
 import duckdb
 
-from matchloom.llm.license_scan import ANCHORS, RULES, SENTENCES, scan_licenses
+from matchloom.llm.license_scan import ANCHORS, NAMED, RULES, SENTENCES, scan_licenses
 from matchloom.llm.oracle import license_sql
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -38,7 +38,7 @@ def test_sentences_and_rules(table, odd):
 
 def test_tables_agree():
     assert all(any(a in word for a in ANCHORS for word in s.split()) for s in SENTENCES)
-    assert {i for _, ids, _ in RULES for i in ids} <= set(SENTENCES.values())
+    assert {i for _, ids, _ in RULES for i in ids} <= {*SENTENCES.values(), *NAMED.values()}
     assert {h for _, _, hides in RULES for h in hides} <= {name for name, _, _ in RULES}
 
 
@@ -137,3 +137,41 @@ def test_notices_line_ends_and_comment_words_hide_nothing(table):
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert {r[0]: tuple(r[1:]) for r in con.execute(license_sql()).fetchall()} == got
+
+
+def test_expressions_name_every_known_part(table):
+    """SPDX expressions and sentences of the form "released under ...", against the SQL as well."""
+    want = {
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;": "Apache-2.0-reference,MIT-reference",
+        "/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause */\nint x = 1;": "GPL-2.0-reference,BSD-3-Clause",
+        "SPDX-License-Identifier: Artistic-2.0\nnext line": "Artistic-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-reference",
+        "SPDX-License-Identifier: LicenseRef-Own OR Zlib": "Zlib",
+        "SPDX-License-Identifier: LicenseRef-Own": "",
+        "This software is released under the MIT License.": "MIT-reference",
+        "Distributed under the MIT license. See LICENSE.": "MIT-reference",
+        "Licensed under the GPLv3.": "GPL-3.0-reference",
+        "released\n// under GPL-2.0": "GPL-2.0-reference",
+        "The source code is made available under the terms of the GNU Lesser General Public License v2.1 or any later version.": "LGPL-2.1-reference",
+        "Licensed under either of the Apache License, Version 2.0 or the MIT license": "Apache-2.0-reference,MIT-reference",
+        "It is dual licensed under the Mozilla Public Licence 2.0 and the 3-Clause BSD Licence!": "BSD-3-Clause,MPL-2.0",
+        "This project is published under the Unlicense.": "Unlicense",
+        "Available under CC0": "CC0-1.0",
+        "This software is not released under the MIT License.": "",
+        "Released under the pressure of time.": "",
+        "Distributed under Boost Software License, Version 1.0": "BSL-1.0",
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in scan_licenses(table(rows)).collect()}
+    assert {t: got[k][2] for k, t in rows} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in con.execute(license_sql()).fetchall()} == got
+
+
+def test_every_name_has_a_rule_and_long_expressions_end(table):
+    assert set(NAMED.values()) <= {i for _, ids, _ in RULES for i in ids}
+    rows = [(1, "licensed under " + "the of either " * 50_000), (2, "SPDX-License-Identifier: " + "MIT OR " * 20_000 + "ISC")]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in scan_licenses(table(rows)).collect()}
+    assert got == {1: (0, ""), 2: (2, "MIT-reference,ISC")}
