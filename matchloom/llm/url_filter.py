@@ -8,6 +8,7 @@ an entry has, and one of the path lengths that occur. The keys pass a blocked Bl
 which removes the false positives. Of several fitting entries the longest wins.
 
 The filter is built where the list is: each key's block bits are OR-ed by ``bit_or`` in a
+group-by. Rows without a possible hit, the bulk, never leave their task: only the others go through the join and the
 group-by. Only filters of at most ``max_blocks`` 64-bit words are sent to the executors
 (parameter, 1,048,576: 8 MB); a larger list keeps that size and merely passes more false
 positives on to the join, whose strategy Spark chooses by size.
@@ -105,7 +106,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_block
         words[row.block] = row.bits
     filter_words = spark.sparkContext.broadcast(words)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
     def possible(keys: pd.Series, hashes: pd.Series) -> pd.Series:
         import numpy as np
 
@@ -122,6 +122,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_block
         ends = np.cumsum(sizes)
         return pd.Series([[k for k, ok in zip(ks, hit[e - s : e], strict=True) if ok] for ks, s, e in zip(keys, sizes, ends, strict=True)])
 
+    #: Called nondeterministic, so that the filters below its result don't run it once more.
+    possible = F.pandas_udf(possible, T.ArrayType(T.StringType())).asNondeterministic()
+
     def keys(tier: int, host: str, path: str) -> Column:
         """Every pair of a host suffix and a path prefix that an entry of the tier may be."""
         lengths, labels = shape.get(tier, ([], 1))
@@ -141,16 +144,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_block
         .withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
         .select("row", "page_id", "host", "path", possible("keys", "hashes").alias("hits"))
     )
-    #: A row without hits gets a key of its own, which no entry has: null keys would meet in one task.
-    asked = parsed.select("row", "page_id", "host", "path", F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.concat(F.lit(" "), F.col("row").cast("string"))))).alias("key"))
+    hit = F.size("hits") > 0
+    allowed = parsed.where(~hit).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    asked = parsed.where(hit).select("row", "page_id", "host", "path", F.explode("hits").alias("key"))
     found = F.when(F.col("said").isNotNull(), F.struct("tier", F.length("entry").alias("n"), "entry", "said"))
     ruled = F.col("found.tier") == 1
-    return (
+    judged = (
         asked.join(entries, "key", "left")
         .groupBy("row", "page_id", "host", "path")
         .agg(F.max(found).alias("found"))
         .select("page_id", "host", "path", F.when(ruled, F.col("found.entry")).alias("rule"), F.coalesce("found.said", F.lit("allow")).alias("verdict"))
     )
+    return allowed.unionByName(judged)
 
 
 def production_lists(spark: SparkSession, listed: str | None = None) -> tuple[DataFrame, DataFrame]:
