@@ -108,8 +108,8 @@ def secret_sql() -> str:
     fits = lambda p: f"regexp_matches(c.v, {_q(p)})"
     shapes = " OR ".join("(" + " AND ".join([*map(fits, yes), *(f"NOT {fits(p)}" for p in no)]) + ")" for yes, no in secret_scan.SHAPES)
     w, limits = secret_scan.WINDOW, secret_scan.LIMITS
-    classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
-    limit = "CASE " + " ".join(f"WHEN regexp_matches(c.v, {_q(p)}) THEN {limits[k]}" for k, p in classes.items()) + f" ELSE {limits['base64']} END"
+    rise = lambda k: f"{limits[k][0]}::DOUBLE + {(limits[k][1] - limits[k][0]) / (secret_scan.FULL - w)!r}::DOUBLE * (least(length(c.v), {secret_scan.FULL}) - {w})"
+    limit = "(CASE " + " ".join(f"WHEN regexp_matches(c.v, {_q(p)}) THEN {rise(k)}" for k, p in secret_scan.CLASSES.items()) + f" ELSE {rise('base64')} END)"
     entropy = f"list_max(list_transform(range(0, greatest(1, length(c.v) - {w - 1})), lambda k: list_entropy(string_split(substr(c.v, k + 1, {w}), ''))))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

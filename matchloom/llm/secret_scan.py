@@ -6,11 +6,13 @@ Each belongs to the first class that covers it:
 
     hex       0-9 a-f        windows of 20, 3.0 bits or more
     HEX       0-9 A-F        windows of 20, 3.0 bits or more
-    lower     no upper case  windows of 20, 3.7 bits or more
-    upper     no lower case  windows of 20, 3.6 bits or more
-    letters   no digit       windows of 20, 3.9 bits or more
-    base64    all the rest   windows of 20, 3.9 bits or more
+    lower     no upper case  windows of 20, 3.5 to 3.7 bits or more
+    upper     no lower case  windows of 20, 3.45 to 3.6 bits or more
+    letters   no digit       windows of 20, 3.7 to 3.9 bits or more
+    base64    all the rest   windows of 20, 3.75 to 3.9 bits or more
 
+The largest of many windows is higher than that of one, so the limit rises evenly from a candidate of 20 characters to one
+of 32 and then stands: at each length all but a few in a hundred random keys of the class reach it (``LIMITS``).
 A window slides over the candidate one character at a time. The count of each character in
 the window is kept in a string, a character a count, and moves by one up for the entering and one
 down for the leaving character; with them moves sum(n * log2 n), from which the entropy follows. The
@@ -50,7 +52,11 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
 #: Sums move by rounding errors; an entropy this little under a limit counts as at it.
 SLACK = 1e-9
-LIMITS = {"hex": 3.0, "HEX": 3.0, "lower": 3.7, "upper": 3.6, "letters": 3.9, "base64": 3.9}
+#: Limits in bits for candidates of WINDOW characters and of FULL and more.
+LIMITS = {"hex": (3.0, 3.0), "HEX": (3.0, 3.0), "lower": (3.5, 3.7), "upper": (3.45, 3.6), "letters": (3.7, 3.9), "base64": (3.75, 3.9)}
+FULL = 32
+#: Patterns of the classes but the last, in turn.
+CLASSES = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
 #: Patterns of strings that are no secrets.
 ALLOWED = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -61,6 +67,9 @@ ALLOWED = [
 SHAPES = [
     # Paths of short lower-case parts.
     ([r"^[a-z0-9_/-]+$", r"[^/]/[^/]+/"], [r"//|[^/]{20}/"]),
+    # Words and numbers of one case, each by itself between signs.
+    ([r"^[a-z0-9_/-]+$", r"[_/-]"], [r"[a-z][0-9]|[0-9][a-z]"]),
+    ([r"^[A-Z0-9_/-]+$", r"[_/-]"], [r"[A-Z][0-9]|[0-9][A-Z]"]),
     # Names of words in camel, snake or kebab case, with a short number behind.
     ([r"^[A-Za-z_-]+[0-9]{0,4}$"], [r"[A-Z][^a-z]|[A-Z]$|[_-][_-]|[_-][a-z][^a-z]|[_-][a-z]$"]),
 ]
@@ -134,8 +143,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     shaped = lambda v, yes, no: reduce(Column.__and__, [*(v.rlike(p) for p in yes), *(~v.rlike(p) for p in no)])
     listed = lambda v: reduce(Column.__or__, [v.rlike("|".join(f"(?:{p})" for p in ALLOWED)), *(shaped(v, *s) for s in SHAPES)])
     allowed = lambda c: listed(value(c)) | c["before"].rlike(ALLOWED_BEFORE)
-    classes = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "lower": "^[^A-Z]+$", "upper": "^[^a-z]+$", "letters": "^[^0-9]+$"}
-    limit = lambda c: F.coalesce(*[F.when(value(c).rlike(p), F.lit(LIMITS[k])) for k, p in classes.items()], F.lit(LIMITS["base64"]))
+    rise = lambda c, k: F.lit(LIMITS[k][0]) + F.lit((LIMITS[k][1] - LIMITS[k][0]) / (FULL - WINDOW)) * (F.least(F.char_length(value(c)), F.lit(FULL)) - WINDOW)
+    limit = lambda c: F.coalesce(*[F.when(value(c).rlike(p), rise(c, k)) for k, p in CLASSES.items()], rise(c, "base64"))
     #: All spans by start, each with the next: a run is covered if a base span before it reaches into it, or the next span is one that begins in it.
     sorted_spans = F.array_sort(F.concat("base", "runs"))
     in_turn = bound(sorted_spans, lambda e: F.arrays_zip(e.alias("s"), F.slice(e, F.lit(2), F.size(e)).alias("next")))

@@ -5,7 +5,10 @@ import re
 import time
 from collections import Counter
 
+import duckdb
+
 from matchloom.llm import secret_scan as s
+from matchloom.llm.oracle import secret_sql
 
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
@@ -34,10 +37,14 @@ def brute(text):
             continue
         if re.fullmatch(r"/?([a-z0-9_-]{1,19}/){2,}[a-z0-9_-]*", v) or re.fullmatch(r"(?:[_-](?=[A-Z]|[a-z]{2}))?[A-Z]?[a-z]+((?:[_-][A-Za-z]|[A-Z])[a-z]+)*[_-]?[0-9]{0,4}", v):
             continue
+        parts = re.split("[/_-]", v)
+        if len(parts) > 1 and v in (v.lower(), v.upper()) and all(re.fullmatch("[A-Za-z]*|[0-9]*", x) for x in parts):
+            continue
         if any(re.search(p, v) for p in s.ALLOWED) or re.search(s.ALLOWED_BEFORE, text[max(0, a - 20) : a]) or any(b < e and a < c for b, _, c, _ in base):
             continue
         kind = next((k for k, x in CLASSES.items() if re.fullmatch(x, v)), "base64")
-        if entropy(v) >= s.LIMITS[kind] - 1e-9:
+        low, high = s.LIMITS[kind]
+        if entropy(v) >= low + (high - low) * min(max(len(v) - 20, 0), 12) / 12 - 1e-9:
             more.append((a, 3, e, "entropy"))
     join = lambda x: ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in x)
     return join(base), join(sorted(base + more))
@@ -134,3 +141,32 @@ def test_keys_of_every_class_are_scored(table):
     got = {r.doc_id: r for r in s.scan_secrets(table(rows + [(100 + k, t) for k, t in enumerate(plain)])).collect()}
     assert all(got[k].spans == "entropy:4:44" for k, _ in rows)
     assert all(got[100 + k].n_entropy == 0 for k in range(len(plain)))
+
+
+def test_short_keys_are_found_and_dated_names_are_not(table):
+    """Random keys of 20 characters and more of every class: nine of ten at the least. Made names with numbers: none."""
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"hex": digits + lower[:6], "HEX": digits + upper[:6], "base32": upper + "234567", "base36": lower + digits, "letters": upper + lower, "base64": upper + lower + digits + "+/"}
+    cases = [(name, n) for name in alphabets for n in (20, 22, 24, 28) for _ in range(300)]
+    some = "river account value default number manager customer history process system request table record index update column".split()
+    names = []
+    while len(names) < 400:
+        parts = [rng.choice(some) if rng.random() < 0.6 else str(rng.randint(1, 9999)) for _ in range(rng.randint(3, 7))]
+        name = rng.choice("-_/").join(parts)
+        names += [rng.choice([name, name.upper()])] if len(name) >= 20 and set(name) & set(lower) else []
+    rows = [(k, f"see {''.join(rng.choice(alphabets[name]) for _ in range(n))} there") for k, (name, n) in enumerate(cases)]
+    rows += [(10_000 + k, f"see {x} there") for k, x in enumerate(names)]
+    got = {r.doc_id: r.n_entropy for r in s.scan_secrets(table(rows)).collect()}
+    found = Counter(case for k, case in enumerate(cases) if got[k])
+    assert min(found[case] for case in set(cases)) >= 0.9 * 300, found
+    assert sum(got[10_000 + k] for k in range(len(names))) == 0
+
+
+def test_sql_agrees_on_every_class_and_length(table):
+    # The SQL engine takes U+017F and U+212A for s and k in other case; the operator, as the contract has it, only A-Z for a-z.
+    docs = [(k, t) for k, t in enumerate(texts()) if not set(t) & {"\u017f", "\u212a"}]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(con.execute(secret_sql()).fetchall()) == sorted(map(tuple, s.scan_secrets(table(docs)).collect()))
