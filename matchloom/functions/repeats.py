@@ -14,7 +14,8 @@ from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .text import scrub
 
 #: Fixed value: words of the longest phrase that is looked for; the shortest has two.
 LONGEST_REPEAT = 16
+#: Bytes of texts whose words a task holds at once, or one longer text; words take some thirty times that.
+SLICE_BYTES = 1 << 20
 
 
 def _in_word(c: str) -> bool:
@@ -101,23 +104,42 @@ def without_repeats(texts: Iterable[str], passes: int = 3) -> list[str]:
     return done
 
 
-def _of_texts(texts: pd.Series) -> pd.Series:
-    return pd.Series(without_repeats(texts), dtype=object)
+def _in_slices(texts: pa.Array) -> pa.Array:
+    """without_repeats of an array, slice by slice, so that the words of a whole batch are never in memory at once."""
+    behind = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    done, first = [], 0
+    while first < len(texts):
+        before = behind[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(behind, before + SLICE_BYTES, "right")))
+        done.append(pa.array(without_repeats(texts.slice(first, last - first).to_pylist()), texts.type))
+        first = last
+    return pa.concat_arrays(done) if done else texts
 
 
-def _of_lists(rows: pd.Series) -> pd.Series:
-    flat = iter(without_repeats(t for row in rows for units in row for t in units))
-    return pd.Series([[[next(flat) for _ in units] for units in row] for row in rows], dtype=object)
+def _of_texts(texts: pa.Array) -> pa.Array:
+    return _in_slices(texts)
+
+
+def _of_lists(rows: pa.Array) -> pa.Array:
+    """The same for every text of an array of lists of lists, without nulls."""
+    units = rows.flatten()
+    lists = pa.ListArray.from_arrays(_offsets(units), _in_slices(units.flatten()))
+    return pa.ListArray.from_arrays(_offsets(rows), lists)
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    """Where each list begins in flatten(), and where the last one ends."""
+    return pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]), pa.int32())
 
 
 def collapse_repeats(text: Column) -> Column:
     """without_repeats of a column of texts that aren't null."""
-    return F.pandas_udf(_of_texts, "string")(text)
+    return F.arrow_udf(_of_texts, "string")(text)
 
 
 def collapse_repeats_each(lists: Column) -> Column:
     """without_repeats of every text of a column of lists of lists."""
-    return F.pandas_udf(_of_lists, "array<array<string>>")(lists)
+    return F.arrow_udf(_of_lists, "array<array<string>>")(lists)
 
 
 def normalize(text: Column) -> Column:

@@ -115,20 +115,31 @@ def sentences(text: Column) -> Column:
 
 def pieces(text: Column, category: str) -> Column:
     """Whole units of a section as they are written: sentences, cut further as its category needs."""
-    return _cut_each(sentences(text), CUTS.get(category, _statements))
+    return parts(sentences(text), category)
+
+
+def parts(sentences: Column, category: str) -> Column:
+    return _cut_each(sentences, CUTS.get(category, _statements))
+
+
+def with_fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row. Spark would put a column's expression wherever a vector function's argument uses it, here once a unit; into a generator's output it puts nothing."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def with_distinct(rows: DataFrame, text: Column, lists: dict[str, Column]) -> DataFrame:
     """rows with a column a list of the text's units, normalised, the first of each key. Scrubbing again takes what repeats had kept apart."""
     clean = lambda u: F.when(F.col("__tidy"), stripped(u)).otherwise(scrub(u))
-    marked = rows.withColumn("__tidy", tidy(text))
+    marked = with_fixed(rows, __tidy=tidy(text))
     shortened = marked.withColumn("__units", F.array(*[F.transform(x, clean) for x in lists.values()])).withColumn("__units", collapse_repeats_each(F.col("__units")))
     return shortened.withColumns({name: stable_distinct(F.transform(F.col("__units")[i], clean)) for i, name in enumerate(lists)}).drop("__units", "__tidy")
 
 
 def with_units(rows: DataFrame, text: Column) -> DataFrame:
     """rows with education, experience, skills and summary: the text's units as each category would cut it."""
-    return with_distinct(rows.withColumn("__text", F.coalesce(text, F.lit(""))), F.col("__text"), {c.lower(): pieces(F.col("__text"), c) for c in CATEGORIES}).drop("__text")
+    texts = rows.withColumn("__text", F.coalesce(text, F.lit("")))
+    cut = with_fixed(texts, __sentences=sentences(F.col("__text")))
+    return with_distinct(cut, F.col("__text"), {c.lower(): parts(F.col("__sentences"), c) for c in CATEGORIES}).drop("__text", "__sentences")
 
 
 def stretches(text: Column) -> Column:
@@ -162,7 +173,7 @@ def with_sections(rows: DataFrame, text: Column) -> DataFrame:
 
     Without any unit the whole text counts as experience.
     """
-    marked = rows.withColumn("whole", normalize(F.coalesce(text, F.lit("")))).withColumn("__found", stretches(F.col("whole")))
+    marked = with_fixed(rows.withColumn("whole", normalize(F.coalesce(text, F.lit("")))), __found=stretches(F.col("whole")))
     of = lambda c: F.transform(F.filter("__found", lambda x: x["category"] == c), lambda x: x["text"])
     cutter = lambda c: lambda t: pieces(t, c)
     lists = {c.lower(): _cut_each(of(c), cutter(c)) for c in CATEGORIES}
