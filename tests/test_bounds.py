@@ -1,10 +1,11 @@
 """What a task holds at once, and what is computed for a row no more than once."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from matchloom.functions import repeats
-from matchloom.operators import segment
+from matchloom.operators import match, segment
 
 
 def test_repeats_hold_the_words_of_one_slice(monkeypatch):
@@ -32,3 +33,34 @@ def test_headings_are_sought_once_a_row(spark):
     rows = segment.with_sections(spark.createDataFrame([("Clerk Summary Calm. Skills Excel, SQL",)], "t string"), F.col("t"))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Activities and Honors\\b") == 1
+
+
+def test_copies_tie_wherever_they_stand_and_few_scores_are_held(monkeypatch):
+    """Matrix products may round copies apart, and a broadcast of all candidates grew with them."""
+    rng = np.random.default_rng(3)
+    them = rng.normal(size=(700, 64)).astype(np.float32)
+    them[rng.integers(0, 700, 300)] = them[5]
+    them = (them / np.linalg.norm(them, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    us = them[::9]
+    exact = np.zeros((len(us), len(them)))
+    for x, y in zip(us.T, them.T):
+        exact += x[:, None] * y
+    codes = rng.permutation(700)
+    for size in (3, 37, 4096):
+        monkeypatch.setattr(match, "CANDIDATES", size)
+        monkeypatch.setattr(match, "SUBJECTS", 10 * size)
+        best = match.Best(us, 5)
+        for a in range(0, 700, 111):
+            best.add(them[a : a + 111], codes[a : a + 111])
+        got = best.table(pa.array(range(len(us))), pa.int64()).to_pylist()
+        want = [(i, codes[j]) for i, row in enumerate(np.clip(exact, -1, 1)) for j in np.lexsort((codes, -row))[:5]]
+        assert [(r["user_id"], r["code"]) for r in got] == want
+
+
+def test_the_smaller_side_is_broadcast(spark):
+    e = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]]
+    users = spark.createDataFrame([(n, e[n]) for n in range(2)], "user_id int, embedding array<float>")
+    careers = spark.createDataFrame([(c, v) for c, v in zip("abc", e)], "code string, embedding array<float>")
+    sides = (users, careers), (users.union(users.selectExpr("user_id + 2", "embedding")), careers)
+    for us, them in sides:
+        assert [tuple(r) for r in match.topk_arrow(us, them, 2).select("user_id", "rank", "code").orderBy("user_id", "rank").limit(4).collect()] == [(0, 1, "a"), (0, 2, "c"), (1, 1, "b"), (1, 2, "c")]
