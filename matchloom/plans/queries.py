@@ -41,10 +41,8 @@ def _rounded(best: DataFrame) -> DataFrame:
 
 
 def topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    users, careers = _sides(spark, sf)
-    if match.vector_bytes(careers) > match.SMALL_BYTES:
-        return _rounded(match.topk_blocks(users, careers, K))
-    return _rounded(match.topk_columns(users, careers, K))
+    """By the plan that fits the sizes; topk_columns would take some hundred times as long a pair."""
+    return _rounded(_best(spark, sf))
 
 
 def topk_cosine_arrow(spark: SparkSession, sf: str) -> DataFrame:
