@@ -15,7 +15,8 @@ from itertools import chain, count
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,9 @@ from pyspark.sql import types as T
 from ..schemas import MODEL_NAME, MODEL_REVISION, WIDTH
 from .quality import QualityError, require, require_positive, vectors, violations
 
+#: Bytes of texts that are encoded at once, or one longer text; their words take many times that.
+BATCH_BYTES = 1 << 20
+
 
 class Encoder(Protocol):
     width: int
@@ -72,16 +76,29 @@ class SentenceEncoder:
         return self._loaded.encode(texts, convert_to_numpy=True, normalize_embeddings=True).astype(np.float32)
 
 
+def in_turn(texts: pa.Array, batch_size: int) -> Iterator[list[str]]:
+    """Lists of at most batch_size texts, nulls empty, and of BATCH_BYTES or one longer text; the rest of a batch stays as it came."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    first = held = 0
+    for n, size in enumerate(sizes):
+        if n > first and (n - first == batch_size or held + size > BATCH_BYTES):
+            yield pc.fill_null(texts.slice(first, n - first), "").to_pylist()
+            first, held = n, 0
+        held += size
+    if first < len(sizes):
+        yield pc.fill_null(texts.slice(first), "").to_pylist()
+
+
 def encode(rows: DataFrame, encoder: Encoder, text: str = "profile_text", batch_size: int = 32) -> DataFrame:
     """rows with a column embedding; ids travel with their vectors, so order doesn't matter."""
     require_positive(batch_size=batch_size)
 
-    @F.pandas_udf(T.ArrayType(T.FloatType(), False))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType(), False))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            parts = [encoder.encode(texts[k : k + batch_size]) for k in range(0, len(texts), batch_size)]
-            yield pd.Series([v for p in parts for v in p])
+            parts = [encoder.encode(texts) for texts in in_turn(batch, batch_size)]
+            flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * encoder.width, pa.int32()), pa.array(flat, pa.float32()))
 
     return rows.withColumn("embedding", run(F.col(text)))
 

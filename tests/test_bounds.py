@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from matchloom.functions import repeats
-from matchloom.operators import match, segment
+from matchloom.operators import embed, match, segment
 
 
 def test_repeats_hold_the_words_of_one_slice(monkeypatch):
@@ -64,3 +64,14 @@ def test_the_smaller_side_is_broadcast(spark):
     sides = (users, careers), (users.union(users.selectExpr("user_id + 2", "embedding")), careers)
     for us, them in sides:
         assert [tuple(r) for r in match.topk_arrow(us, them, 2).select("user_id", "rank", "code").orderBy("user_id", "rank").limit(4).collect()] == [(0, 1, "a"), (0, 2, "c"), (1, 1, "b"), (1, 2, "c")]
+
+
+def test_texts_are_encoded_a_few_at_once(spark, monkeypatch):
+    """A batch's texts were Python strings all at once, and long ones were encoded 32 together."""
+    monkeypatch.setattr(embed, "BATCH_BYTES", 100)
+    texts = ["a" * 30, None, "b" * 250, "c", "", "d" * 99, "e"]
+    assert list(embed.in_turn(pa.array(texts), 3)) == [["a" * 30, ""], ["b" * 250], ["c", "", "d" * 99], ["e"]]
+    assert list(embed.in_turn(pa.array([], pa.string()), 3)) == []
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, profile_text string")
+    got = [r.embedding for r in embed.encode(rows, embed.HashingEncoder(8), batch_size=2).orderBy("n").collect()]
+    assert got == [v.tolist() for v in embed.HashingEncoder(8).encode([t or "" for t in texts])]
