@@ -13,7 +13,8 @@ from ..schemas import MISSING
 _ODD = r"\x09-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = rf"[\x20{_ODD}]"
 #: Runs of white space that aren't one blank; most blanks are, and stay as they are. One look passes over a visible ASCII character.
-RUN = rf"(?![!-~])(?:\x20{SPACE}+|[{_ODD}]{SPACE}*)"
+UNSEEN = r"(?![!-~])"
+RUN = rf"{UNSEEN}(?:\x20{UNSEEN}{SPACE}+|(?!\x20)[{_ODD}]{SPACE}*)"
 
 #: What scrubbing removes, in order, and what it puts there.
 SCRUBS = [

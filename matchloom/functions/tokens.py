@@ -66,8 +66,8 @@ def remembered(counter: TokenCounter, most: int = 50_000):
 class Costs:
     """Counts of whole texts and, for a counter whose counts add up, of pieces of a text without the special tokens."""
 
-    def __init__(self, counter: TokenCounter):
-        self.whole = remembered(counter)
+    def __init__(self, counter: TokenCounter, most: int = 50_000):
+        self.whole = remembered(counter, most)
         self.adds_up = getattr(counter, "adds_up", False)
         self.empty = counter.count("") if self.adds_up else 0
 

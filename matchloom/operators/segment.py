@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repeats import collapse_repeats_each, normalize
-from ..functions.text import ACTION, SPACE, casefold, content_words, scrub, stable_distinct, stripped, tidy, word_count
+from ..functions.text import ACTION, SPACE, UNSEEN, casefold, content_words, scrub, stable_distinct, stripped, tidy, word_count
 from ..schemas import CATEGORIES
 
 #: Headings, compound names before their parts, and the categories of some.
@@ -55,7 +55,7 @@ DOT, CUT, MARK = "․", "﷐", "﷑"
 
 #: Full stops of abbreviations: behind the first letter of two, behind a further one, behind a known one.
 _SHIELDED = rf"\.(?:(?<=\b[A-Za-z]\.)(?=[A-Za-z]\.)|(?<=\b[A-Za-z]\.[A-Za-z]\.)|(?<=\b(?:{ABBREVIATIONS})\.))"
-_SENTENCE = rf"(?<=[.!?]){SPACE}+(?=[A-Z])|(?<=[a-z][.!?])(?=[A-Z])|[\r\n]+"
+_SENTENCE = rf"{UNSEEN}(?<=[.!?]){SPACE}+(?=[A-Z])|(?=[A-Z])(?<=[a-z][.!?])|[\r\n]+"
 
 
 def _heading_pattern() -> str:
@@ -94,7 +94,7 @@ def outside_parentheses(text: Column) -> Column:
 
 
 def _skills(sentence: Column) -> Column:
-    return _cut_each(outside_parentheses(sentence), lambda part: cut_at(part, rf"{SPACE}+(?=[A-Z])(?=(?:{SKILL_LEADS})\b)"))
+    return _cut_each(outside_parentheses(sentence), lambda part: cut_at(part, rf"{UNSEEN}{SPACE}+(?=[A-Z])(?=(?:{SKILL_LEADS})\b)"))
 
 
 def _courses(sentence: Column) -> Column:
@@ -102,7 +102,7 @@ def _courses(sentence: Column) -> Column:
 
 
 def _statements(sentence: Column) -> Column:
-    return F.when(word_count(sentence) > LONG_UNIT, cut_at(sentence, rf"{SPACE}+(?=[A-Z])(?={ACTION}\b)")).otherwise(F.array(sentence))
+    return F.when(word_count(sentence) > LONG_UNIT, cut_at(sentence, rf"{UNSEEN}{SPACE}+(?=[A-Z])(?={ACTION}\b)")).otherwise(F.array(sentence))
 
 
 #: How a category's sentences are cut further.
