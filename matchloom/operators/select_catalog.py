@@ -36,14 +36,19 @@ class CatalogChoice:
     description: str
     skills: list[str]
     tasks: list[dict]  # text, core, support, words; in source order
-    counter: TokenCounter
+    counter: TokenCounter | Costs
     budget: int = BUDGET
     with_skills: list[int] = field(default_factory=list)
     with_tasks: list[int] = field(default_factory=list)
 
     def __post_init__(self):
-        self.costs = Costs(self.counter)
+        self.costs = self.counter if isinstance(self.counter, Costs) else Costs(self.counter)
         self._words = [frozenset(t["words"]) for t in self.tasks]
+        self._alone = self.costs.whole(render(self.title, self.description, [], []))
+        if self.costs.adds_up:
+            piece = self.costs.piece
+            self._of_skill, self._of_task = [piece(s) for s in self.skills], [piece(t["text"]) for t in self.tasks]
+            self._skills_label, self._tasks_label, self._between = piece("Skills:"), piece("Tasks:"), piece(";")
         self._base = self.cost((), ())
         if self._base > self.budget:
             raise DoesNotFit(f"{self.title}: its title and description alone take more than {self.budget} tokens")
@@ -55,12 +60,21 @@ class CatalogChoice:
     def cost(self, skills, tasks) -> int:
         if not self.costs.adds_up:
             return self.costs.whole(self.text(skills, tasks))
-        piece = self.costs.piece
-        total = self.costs.whole(render(self.title, self.description, [], [])) + sum(piece(self.tasks[i]["text"]) for i in tasks) + sum(piece(self.skills[i]) for i in skills)
-        return total + (piece("Tasks:") if any(self.tasks[i]["text"] for i in tasks) else 0) + (piece("Skills:") + piece(";") * (len(skills) - 1) if skills else 0)
+        total = self._alone + sum(self._of_task[i] for i in tasks) + sum(self._of_skill[i] for i in skills)
+        return total + (self._tasks_label if any(self.tasks[i]["text"] for i in tasks) else 0) + (self._skills_label + self._between * (len(skills) - 1) if skills else 0)
+
+    def plus_skill(self, now: int, skills, tasks, i: int) -> int:
+        """The cost with one skill more than skills, which with tasks cost now; without looking at those again where counts add up."""
+        if not self.costs.adds_up:
+            return self.cost([*skills, i], tasks)
+        return now + self._of_skill[i] + (self._between if skills else self._skills_label)
 
-    def fits(self, skills, tasks) -> bool:
-        return self.cost(skills, tasks) <= self.budget
+    def plus_task(self, now: int, skills, tasks, i: int) -> int:
+        """The cost with one task more."""
+        if not self.costs.adds_up:
+            return self.cost(skills, [*tasks, i])
+        first = self.tasks[i]["text"] and not any(self.tasks[k]["text"] for k in tasks)
+        return now + self._of_task[i] + (self._tasks_label if first else 0)
 
     def open_tasks(self) -> list[int]:
         """Tasks not chosen: core first, then support and the share of new words, then source order."""
@@ -69,10 +83,8 @@ class CatalogChoice:
         return sorted(weight, key=lambda i: (not self.tasks[i]["core"], -weight[i], i))
 
     def _first_beside(self, skills) -> int | None:
-        for i in self.open_tasks():
-            if self.fits(skills, [*self.with_tasks, i]):
-                return i
-        return None
+        now = self.cost(skills, self.with_tasks)
+        return next((i for i in self.open_tasks() if self.plus_task(now, skills, self.with_tasks, i) <= self.budget), None)
 
     def reserve_tasks(self) -> None:
         """Two tasks that leave room for the best skills, for as many of five as can be."""
@@ -85,19 +97,23 @@ class CatalogChoice:
     def spend_on_skills(self) -> None:
         """Skills in rank order within their share of what the description leaves; one too large is passed over."""
         share = self._base + max(0, int((self.budget - self._base) * SKILL_SHARE))
+        alone, now = self.cost(self.with_skills, ()), self.cost(self.with_skills, self.with_tasks)
         for i in range(len(self.skills)):
-            more = [*self.with_skills, i]
-            if self.cost(more, ()) <= share and self.fits(more, self.with_tasks):
-                self.with_skills = more
+            more_alone = self.plus_skill(alone, self.with_skills, (), i)
+            if more_alone <= share and (more := self.plus_skill(now, self.with_skills, self.with_tasks, i)) <= self.budget:
+                self.with_skills.append(i)
+                alone, now = more_alone, more
 
     def fill_tasks(self) -> None:
         while (i := self._first_beside(self.with_skills)) is not None:
             self.with_tasks.append(i)
 
     def fill_skills(self) -> None:
+        now, had = self.cost(self.with_skills, self.with_tasks), set(self.with_skills)
         for i in range(len(self.skills)):
-            if i not in self.with_skills and self.fits([*self.with_skills, i], self.with_tasks):
+            if i not in had and (more := self.plus_skill(now, self.with_skills, self.with_tasks, i)) <= self.budget:
                 self.with_skills.append(i)
+                now = more
 
     def exchange_tasks(self) -> None:
         """Under the target, trade one task for another not less core, each time the trade that adds most."""
@@ -113,14 +129,16 @@ class CatalogChoice:
 
     def _traded(self, now: int, out: int, into: int) -> int:
         if self.costs.adds_up:
-            return now - self.costs.piece(self.tasks[out]["text"]) + self.costs.piece(self.tasks[into]["text"])
+            return now - self._of_task[out] + self._of_task[into]
         return self.cost(self.with_skills, [*(i for i in self.with_tasks if i != out), into])
 
     def fill_rest(self) -> None:
         self.fill_skills()
+        now = self.cost(self.with_skills, self.with_tasks)
         for i in self.open_tasks():
-            if self.fits(self.with_skills, [*self.with_tasks, i]):
+            if (more := self.plus_task(now, self.with_skills, self.with_tasks, i)) <= self.budget:
                 self.with_tasks.append(i)
+                now = more
 
     def run(self) -> tuple[str, int, list[int], list[int]]:
         """text, its tokens, chosen skills and tasks in the order they were chosen."""
@@ -142,12 +160,13 @@ def choose(rows: DataFrame, counter: TokenCounter, key: str, budget: int = BUDGE
     """key and CHOICE for rows with title, description, skills and tasks; what doesn't fit has an error instead."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        costs = Costs(counter, 16_384)  # what many entities have in common is counted once
         for batch in batches:
             out = []
             for k, title, description, skills, tasks in zip(batch[key], batch["title"], batch["description"], batch["skills"], batch["tasks"], strict=True):
                 names, records = list(skills), [dict(t) for t in tasks]
                 try:
-                    text, n, s, t = CatalogChoice(title, description, names, records, counter, budget).run()
+                    text, n, s, t = CatalogChoice(title, description, names, records, costs, budget).run()
                     out.append((k, text, n, "; ".join(names[i] for i in sorted(s)), " ".join(records[i]["text"] for i in sorted(t)), None))
                 except DoesNotFit as error:
                     out.append((k, None, None, None, None, str(error)))

@@ -257,7 +257,7 @@ def budget_select_talks(spark: SparkSession, sf: str) -> DataFrame:
     tasks = catalog.best_task(_turns(spark, sf), "key")
     rated = tasks.select("key", F.explode(text.letter_words(F.col("text"))).alias("name"), "support").groupBy("key", "name").agg(F.max("support").alias("score"))
     parents = tasks.groupBy("key").agg(F.concat(F.lit("Conversation "), F.first("key").cast("string")).alias("title"), F.lit("Turns of a talk.").alias("description"))
-    return select_catalog.choose(catalog.with_children(parents, rated, tasks, "key"), PatternCounter(), "key")
+    return select_catalog.choose(_spread(catalog.with_children(parents, rated, tasks, "key"), "key"), PatternCounter(), "key")
 
 
 def budget_select_profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import plain_sections as plain
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.functions.tokens import PatternCounter
+from matchloom.functions.tokens import Costs, PatternCounter
 from matchloom.functions.text import content_words, letter_words
 from matchloom.operators import segment, select_person
 from matchloom.operators.select_catalog import CatalogChoice, DoesNotFit, render
@@ -226,3 +226,15 @@ def test_normalize_repeats_and_placeholders(spark):
 
     text = "• Company Name － City , State , USA one two three one two three x@y.org __ end,"
     assert spark.createDataFrame([(text,)], "t string").select(repeats.normalize(F.col("t"))).first()[0] == plain.normalize(text) == "one two three end"
+
+
+def test_a_catalogue_choice_counts_each_part_a_few_times(monkeypatch):
+    """Every skill tried had all chosen ones counted again, so the work went by the square of the skills."""
+    looks = []
+    piece = Costs.piece
+    monkeypatch.setattr(Costs, "piece", lambda self, text: looks.append(text) or piece(self, text))
+    skills = [f"skill{n}" for n in range(600)]
+    tasks = with_words([{"text": f"Task {n} of many.", "core": n % 2 == 0, "support": float(n)} for n in range(6)])
+    many = CatalogChoice("Title", "Text.", skills, tasks, COUNTER, 5000).run()
+    assert len(many[2]) == 600 and len(looks) < 3 * 606
+    assert many == CatalogChoice("Title", "Text.", skills, tasks, Costs(COUNTER), 5000).run()
