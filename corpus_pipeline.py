@@ -16,6 +16,9 @@ from matchloom.session import make_visible
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Chunks that a worker of the last stage remembers: a worker keeps them while it serves other stages.
+CHUNKS = 100_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filters.without_toxic(docs, read_table(make_visible(spark), sf_dir, "labels"))
@@ -35,7 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, ids, doc_tokens, sequence_id, offset."""
-    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), end_id=0)
+    make_visible(spark)
+    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), end_id=0, memory=CHUNKS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -150,8 +150,8 @@ class Packer:
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH) -> DataFrame:
-    """One row per piece: doc_id, start, ids (little-endian 32-bit words), doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, memory: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, ids (little-endian 32-bit words), doc_tokens, sequence_id, offset. memory: chunks that a worker remembers, tokens.MEMORY where not given."""
     end = tokens.ids_bytes([end_id])
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     names = [x.split()[0] for x in PIECES.split(", ")]
@@ -161,7 +161,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, length: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 4096], strict=True), kinds, strict=True)], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokens.encoder(vocabulary)
+        known = tokens.encoder(vocabulary, memory)
         packer = Packer(known.sentence_ends(), TaskContext.get().partitionId() << TASK_BITS, length)
         for batch in batches:
             lengths = batch.column(2).to_pylist()

@@ -5,7 +5,7 @@ are those of its chunks between them, one after the other. A worker asks the tok
 library only for chunks that it has not met yet and keeps the answers; texts whose white
 space could join pre-tokens across chunks go to the library whole.
 
-The memory holds at most MEMORY chunks. When it is full, all but the short ones, which are
+The memory holds at most MEMORY chunks, or fewer where asked for. When it is full, all but the short ones, which are
 the frequent ones, are forgotten; that changes the time, never the ids.
 """
 
@@ -42,34 +42,35 @@ def ids_bytes(ids: Iterable[int]) -> bytes:
 class Memory(dict):
     """Chunk -> ids; what is missing is learned when it is asked for."""
 
-    def __init__(self, learn, blank: bool):
+    def __init__(self, learn, blank: bool, most: int | None):
         super().__init__()
-        self.learn, self.blank = learn, blank
+        self.learn, self.blank, self.most = learn, blank, most
 
     def __missing__(self, chunk: str) -> bytes | None:
         ids = self[chunk] = self.learn(self, chunk)
         return ids
 
     def make_room(self) -> None:
-        if len(self) > MEMORY:
+        most = self.most or MEMORY
+        if len(self) > most:
             short = {c: v for c, v in self.items() if len(c) <= SHORT}
             self.clear()
-            if len(short) < MEMORY // 2:
+            if len(short) < most // 2:
                 self.update(short)
 
 
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts, special strings of the vocabulary as the library reads them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         #: The byte-level vocabulary keeps white space in its tokens, the other one drops it.
         self.keeps_blanks = len(self._plain("a \n")) > len(self._plain("a"))
-        self.first = Memory(self._learn, False)
-        self.later = Memory(self._learn, self.keeps_blanks)
+        self.first = Memory(self._learn, False, most)
+        self.later = Memory(self._learn, self.keeps_blanks, most)
         self.tails: dict[str, bytes] = {}
         if self.keeps_blanks:
             self.line_end = ids_bytes(self._plain("\n"))
@@ -146,14 +147,14 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int | None], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int | None = None) -> ChunkEncoder:
+    """One encoder a worker process, vocabulary and bound of its memory of chunks."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = ChunkEncoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def vocabulary(name: str) -> str:

@@ -160,3 +160,11 @@ def test_pieces(table, odd, monkeypatch):
 
 def test_no_documents(table):
     assert packing.pack_documents(table([]), BYTE, 0).collect() == []
+
+
+def test_an_encoder_remembers_as_many_chunks_as_it_may():
+    known = tokens.ChunkEncoder(BYTE, 200)
+    for k in range(20):
+        known.encode([" ".join(f"longchunk{k}x{n}" for n in range(150))])
+    known.encode([""])
+    assert len(known.later) <= 200

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import repeats
 from matchloom.operators import embed, match, segment
+from matchloom.session import BATCH, make_visible
 
 
 def test_repeats_hold_the_words_of_one_slice(monkeypatch):
@@ -75,3 +76,23 @@ def test_texts_are_encoded_a_few_at_once(spark, monkeypatch):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, profile_text string")
     got = [r.embedding for r in embed.encode(rows, embed.HashingEncoder(8), batch_size=2).orderBy("n").collect()]
     assert got == [v.tolist() for v in embed.HashingEncoder(8).encode([t or "" for t in texts])]
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """All of 10,000 rows up to 64 MB came at once, whatever the texts' length."""
+    rows = make_visible(spark).range(0, 600, 1, 1).select(F.repeat(F.lit("word "), 10_000).alias("t"))  # 30 MB in one task
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["n", "rows"])
+
+    got = rows.mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r.rows for r in got) == 600 and max(r.n for r in got) < 6 << 20
+
+
+def test_a_batch_size_that_was_chosen_stays(spark):
+    try:
+        spark.conf.set(BATCH, "1000000b")
+        assert make_visible(spark).conf.get(BATCH) == "1000000b"
+    finally:
+        spark.conf.unset(BATCH)
